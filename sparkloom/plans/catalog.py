@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.columns import hash_terms, tiered_mean
+from sparkloom.operators import baskets, clustering, graph, recommend, similarity, sketches
+from sparkloom.session import cut
+from sparkloom.streaming import sketches as streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -34,3 +40,402 @@ SELECT city, round(a, 1) AS stars FROM (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   WHERE n_name IS NOT NULL GROUP BY n_name ORDER BY a DESC, city LIMIT 10)
 """
+
+
+def register(sql: str | None = None):
+    """Add a query under its function's name, and its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# Exploration -------------------------------------------------------------------------------------------------------
+
+
+@register("""SELECT (SELECT count(*) FROM orders) AS n_review, (SELECT count(*) FROM orders WHERE year(o_orderdate) = 1998) AS n_review_1998,
+  (SELECT count(DISTINCT o_custkey) FROM orders) AS n_user, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_business""")
+def review_summary(spark, d):
+    o = table(spark, d, "orders").agg(F.count("*").alias("n_review"), F.count_if(F.year("o_orderdate") == 1998).alias("n_review_1998"), F.count_distinct("o_custkey").alias("n_user"))
+    return o.join(F.broadcast(table(spark, d, "lineitem").agg(F.count_distinct("l_partkey").alias("n_business"))))  # one row each
+
+
+@register("SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, id LIMIT 10")
+def top10_users(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(10)
+
+
+@register("SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, id LIMIT 10")
+def top10_items(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(10)
+
+
+@register("SELECT 5 AS n_partition, count(*) AS n_items FROM orders")
+def partition_stats(spark, d):
+    """Rows of each partition after dealing by key, summed up again: how they spread depends on the hash."""
+    dealt = table(spark, d, "orders").select("o_custkey").repartition(5, "o_custkey")
+    each = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    return each.agg(F.lit(5).alias("n_partition"), F.sum("n").alias("n_items"))
+
+
+@register("SELECT o_orderkey, coalesce(n, 0) AS n_lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def left_join_default(spark, d):
+    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = table(spark, d, "orders")
+    return o.join(n, o.o_orderkey == n.l_orderkey, "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"))
+
+
+@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def unmatched_users(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@register("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, round(avg(CAST(json_extract_string(props, '$.k') AS BIGINT)), 6) AS mean FROM events GROUP BY 1")
+def props_json(spark, d):
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.round(F.avg(k), 6).alias("mean"))
+
+
+TIERS = "CASE WHEN count(x) < 3 THEN avg(x) - (avg(x) - 3) * 0.5 WHEN count(x) < 8 THEN avg(x) ELSE (sum(x) - max(x) - min(x)) / (count(x) - 2) END"
+
+
+@register(f"SELECT l_partkey, round({TIERS}, 6) AS base FROM (SELECT l_partkey, l_quantity AS x FROM lineitem) GROUP BY 1")
+def robust_avg(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(tiered_mean("l_quantity"), 6).alias("base"))
+
+
+# Baskets -----------------------------------------------------------------------------------------------------------
+
+BASKETS = "SELECT DISTINCT l_orderkey AS b, l_partkey AS i FROM lineitem"
+
+
+def _baskets(spark, d, more_than=0):
+    return baskets.build_baskets(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", more_than)
+
+
+@register(f"SELECT b AS basket, count(*) AS n FROM ({BASKETS}) GROUP BY 1 HAVING count(*) > 4")
+def set_sizes(spark, d):
+    return _baskets(spark, d).groupBy("basket").agg(F.count("*").alias("n")).where("n > 4")
+
+
+@register(f"SELECT i AS item, count(*) AS n FROM ({BASKETS}) GROUP BY 1")
+def reverse_baskets(spark, d):
+    return _baskets(spark, d).groupBy("item").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT i AS item1, count(*) AS n FROM ({BASKETS}) GROUP BY 1 HAVING count(*) >= 3")
+def itemsets_k1(spark, d):
+    return baskets.frequent_itemsets(_baskets(spark, d), 3, 1)
+
+
+@register(f"WITH t AS ({BASKETS}) SELECT a.i AS item1, b.i AS item2, count(*) AS n FROM t a JOIN t b ON a.b = b.b AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 3")
+def itemsets_k2(spark, d):
+    return baskets.frequent_itemsets(_baskets(spark, d), 3, 2)
+
+
+@register(f"WITH t AS ({BASKETS}) SELECT a.i AS item1, b.i AS item2, c.i AS item3, count(*) AS n FROM t a JOIN t b ON a.b = b.b AND a.i < b.i JOIN t c ON c.b = b.b AND b.i < c.i GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+def itemsets_k3(spark, d):
+    return baskets.frequent_itemsets(_baskets(spark, d), 2, 3)
+
+
+@register(f"WITH t AS (SELECT * FROM ({BASKETS}) QUALIFY count(*) OVER (PARTITION BY b) > 4) SELECT a.i AS item1, b.i AS item2, count(*) AS n FROM t a JOIN t b ON a.b = b.b AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 2")
+def itemsets_filtered(spark, d):
+    return baskets.frequent_itemsets(_baskets(spark, d, 4), 2, 2)
+
+
+@register(f"""WITH t AS (SELECT b % 4 AS p, b, i FROM ({BASKETS})), n AS (SELECT p, count(DISTINCT b) AS size FROM t GROUP BY 1),
+  s AS (SELECT i FROM t GROUP BY 1 HAVING count(*) >= 8), g AS (SELECT * FROM t WHERE i IN (SELECT i FROM s))
+SELECT 1 AS k, CAST(i AS VARCHAR) AS items FROM s UNION ALL
+SELECT DISTINCT 2, a.i || ',' || b.i FROM g a JOIN g b ON a.p = b.p AND a.b = b.b AND a.i < b.i JOIN n ON n.p = a.p GROUP BY a.p, a.i, b.i, size
+HAVING count(*) * (SELECT sum(size) FROM n) >= 8 * size""")
+def son_candidates(spark, d):
+    return baskets.son_candidates(_baskets(spark, d).withColumn("part", F.pmod("basket", F.lit(4))), 8)
+
+
+# Similar sets ------------------------------------------------------------------------------------------------------
+
+
+def _sets(spark, d):
+    return _baskets(spark, d).select(F.col("basket").alias("id"), "item")
+
+
+JACCARD = f"""WITH t AS ({BASKETS}), n AS (SELECT b, count(*) AS n FROM t GROUP BY 1),
+  c AS (SELECT x.b AS id1, y.b AS id2, count(*) AS c FROM t x JOIN t y ON x.i = y.i AND x.b < y.b GROUP BY 1, 2)
+SELECT id1, id2, round(c / (p.n + q.n - c), 6) AS similarity FROM c JOIN n p ON p.b = id1 JOIN n q ON q.b = id2 WHERE c / (p.n + q.n - c) >= 0.5"""
+
+
+@register(JACCARD)
+def jaccard_pairs(spark, d):
+    return similarity.jaccard_join(_sets(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+HASHES = 20
+SIGNATURES = f"WITH t AS ({BASKETS}), h AS (" + " UNION ALL ".join(f"SELECT b AS id, {k} AS k, min(({hash_terms(k)[0]} * i + {hash_terms(k)[1]}) % 2147483647) AS h FROM t GROUP BY 1" for k in range(HASHES)) + ")"
+
+
+@register(SIGNATURES + " SELECT id, k, h FROM h WHERE k < 8")
+def minhash_signature(spark, d):
+    return similarity.minhash(_sets(spark, d), 8).select("id", F.posexplode("sig").alias("k", "h"))
+
+
+CANDIDATES = ", p AS (SELECT a.id, a.k // 2 AS band, a.h AS h1, b.h AS h2 FROM h a JOIN h b ON a.id = b.id AND b.k = a.k + 1 WHERE a.k % 2 = 0), q AS (SELECT DISTINCT x.id AS id1, y.id AS id2 FROM p x JOIN p y ON x.band = y.band AND x.h1 = y.h1 AND x.h2 = y.h2 AND x.id < y.id)"
+
+
+@register(SIGNATURES + CANDIDATES + " SELECT id1, id2 FROM q")
+def lsh_candidates(spark, d):
+    return similarity.lsh_candidates(similarity.minhash(_sets(spark, d), HASHES))
+
+
+@register(SIGNATURES + CANDIDATES + """, n AS (SELECT b, count(*) AS n FROM t GROUP BY 1),
+  c AS (SELECT id1, id2, count(*) AS c FROM q JOIN t x ON x.b = id1 JOIN t y ON y.b = id2 AND x.i = y.i GROUP BY 1, 2)
+SELECT id1, id2, round(c / (n1.n + n2.n - c), 6) AS similarity FROM c JOIN n n1 ON n1.b = id1 JOIN n n2 ON n2.b = id2 WHERE c / (n1.n + n2.n - c) >= 0.5""")
+def lsh_jaccard(spark, d):
+    return similarity.lsh_jaccard(_sets(spark, d), HASHES).withColumn("similarity", F.round("similarity", 6))
+
+
+# Recommendation ----------------------------------------------------------------------------------------------------
+
+RATINGS = "r AS (SELECT o_custkey AS u, l_suppkey AS i, avg(l_quantity / 10) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+MEANS = f"m AS (SELECT i, round(avg(x) + 1e-9, 4) AS mu, count(*) AS n, {TIERS} AS base FROM r GROUP BY 1)"
+SIMILAR = """d AS (SELECT r.u, r.i, x - mu AS d FROM r JOIN m ON r.i = m.i),
+  s AS (SELECT a.i, b.i AS j, sum(a.d * b.d) / sqrt(sum(a.d * a.d) * sum(b.d * b.d)) AS w FROM d a JOIN d b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2 HAVING sum(a.d * a.d) > 0 AND sum(b.d * b.d) > 0 AND sum(a.d * b.d) > 0)"""
+TESTS = "t AS (SELECT u, i FROM r WHERE (u * 31 + i) % 97 = 0 UNION SELECT -1, i FROM m UNION SELECT u, -1 FROM r WHERE u % 50 = 0 UNION SELECT -1, -1)"
+
+
+def cf_sql(weight, enough):
+    return f"""WITH {RATINGS}, {MEANS}, {SIMILAR}, {TESTS}, v AS (SELECT u, round(avg(x) + 1e-9, 4) AS um FROM r GROUP BY 1),
+  g AS (SELECT t.u, t.i, count(*) AS c, count(*) FILTER (w >= 0.3) AS c3, count(*) FILTER (w >= 0.5) AS c5, sum(r.x * {weight}) / sum({weight}) AS res
+    FROM t JOIN r ON r.u = t.u AND r.i <> t.i JOIN s ON s.i = t.i AND s.j = r.i JOIN m ON m.i = r.i GROUP BY 1, 2),
+  f AS (SELECT t.u, t.i, coalesce(m.base, um, 3.0) AS fb, CASE WHEN m.base IS NOT NULL AND um IS NOT NULL AND {enough}
+    THEN CASE WHEN c5 = 0 THEN 0.2 * res + 0.8 * m.base ELSE 0.4 * res + 0.6 * m.base END END AS cf
+    FROM t LEFT JOIN m ON m.i = t.i LEFT JOIN v ON v.u = t.u LEFT JOIN g ON g.u = t.u AND g.i = t.i)"""
+
+
+def _ratings(spark, d):
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return recommend.ratings(lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("x", F.col("l_quantity") / 10), "o_custkey", "l_suppkey", "x")
+
+
+def _tests(r):
+    """Some known pairs, and cold starts of either side and of both."""
+    known = r.where(F.pmod(F.col("u") * 31 + F.col("i"), F.lit(97)) == 0).select("u", "i")
+    cold = r.select(F.lit(-1).cast("bigint").alias("u"), "i").union(r.where("u % 50 = 0").select("u", F.lit(-1).cast("bigint").alias("i")))
+    return known.union(cold).union(r.sparkSession.sql("SELECT -1L AS u, -1L AS i")).distinct()
+
+
+@register(f"WITH {RATINGS}, {MEANS} SELECT i, mu, n, round(base, 6) AS base FROM m")
+def item_means(spark, d):
+    return recommend.item_means(_ratings(spark, d)).withColumn("base", F.round("base", 6))
+
+
+@register(f"WITH {RATINGS}, {MEANS}, {SIMILAR} SELECT i, j, round(w, 6) AS w FROM s WHERE i < j")
+def item_similarity(spark, d):
+    r = _ratings(spark, d)
+    return recommend.item_similarity(r, recommend.item_means(r)).where("i < j").withColumn("w", F.round("w", 6))
+
+
+@register(cf_sql("w / (1 + ln(n))", "c3 > 0") + " SELECT u, i, round(coalesce(cf, fb), 6) AS prediction FROM f")
+def item_cf_predict(spark, d):
+    r = _ratings(spark, d)
+    return recommend.predict(r, _tests(r)).withColumn("prediction", F.round("prediction", 6))
+
+
+@register(cf_sql("w", "c3 > 0 AND c > 7 AND c5 > 0") + " SELECT u, i, round(CASE WHEN cf IS NULL THEN fb ELSE 0.2 * cf + 0.8 * fb END, 6) AS prediction FROM f")
+def hybrid_blend(spark, d):
+    """With the tiered mean in the model's place, so that SQL can follow."""
+    r = _ratings(spark, d)
+    cf = recommend.item_cf(r, _tests(r), discount=False, least_neighbours=7)
+    return recommend.hybrid(cf, cf.select("u", "i", F.col("fallback").alias("m"))).withColumn("prediction", F.round("prediction", 6))
+
+
+@register(f"""WITH {RATINGS}, {MEANS}, e AS (SELECT r.x - m.base AS e FROM r JOIN m ON r.i = m.i)
+SELECT CAST(least(floor(abs(e)), 4) AS INTEGER) AS bucket, count(*) AS n, round((SELECT sqrt(avg(e * e)) FROM e), 6) AS rmse FROM e GROUP BY 1""")
+def rmse_hist(spark, d):
+    r = _ratings(spark, d)
+    return recommend.evaluate(r.join(recommend.item_means(r), "i"), "x", "base").withColumn("rmse", F.round("rmse", 6))
+
+
+def _features(spark, d):
+    """(u, i, x) with features of the user (orders, spending, years) and the item (supplier and its parts)."""
+    c, o, s, l = (table(spark, d, n) for n in ("customer", "orders", "supplier", "lineitem"))
+    spent = o.groupBy(F.col("o_custkey").alias("u")).agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"), F.min(F.year("o_orderdate")).alias("since"), F.count_distinct(F.year("o_orderdate")).alias("years"), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("n_urgent"))
+    sold = l.groupBy(F.col("l_suppkey").alias("i")).agg(F.count("*").alias("n_lines"), F.count_distinct("l_partkey").alias("n_parts"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
+    users = c.select(F.col("c_custkey").alias("u"), F.col("c_acctbal").alias("u_balance")).join(spent, "u", "left")
+    items = s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("i_balance")).join(sold, "i", "left")
+    return _ratings(spark, d).join(users, "u").join(items, "i").fillna(0)
+
+
+FEATURES = ["n_orders", "spent", "since", "years", "n_urgent", "n_lines", "n_parts", "n_returned", "u_balance", "i_balance"]
+FEATURE_SQL = f"""WITH {RATINGS}, a AS (SELECT o_custkey AS u, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent, min(year(o_orderdate)) AS since, count(DISTINCT year(o_orderdate)) AS years,
+    count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_urgent FROM orders GROUP BY 1),
+  b AS (SELECT l_suppkey AS i, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts, count(*) FILTER (l_returnflag = 'R') AS n_returned FROM lineitem GROUP BY 1),
+  f AS (SELECT r.u, r.i, x, n_orders, spent, CAST(since AS INTEGER) AS since, years, n_urgent, n_lines, n_parts, n_returned, c_acctbal AS u_balance, s_acctbal AS i_balance
+    FROM r JOIN a ON r.u = a.u JOIN b ON r.i = b.i JOIN customer ON c_custkey = r.u JOIN supplier ON s_suppkey = r.i)"""
+
+
+@register(FEATURE_SQL + " SELECT u, i, n_orders, spent, since, years, n_urgent, n_lines, n_parts, n_returned, u_balance, i_balance FROM f")
+def features_v1(spark, d):
+    return _features(spark, d).select("u", "i", *FEATURES)
+
+
+@register(FEATURE_SQL + """ SELECT u, i, CAST(2019 - since AS INTEGER) AS age, round(CASE WHEN n_orders = 0 THEN 0 ELSE n_urgent / n_orders END, 6) AS urgent_share,
+  round(CASE WHEN n_lines = 0 THEN 0 ELSE n_returned / n_lines END, 6) AS returned_share, n_parts, years FROM f""")
+def features_v2(spark, d):
+    share = lambda a, b: F.round(F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b)), 6)
+    return _features(spark, d).select("u", "i", (2019 - F.col("since")).alias("age"), share("n_urgent", "n_orders").alias("urgent_share"), share("n_returned", "n_lines").alias("returned_share"), "n_parts", "years")
+
+
+@register()
+def gbt_predict(spark, d):
+    rows = cut(_features(spark, d))
+    test = F.pmod(F.col("u") * 31 + F.col("i"), F.lit(10)) == 0
+    return recommend.boosted_trees(rows.where(~test), rows.where(test), FEATURES, "x", trees=10).select("u", "i", "x", F.round("m", 6).alias("prediction"))
+
+
+# Graphs ------------------------------------------------------------------------------------------------------------
+
+
+def edges_sql(least):
+    return f"""p AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  e AS (SELECT a.u AS src, b.u AS dst, count(*) AS common FROM p a JOIN p b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2 HAVING count(*) >= {least}),
+  w AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"""
+
+
+def _edges(spark, d, least=6):
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    pairs = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
+    return graph.cooccurrence_edges(pairs, least)
+
+
+@register(f"WITH {edges_sql(6)} SELECT src, dst, common FROM e")
+def cooc_edges(spark, d):
+    return _edges(spark, d)
+
+
+@register(f"WITH {edges_sql(6)} SELECT src AS node, count(*) AS degree FROM w GROUP BY 1")
+def graph_degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@register(f"""WITH {edges_sql(6)}, k AS (SELECT c_nationkey AS g, count(*) AS d FROM w JOIN customer ON c_custkey = src GROUP BY 1),
+  a AS (SELECT x.c_nationkey AS g, count(*) AS c FROM e JOIN customer x ON x.c_custkey = src JOIN customer y ON y.c_custkey = dst AND x.c_nationkey = y.c_nationkey GROUP BY 1)
+SELECT round(coalesce(sum(coalesce(c, 0) / (SELECT count(*) FROM e) - pow(d / (2.0 * (SELECT count(*) FROM e)), 2)), 0), 6) AS q FROM k LEFT JOIN a ON a.g = k.g""")
+def modularity(spark, d):
+    groups = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("label"))
+    return graph.modularity(cut(_edges(spark, d)), groups).select(F.round(F.coalesce("q", F.lit(0.0)), 6).alias("q"))
+
+
+@register(f"WITH RECURSIVE {edges_sql(6)}, c(v, l) AS (SELECT DISTINCT src, src FROM w UNION SELECT w.dst, c.l FROM c JOIN w ON w.src = c.v WHERE c.l < w.dst) SELECT v AS node, min(l) AS label FROM c GROUP BY 1")
+def connected_components(spark, d):
+    return graph.connected_components(_edges(spark, d))
+
+
+ROUNDS = ", ".join(
+    f"l{k} AS (SELECT src AS node, first(label ORDER BY n DESC, label) AS label FROM (SELECT src, label, count(*) AS n FROM w JOIN l{k - 1} ON node = dst GROUP BY 1, 2) GROUP BY 1)" for k in range(1, 6)
+)
+
+
+@register(f"WITH {edges_sql(6)}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM w), {ROUNDS} SELECT node, label FROM l5")
+def label_propagation(spark, d):
+    return graph.label_propagation(_edges(spark, d))
+
+
+@register()
+def edge_betweenness(spark, d):
+    return graph.edge_betweenness(cut(_edges(spark, d, 7))).withColumn("betweenness", F.round("betweenness", 5))
+
+
+@register()
+def edge_betweenness_indegree(spark, d):
+    return graph.edge_betweenness(cut(_edges(spark, d, 7)), "indegree").withColumn("betweenness", F.round("betweenness", 5))
+
+
+@register()
+def girvan_newman(spark, d):
+    return graph.girvan_newman(cut(_edges(spark, d, 8 if "0.1" in d else 7)))
+
+
+# Sketches ----------------------------------------------------------------------------------------------------------
+
+BITS, BLOOM = 2039, 3
+bloom_bits = " UNION ".join(f"SELECT id, seq, batch, ({hash_terms(k)[0]} * (id % {BITS}) + {hash_terms(k)[1]}) % {BITS} AS bit FROM f" for k in range(BLOOM))
+
+
+@register(f"""WITH s AS (SELECT o_orderkey // 1000 AS batch, o_orderkey AS seq, o_custkey AS id FROM orders), f AS (SELECT id, min(seq) AS seq, min(seq) // 1000 AS batch FROM s GROUP BY 1),
+  k AS ({bloom_bits}), t AS (SELECT bit, min(seq) AS t FROM k GROUP BY 1), h AS (SELECT id, batch, max(t) < seq AS fp FROM k JOIN t ON k.bit = t.bit GROUP BY id, batch, seq),
+  a AS (SELECT b.batch, count(*) FILTER (fp) AS fp, count(id) AS n FROM (SELECT DISTINCT batch FROM s) b LEFT JOIN h ON h.batch = b.batch GROUP BY 1),
+  c AS (SELECT batch, sum(fp) OVER w AS fp, sum(n) OVER w AS n FROM a WINDOW w AS (ORDER BY batch))
+SELECT batch, CAST(fp AS BIGINT) AS false_positives, CAST(n AS BIGINT) AS seen, round(CASE WHEN n = 0 THEN 0 ELSE fp / n END, 6) AS fpr FROM c""")
+def bloom_fpr(spark, d):
+    s = table(spark, d, "orders").select(F.expr("o_orderkey div 1000").alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"))
+    return sketches.bloom_fpr(s, BITS, BLOOM).withColumn("fpr", F.round("fpr", 6))
+
+
+FM = 20
+fm_zeros = " UNION ALL ".join(f"SELECT w, {k // 2} AS g, {k} AS k, ({hash_terms(k)[0]} * (id % 69997) + {hash_terms(k)[1]}) % 69997 AS v FROM s" for k in range(FM))
+WINDOWS = "b AS (SELECT event_id // 300 AS batch, user_id AS id FROM events), s AS (SELECT DISTINCT w, id FROM b, (SELECT unnest(range(0, 1 + (SELECT max(batch) FROM b) // 2)) AS w) WHERE batch BETWEEN 2 * w AND 2 * w + 2 AND 2 * w + 2 <= (SELECT max(batch) FROM b))"
+
+
+@register(f"""WITH {WINDOWS}, h AS ({fm_zeros}), r AS (SELECT w, g, k, max(CASE WHEN v = 0 THEN 16 ELSE length(bin(v)) - length(rtrim(bin(v), '0')) END) AS r FROM h GROUP BY 1, 2, 3),
+  m AS (SELECT w, g, avg(pow(2, r)) AS m FROM r GROUP BY 1, 2), o AS (SELECT w, m, row_number() OVER (PARTITION BY w ORDER BY m, g) AS n FROM m)
+SELECT o.w, (SELECT count(*) FROM s WHERE s.w = o.w) AS truth, m AS estimate FROM o WHERE n = {FM // 4 + 1}""")
+def fm_windows(spark, d):
+    s = table(spark, d, "events").select(F.expr("event_id div 300").alias("batch"), F.col("user_id").alias("id"))
+    return sketches.fm_windows(s, FM)
+
+
+@register("""WITH s AS (SELECT event_id // 1000 AS batch, user_id AS id, event_id AS seq, (event_id * 1103515245 + 12345) % 2147483647 AS p FROM events)
+SELECT a.batch, s.id, s.seq FROM (SELECT DISTINCT batch FROM s) a JOIN s ON s.batch <= a.batch QUALIFY row_number() OVER (PARTITION BY a.batch ORDER BY p, seq) <= 20""")
+def reservoir(spark, d):
+    s = table(spark, d, "events").select(F.expr("event_id div 1000").alias("batch"), F.col("user_id").alias("id"), F.col("event_id").alias("seq"))
+    return sketches.reservoir(s, 20)
+
+
+@register("""SELECT CAST(to_timestamp(s) AT TIME ZONE 'UTC' AS TIMESTAMP) AS start, count(DISTINCT user_id) AS users
+FROM (SELECT user_id, epoch(ts) AS t, unnest([floor(epoch(ts) / 7200) * 7200, floor(epoch(ts) / 7200) * 7200 - 7200]) AS s FROM events) WHERE t < s + 10800 GROUP BY 1""")
+def sliding_distinct(spark, d):
+    return sketches.sliding_distinct(table(spark, d, "events"), "ts", "user_id").select(F.col("start").cast("timestamp_ntz").alias("start"), "users")
+
+
+# Clustering --------------------------------------------------------------------------------------------------------
+
+SUMMARY = "x AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, dim, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY 1, 2)"
+
+
+def _points(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
+@register(f"WITH {SUMMARY} SELECT label, CAST(dim AS INTEGER) AS dim, n, round(s, 6) AS sum, round(q, 6) AS sumsq FROM s")
+def bfr_summary(spark, d):
+    return clustering.summaries(_points(spark, d), "label").select("label", "dim", "n", F.round("sum", 6).alias("sum"), F.round("sumsq", 6).alias("sumsq"))
+
+
+@register(f"""WITH {SUMMARY}, m AS (SELECT vec_id, s.label, sqrt(sum(pow(v - s / n, 2) / greatest(q / n - pow(s / n, 2), 1e-12))) AS dist, count(*) AS d FROM x JOIN s ON x.dim = s.dim GROUP BY 1, 2)
+SELECT vec_id AS id, CASE WHEN min(dist) < 2 * sqrt(max(d)) THEN first(label ORDER BY dist, label) ELSE -1 END AS cluster FROM m GROUP BY 1""")
+def bfr_assign(spark, d):
+    p = _points(spark, d)
+    return clustering.assign(p, clustering.collected(p, "label")).select("id", "cluster")
+
+
+@register()
+def bfr(spark, d):
+    return clustering.bfr(_points(spark, d).select("id", "features"), 8)[0]
+
+
+# Streams -----------------------------------------------------------------------------------------------------------
+
+
+@register()
+def stream_window_counts(spark, d) -> DataFrame:
+    return streams.drain(streams.windowed_counts(streams.event_stream(spark, d)), "complete")
+
+
+@register()
+def stream_reservoir(spark, d) -> DataFrame:
+    return streams.drain(streams.reservoirs(streams.event_stream(spark, d)), "update")
