@@ -16,22 +16,22 @@ WINDOW, SET_WINDOWS = 10, 50_000
 
 
 def windows_of(items: DataFrame, n: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, len, hash, words) of each distinct window; an item of fewer words, but not none, is one window."""
+    """(item_id, len, hash, words, gate) of each distinct window; gate is a hash of its first, middle and last word; an item of fewer words, but not none, is one window."""
     words = F.split(F.trim(spaced_words(F.col(f"`{text}`").cast("string"))), " ")
     items = items.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), words.alias("w")).where("w[0] <> ''")
     items = items.withColumn("len", F.least(F.size("w"), F.lit(n)))
     at = F.explode(F.sequence(F.lit(1), F.col("w").getItem(0).isNotNull().cast("int") * (F.size("w") - F.col("len") + 1))).alias("at")
-    return items.select("item_id", "len", "w", at).select("item_id", "len", F.slice("w", F.col("at"), F.col("len")).alias("g")).select("item_id", "len", F.xxhash64("g").alias("hash"), F.array_join("g", " ").alias("words")).distinct()
+    return items.select("item_id", "len", "w", at).select("item_id", "len", F.slice("w", F.col("at"), F.col("len")).alias("g")).select("item_id", "len", F.xxhash64("g").alias("hash"), F.array_join("g", " ").alias("words"), F.expr("xxhash64(g[0], g[len div 2], g[len - 1])").alias("gate")).distinct()
 
 
-def _lookup(windows: DataFrame, set_windows: int) -> dict[int, list[tuple[int, str]] | None]:
-    """For each length of window its hashes and words, or None for each if there are more than set_windows in all."""
-    found = windows.select("len", "hash", "words").distinct().limit(set_windows + 1).collect()  # bounded
+def _lookup(windows: DataFrame, set_windows: int) -> dict[int, list[tuple[int, str, int]] | None]:
+    """For each length of window its hashes, words and gates, or None for each if there are more than set_windows in all."""
+    found = windows.select("len", "hash", "words", "gate").distinct().limit(set_windows + 1).collect()  # bounded
     if len(found) > set_windows:
         return {r.len: None for r in windows.select("len").distinct().collect()}
     out: dict = {}
     for r in found:
-        out.setdefault(r.len, []).append((r.hash, r.words))
+        out.setdefault(r.len, []).append((r.hash, r.words, r.gate))
     return out
 
 
@@ -46,7 +46,9 @@ def _candidates(lookup: dict, text: str) -> str:
         hashed = f"xxhash64(slice(w, i, {length}))"
         at = f"sequence(1, size(w) - {length} + 1)"
         if known is not None:
-            at = f"filter({at}, i -> {hashed} IN ({','.join(sorted({literal(h) for h, _ in known}))}))"
+            # a hash of three words keeps nearly all windows from being sliced and hashed whole
+            gate = f"xxhash64(w[i - 1], w[i - 1 + {length // 2}], w[i - 2 + {length}]) IN ({','.join(sorted({literal(g) for _, _, g in known}))})"
+            at = f"filter({at}, i -> {gate} AND {hashed} IN ({','.join(sorted({literal(h) for h, _, _ in known}))}))"
         made = f"transform({at}, i -> named_struct('at', i, 'len', {length}, 'hash', {hashed}, 'words', array_join(slice(w, i, {length}), ' ')))"
         found.append(f"CASE WHEN w[0] <> '' AND size(w) >= {length} THEN {made} ELSE cast(array() AS {kind}) END")
     body = f"concat({', '.join(found)})" if found else f"cast(array() AS {kind})"
@@ -93,7 +95,7 @@ def _with_hits(df: DataFrame, items: DataFrame, n: int, text: str, set_windows:
     lookup = _lookup(windows, set_windows)
     hits, key, other = unused(df, "hits_", "key_", "key2_")
     if all(lookup.values()):
-        texts = ",".join(f"'{t}'" for t in sorted({t for known in lookup.values() for _, t in known}))
+        texts = ",".join(f"'{t}'" for t in sorted({t for known in lookup.values() for _, t, _ in known}))
         none = "cast(array() as array<struct<start:int,end:int>>)"
         true = f"array_sort(transform(filter({_candidates(lookup, text)}, x -> x.words IN ({texts})), x -> named_struct('start', x.at - 1, 'end', x.at - 1 + x.len)))" if texts else none
         return df.withColumn(hits, F.expr(MERGE.format(h=true))), hits
