@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import crc_mod, table
+from sparkloom.session import cut
 
 WIDTH, FILTERS, CHUNK, OVERLAP = 4, 16, 512, 16
 #: The training sample's bound: rows, and bytes of a text (a longer one is not in the sample, though it is scored whole).
@@ -124,14 +125,27 @@ def _add_gradient(net: Network, codes: np.ndarray, y: float, weight: float, grad
         np.add.at(grads[0][j], (codes[at + j], each[None, :].repeat(len(starts), axis=0)), dr)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
-    """A network for ``quality``, learned from labelled rows whose crc32(doc_id as text) mod 3 is not 1.
+def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list:
+    """What is learned from: rows (hash, doc_id, quality, text) of labelled documents whose crc32(doc_id as text) mod 3 is not 1.
 
-    At most ``rows`` of them with at most ``most_bytes`` bytes, those of least hash: a bounded sample, the same for the same tables.
+    At most ``rows`` of them with at most ``most_bytes`` bytes, those of least hash: a bounded sample, the same for the same tables. Of a repeated
+    id, the least text counts. The ids are chosen first, below a hash that leaves about twice as many as are wanted, so that what tasks send on is
+    bounded by ``rows`` however many tasks there are; texts are read for the chosen ids only.
     """
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(crc_mod(F.col("doc_id"), 3) != 1)
     some = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
-    sample = known.join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    ids = cut(known.join(some.select("doc_id").distinct(), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id").alias("hash")))
+    share = (2 * rows + 100) / max(1, ids.count())
+    if share < 1:
+        ids = ids.where(F.col("hash").cast("double") < -(2.0**63) + share * 2.0**64)
+    chosen = ids.orderBy("hash", "doc_id").limit(rows)  # the broadcast side has this many rows at most
+    texts = some.join(F.broadcast(chosen), "doc_id").groupBy("hash", "doc_id", "quality").agg(F.min("text").alias("text"))
+    return sorted(texts.collect(), key=lambda r: (r.hash, r.doc_id))  # bounded
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network for ``quality``, learned from the rows of sample_of()."""
+    sample = sample_of(docs, labels, rows, most_bytes)
     return fit([r.text for r in sample], [r.quality for r in sample])
 
 

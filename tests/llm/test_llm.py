@@ -230,6 +230,22 @@ def test_quality(spark):
     assert 0 < quality.score(quality.fit([], []), "x") < 1
 
 
+def test_quality_sample(spark):
+    docs_ = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'z' AS hash", "0 AS quality")
+    again = docs_.where("doc_id = 5").selectExpr("doc_id", "'a' AS text", "hash", "quality", "explode(sequence(1, 500))").drop("col")
+    odd = spark.createDataFrame([(None, "null id", "z", 0), (6, None, "z", 0), (7, "long" * 9, "z", 0)], "doc_id bigint, text string, hash string, quality int")
+    docs_ = docs_.where("doc_id NOT IN (6, 7)").union(again).union(odd)
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 9 THEN NULL ELSE cast(id % 2 AS int) END AS quality", "1 AS toxic")
+    every = quality.sample_of(docs_, labels, rows=5000, most_bytes=20)
+    want = {i: "text %d" % i for i in range(3000) if i % 10 != 9 and zlib.crc32(str(i).encode()) % 3 != 1 and i != 7}
+    want.update({k: v for k, v in {5: "a", 6: None}.items() if k in want})
+    assert {r.doc_id: r.text for r in every} == want and len(every) == len(want)
+    assert all(r.quality == r.doc_id % 2 for r in every)
+    for n in (1, 3, 40):
+        assert quality.sample_of(docs_, labels, rows=n, most_bytes=20) == every[:n]
+    assert quality.sample_of(docs_.limit(0), labels) == []
+
+
 def test_chunks_cover():
     for n in (1, 15, 16, 17, 511, 512, 513, 1007, 1008, 1009, 5000):
         s = quality.starts_of(n)
