@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import crc_mod, lower_ascii, table, unused
-from sparkloom.session import cut_table
+from sparkloom.session import cut, cut_table
 
 STATES, OWN, CLASSES, HEAD, ITERATIONS, SEED = 6, 2_047, 512, 50_000, 2, 11
 SYMBOLS = 1 + OWN + CLASSES
@@ -129,6 +129,20 @@ def _words(text) -> F.Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def most_frequent(counted: DataFrame, n: int) -> list:
+    """The n rows (word, c) of greatest c, ties by word; counts are positive.
+
+    Words with fewer binary digits in their counts than the n-th has play no part, and the driver gets n rows, not n from each task.
+    """
+    digits, above, least = F.length(F.bin("c")), 0, 0
+    for r in sorted(counted.groupBy(digits.alias("d")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.d):  # 64 rows at most
+        above, least = above + r.n, r.d
+        if above >= n:
+            break
+    top = cut(counted.where(digits >= least).orderBy(F.desc("c"), "word").limit(n))
+    return sorted(top.collect(), key=lambda r: (-r.c, r.word))
+
+
 def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: list[str] | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """The columns of ``keep`` (all of df's without it), n_tokens, n_known, train_tokens, base_score and score (log10), a row for each row of df.
 
@@ -147,7 +161,7 @@ def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: lis
     total, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     below = total + 0.5 * (kinds + 1)
-    head = counted.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # bounded
+    head = most_frequent(counted, HEAD)
     own = {r.word for r in head[:OWN]}
     bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(CLASSES))
     mass = np.full(CLASSES, 0.5)  # of unseen words

@@ -246,6 +246,15 @@ def test_quality_sample(spark):
     assert quality.sample_of(docs_.limit(0), labels) == []
 
 
+def test_most_frequent(spark):
+    rows = [(f"w{i}{c}", n) for i in range(300) for c, n in (("", 1 + i % 7), ("é", 1 + i * i % 1000))]
+    counted = spark.createDataFrame(rows, "word string, c bigint").repartition(5)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for n in (1, 2, 77, 599, 600, 1000):
+        assert [tuple(r) for r in language_model.most_frequent(counted, n)] == want[:n]
+    assert language_model.most_frequent(counted.limit(0), 5) == []
+
+
 def test_chunks_cover():
     for n in (1, 15, 16, 17, 511, 512, 513, 1007, 1008, 1009, 5000):
         s = quality.starts_of(n)
