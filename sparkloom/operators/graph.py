@@ -12,6 +12,8 @@ from sparkloom.session import cut
 
 #: Most edges that go to every worker, or to one group, at a time.
 BROADCAST_EDGES, GROUP_EDGES = 1_000_000, 5_000
+#: A key is hot with over LEAST_HOT rows and over one in HOT_SHARE of all; so fewer than HOT_SHARE keys are.
+LEAST_HOT, HOT_SHARE = 64, 1_024
 
 
 def cooccurrence_edges(pairs: DataFrame, least: int) -> DataFrame:
@@ -30,19 +32,36 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
+def hot_values(df: DataFrame, key: str) -> list:
+    """Values of a column that over LEAST_HOT rows and over one in HOT_SHARE of all rows have: fewer than HOT_SHARE, whatever the size of df. df is read twice."""
+    least = max(LEAST_HOT, df.count() // HOT_SHARE)
+    return [r[0] for r in df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > least).select(key).collect()]
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """left.join(right, key), for a right side with each key once. Rows of left with a hot key stay where they are; the few matches are broadcast."""
+    hot = hot_values(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key)
+    warm = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key)
+    return warm.unionByName(left.where(~F.col(key).isin(hot)).join(right, key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable, for each node that has an edge.
 
     Every round a node takes the least label of itself and its neighbours, then its label's label, until nothing changes:
-    about as many rounds as the logarithm of the longest path. Each round is cut in the shared checkpoint folder.
+    about as many rounds as the logarithm of the longest path. Each round is cut in the shared checkpoint folder. The edges of a
+    star meet at its centre, and its nodes at their label: such hot keys are looked up by broadcast.
     """
     both = cut(both_ways(edges.where("src <> dst")).distinct())
+    hot = hot_values(both, "dst")
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("src")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = new.select(F.col("node").alias("target"), F.col("label").alias("onward"))
-        labels = cut(new.join(target, F.col("label") == F.col("target")).select("node", "old", F.least("label", "onward").alias("label")))
+        near = lookup(both, labels.withColumnRenamed("node", "dst"), "dst", hot).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
+        new = cut(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        onward = new.select(F.col("node").alias("label"), F.col("label").alias("onward"))
+        labels = cut(lookup(new, onward, "label").select("node", "old", F.least("label", "onward").alias("label")))
         if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -47,6 +47,19 @@ def test_communities(spark):
     assert {r.node: r.label for r in graph.label_propagation(edges(spark, "ab"), 5).collect()} == {"a": "b", "b": "a"}
 
 
+def test_hot_keys(spark):
+    star = [(1, k) for k in range(100, 400)] + [(399, 500), (500, 501), (501, 502), (600, 601)]
+    e = spark.createDataFrame(star + star[:9] + [(7, 7)], "src bigint, dst bigint")
+    assert graph.hot_values(graph.both_ways(e), "dst") == [1]
+    want = {1: 1, **dict.fromkeys(range(100, 400), 1), 500: 1, 501: 1, 502: 1, 600: 600, 601: 600}
+    assert {r.node: r.label for r in graph.connected_components(e).collect()} == want
+    left = spark.createDataFrame([(5, k) for k in range(90)] + [(6, 0), (8, 0), (None, 1)], "key bigint, x bigint")
+    right = spark.createDataFrame([(5, "a"), (6, "b"), (7, "c")], "key bigint, y string")
+    assert graph.hot_values(left, "key") == [5] and graph.hot_values(left.limit(0), "key") == []
+    rows = lambda df: sorted(tuple(r) for r in df.select("key", "x", "y").collect())
+    assert rows(graph.lookup(left, right, "key")) == rows(left.join(right, "key")) and len(rows(graph.lookup(left, right, "key"))) == 91
+
+
 def test_itemsets(spark):
     rows = [(k, i) for k, b in enumerate(["abc", "ab", "ac", "bc", "abcd", "d"]) for i in b]
     b = baskets.build_baskets(spark.createDataFrame(rows + rows[:3], "b int, i string"), "b", "i")
