@@ -3,26 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sparkloom.session import cut
+from sparkloom.operators.graph import connected_components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable by edges (u, v), for each node that has an edge.
-
-    Every round a node takes the least label of itself and its neighbours, then its label's label, until nothing changes:
-    about as many rounds as the logarithm of the longest path. Each round is cut in the shared checkpoint folder.
-    """
-    both = edges.select("u", "v").where("u <> v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).where("u <> v"))
-    both = cut(both.distinct())
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = cut(labels)
-    while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = new.select(F.col("node").alias("target"), F.col("label").alias("onward"))
-        labels = cut(new.join(target, F.col("label") == F.col("target")).select("node", "old", F.least("label", "onward").alias("label")))
-        if labels.where("label <> old").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    """(node, label): the least node reachable by edges (u, v), for each node that has an edge."""
+    return connected_components(edges.select("u", "v").toDF("src", "dst"))

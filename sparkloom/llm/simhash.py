@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import table, unused
 from sparkloom.llm.graph import components
+from sparkloom.operators.graph import lookup
 from sparkloom.session import cut
 
 SHINGLE, DISTANCE = 4, 4
@@ -163,8 +164,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     roots = cut(component_of(prints, distance))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
     heads = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(heads, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(lookup(roots, heads, "root").select("fp", "component_id"))
+    return lookup(prints, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:

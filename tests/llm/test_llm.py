@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, language_model, licenses, neighbours, pii, quality, sharding, simhash, token_counts
+from sparkloom.operators import graph
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id bigint, text string, lang string, score double, `n_words` bigint, rank int"
@@ -323,11 +324,24 @@ def test_links_of_fingerprints(spark, monkeypatch, pairs_):
     prints = sorted(prints)
     monkeypatch.setattr(simhash, "PAIRS", pairs_)
     monkeypatch.setattr(simhash, "CELL", 3)
+    monkeypatch.setattr(graph, "LEAST_HOT", 64 if pairs_ else 2)
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp bigint")
     got = {int(np.int64(x.fp).astype(np.uint64)): x.root for x in simhash.component_of(df).collect()}
     assert same_groups([got[p] for p in prints], brute_components(prints))
 
 
+def test_simhash_of_hot_copies(spark):
+    word = lambda k: f"w{k}"
+    text = " ".join(map(word, range(400)))
+    rows = [(k, text) for k in range(900, 1000)] + [(k, f"{text} {word(k)}") for k in range(500, 600)] + [(k, f"other text {k} " * 9) for k in range(3)]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    prints = [brute_print(t) for _, t in rows]
+    roots = brute_components(prints)
+    least = {k: min(r[0] for r, q in zip(rows, roots, strict=True) if q == k) for k in set(roots)}
+    assert got == {r[0]: (f"{p:016x}", least[k]) for r, p, k in zip(rows, prints, roots, strict=True)}
+    assert Counter(c for _, c in got.values()).most_common(1)[0][1] >= 100
+
+
 def test_anchors_cover():
     r = random.Random(6)
     for bits in (21, 22):
