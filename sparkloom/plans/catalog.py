@@ -357,7 +357,7 @@ def edge_betweenness_indegree(spark, d):
 
 @register()
 def girvan_newman(spark, d):
-    return graph.girvan_newman(cut(_edges(spark, d, 8 if "0.1" in d else 7)))
+    return graph.girvan_newman(cut(_edges(spark, d, 7)))
 
 
 # Sketches ----------------------------------------------------------------------------------------------------------

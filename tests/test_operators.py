@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import columns
 from sparkloom.operators import baskets, clustering, graph, recommend, similarity, sketches
+from sparkloom.plans import catalog
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import sketches as streams
 
@@ -47,6 +48,13 @@ def test_communities(spark):
     assert {r.node: r.label for r in graph.label_propagation(edges(spark, "ab"), 5).collect()} == {"a": "b", "b": "a"}
 
 
+def test_communities_do_not_depend_on_the_path(spark, tmp_path):
+    """Equal tables give equal communities, whatever the folder is called."""
+    (tmp_path / "sf0.1").symlink_to("/root/testdata/sf0.01")
+    found = [Counter(tuple(r) for r in catalog.QUERIES["girvan_newman"](spark, d).collect()) for d in (str(tmp_path / "sf0.1"), "/root/testdata/sf0.01")]
+    assert found[0] == found[1] and len(found[1]) == 233
+
+
 def test_hot_keys(spark):
     star = [(1, k) for k in range(100, 400)] + [(399, 500), (500, 501), (501, 502), (600, 601)]
     e = spark.createDataFrame(star + star[:9] + [(7, 7)], "src bigint, dst bigint")
