@@ -1,13 +1,14 @@
 """License scans by ordered signature rules, with built-in functions only.
 
 Texts become words with single spaces. A rule has a keyword, a regular expression over words, a label and a priority. Only texts that
-hold one of the general keywords go on, and only the rules whose keyword occurs are run on them. A detection inside another one, or equal to
+hold one of the general keywords go on, and only the rules whose keyword occurs are run on them; a rule's keyword is a literal part of its own expression. A detection inside another one, or equal to
 one of higher priority, is suppressed.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,76 +18,75 @@ from sparkloom.llm.common import count_words, spaced_words, table, unused
 #: The phrases of the base and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Families: label, keyword that every text of the family holds, names, identifiers, and words of addresses or of the text itself. All are
-#: regular expressions over lower-case words; V stands for a version.
+#: Families: label, names, identifiers, and words of addresses or of the text itself. All are regular expressions over lower-case words; V stands for a version.
 FAMILIES = (
-    ("agpl", "affero", ("(?:gnu )?affero general public licen[cs]e",), ("agpl V(?: only| or later)?",), ("gnu org licenses agpl",)),
-    ("agpl", "agpl", ("(?:gnu )?agpl(?:v[0-9])?",), ("agpl V(?: only| or later)?",), ("affero gpl",)),
-    ("lgpl", "lesser", ("(?:gnu )?lesser general public licen[cs]e",), ("lgpl V(?: only| or later)?",), ("gnu org licenses lgpl",)),
-    ("lgpl", "library general", ("(?:gnu )?library general public licen[cs]e",), ("lgpl 2 0",), ("gnu org copyleft lgpl",)),
-    ("lgpl", "lgpl", ("(?:gnu )?lgpl(?:v[0-9])?",), ("lgpl V(?: only| or later)?",), ("lesser gpl",)),
-    ("gfdl", "free documentation", ("(?:gnu )?free documentation licen[cs]e",), ("gfdl V(?: only| or later)?",), ("gnu org licenses fdl",)),
-    ("gpl", "general public", ("(?:the )?gnu general public licen[cs]e", "general public licen[cs]e"), ("gpl V(?: only| or later)?",), ("free software foundation either version V",)),
-    ("gpl", "gpl", ("(?:gnu )?gpl(?:v[0-9])?",), ("gpl V(?: only| or later)?",), ("gnu org licenses gpl", "gnu org licenses old licenses gpl")),
-    ("apache", "apache", ("apache (?:software )?licen[cs]e", "the apache 2 0 licen[cs]e"), ("apache V",), ("apache org licenses license V", "opensource org licenses apache V")),
-    ("mit", "mit", ("(?:the )?mit(?: x11| expat)? licen[cs]e",), ("mit",), ("opensource org licenses mit", "mit style licen[cs]e")),
-    ("mit", "hereby granted", ("permission is hereby granted free of charge to any person obtaining a copy",), ("mit 0",), ("the above copyright notice and this permission notice shall be included in all copies",)),
-    ("mit", "expat", ("expat licen[cs]e",), ("mit",), ("expat mit licen[cs]e",)),
-    ("bsd-4-clause", "bsd", ("(?:the )?(?:bsd 4 clause|4 clause bsd|original bsd) licen[cs]e",), ("bsd 4 clause",), ("all advertising materials mentioning features or use of this software",)),
-    ("bsd-3-clause", "bsd", ("(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) licen[cs]e",), ("bsd 3 clause",), ("opensource org licenses bsd 3 clause",)),
-    ("bsd-2-clause", "bsd", ("(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) licen[cs]e",), ("bsd 2 clause",), ("opensource org licenses bsd 2 clause",)),
-    ("bsd", "bsd", ("(?:the )?bsd(?: style| type)? licen[cs]e",), ("bsd [0-9a-z]+",), ("opensource org licenses bsd",)),
-    ("bsd", "source and binary", ("redistribution and use in source and binary forms with or without modification are permitted",), ("0bsd",), ("redistributions of source code must retain the above copyright notice",)),
-    ("isc", "isc", ("(?:the )?isc licen[cs]e",), ("isc",), ("opensource org licenses isc",)),
-    ("isc", "purpose with or without", ("permission to use copy modify and or distribute this software for any purpose with or without fee",), ("isc",), ("the software is provided as is and the author disclaims all warranties",)),
-    ("mpl", "mozilla", ("mozilla public licen[cs]e",), ("mpl V",), ("mozilla org mpl",)),
-    ("mpl", "mpl", ("mpl V",), ("mpl V",), ("this source code form is subject to the terms of the mozilla public license",)),
-    ("epl", "eclipse", ("eclipse public licen[cs]e",), ("epl V",), ("eclipse org legal epl", "eclipse org org documents epl")),
-    ("edl", "eclipse", ("eclipse distribution licen[cs]e",), ("edl V",), ("eclipse org org documents edl",)),
-    ("cddl", "common development", ("common development and distribution licen[cs]e",), ("cddl V",), ("opensource org licenses cddl",)),
-    ("cpl", "common public", ("common public licen[cs]e",), ("cpl V",), ("opensource org licenses cpl",)),
-    ("ipl", "ibm public", ("ibm public licen[cs]e",), ("ipl V",), ("opensource org licenses ibmpl",)),
-    ("eupl", "european union public", ("european union public licen[cs]e",), ("eupl V",), ("joinup ec europa eu",)),
-    ("artistic", "artistic", ("(?:the )?(?:perl )?artistic licen[cs]e",), ("artistic V",), ("opensource org licenses artistic",)),
-    ("boost", "boost", ("boost software licen[cs]e",), ("bsl V",), ("boost org license V",)),
-    ("zlib", "zlib", ("(?:the )?zlib(?: libpng)? licen[cs]e",), ("zlib",), ("opensource org licenses zlib", "zlib net zlib license")),
-    ("libpng", "libpng", ("libpng licen[cs]e",), ("libpng V",), ("libpng org pub png src libpng license",)),
-    ("unlicense", "unlicense", ("(?:the )?unlicense",), ("unlicense",), ("unlicense org",)),
-    ("public-domain", "public domain", ("(?:released|dedicated|placed|is) (?:in|into|to) the public domain",), ("pd",), ("public domain dedication",)),
-    ("wtfpl", "wtfpl", ("wtfpl",), ("wtfpl",), ("wtfpl net",)),
-    ("python", "python", ("python software foundation licen[cs]e", "psf licen[cs]e"), ("python V", "psf V"), ("docs python org license",)),
-    ("php", "php", ("(?:the )?php licen[cs]e",), ("php V",), ("php net license",)),
-    ("ruby", "ruby", ("ruby licen[cs]e", "ruby s licen[cs]e"), ("ruby",), ("ruby lang org en about license",)),
-    ("openssl", "openssl", ("openssl licen[cs]e",), ("openssl",), ("openssl org source license",)),
-    ("postgresql", "postgresql", ("postgresql licen[cs]e",), ("postgresql",), ("opensource org licenses postgresql",)),
-    ("curl", "curl", ("(?:the )?curl licen[cs]e",), ("curl",), ("curl se docs copyright",)),
-    ("ofl", "open font", ("(?:sil )?open font licen[cs]e",), ("ofl V",), ("scripts sil org ofl",)),
-    ("vim", "vim", ("vim licen[cs]e",), ("vim",), ("vimdoc sourceforge net",)),
-    ("json", "not evil", ("the software shall be used for good not evil",), ("json",), ("json org license",)),
-    ("ms-pl", "microsoft public", ("microsoft public licen[cs]e",), ("ms pl",), ("opensource org licenses ms pl",)),
-    ("ms-rl", "microsoft reciprocal", ("microsoft reciprocal licen[cs]e",), ("ms rl",), ("opensource org licenses ms rl",)),
-    ("upl", "universal permissive", ("universal permissive licen[cs]e",), ("upl V",), ("opensource org licenses upl",)),
-    ("ncsa", "ncsa", ("(?:university of illinois )?ncsa(?: open source)? licen[cs]e",), ("ncsa",), ("opensource org licenses ncsa",)),
-    ("busl", "business source", ("business source licen[cs]e",), ("busl V",), ("mariadb com bsl",)),
-    ("sspl", "server side public", ("server side public licen[cs]e",), ("sspl V",), ("mongodb com licensing server side public license",)),
-    ("elastic", "elastic", ("elastic licen[cs]e",), ("elastic V",), ("elastic co licensing elastic license",)),
-    ("cc0", "cc0", ("cc0(?: V)?",), ("cc0 V",), ("creativecommons org publicdomain zero",)),
-    ("cc-by-nc-nd", "nd", ("cc by nc nd(?: V)?", "(?:creative commons )?attribution noncommercial no ?deriv[a-z]+"), ("cc by nc nd V",), ("creativecommons org licenses by nc nd",)),
-    ("cc-by-nc-sa", "sa", ("cc by nc sa(?: V)?", "(?:creative commons )?attribution noncommercial share ?alike"), ("cc by nc sa V",), ("creativecommons org licenses by nc sa",)),
-    ("cc-by-nc", "nc", ("cc by nc(?: V)?",), ("cc by nc V",), ("creativecommons org licenses by nc",)),
-    ("cc-by-nc", "noncommercial", ("(?:creative commons )?attribution noncommercial(?: V)?(?: international)?",), ("cc by nc V",), ("creative commons noncommercial",)),
-    ("cc-by-nd", "nd", ("cc by nd(?: V)?",), ("cc by nd V",), ("creativecommons org licenses by nd",)),
-    ("cc-by-sa", "sa", ("cc by sa(?: V)?",), ("cc by sa V",), ("creativecommons org licenses by sa",)),
-    ("cc-by-sa", "alike", ("(?:creative commons )?attribution share ?alike(?: V)?(?: international)?",), ("cc by sa V",), ("creative commons share ?alike",)),
-    ("cc-by", "cc by", ("cc by(?: V)?",), ("cc by V",), ("under cc by",)),
-    ("cc-by", "creative", ("creative commons attribution(?: V)?(?: international)? licen[cs]e",), ("cc by V",), ("creativecommons org licenses by [0-9]",)),
-    ("creative-commons", "creative", ("creative commons(?: [a-z]+)? licen[cs]e",), ("cc [a-z]+ [a-z]+ V",), ("creativecommons org licenses",)),
-    ("all-rights-reserved", "rights reserved", ("all rights reserved",), ("licenseref proprietary",), ("no part of this publication may be reproduced",)),
-    ("proprietary", "proprietary", ("proprietary (?:and confidential|licen[cs]e|information)",), ("licenseref proprietary",), ("unauthori[sz]ed copying of this (?:file|document)",)),
+    ("agpl", ("(?:gnu )?affero general public licen[cs]e",), ("agpl V(?: only| or later)?",), ("gnu org licenses agpl",)),
+    ("agpl", ("(?:gnu )?agpl(?:v[0-9])?",), ("agpl V(?: only| or later)?",), ("affero gpl",)),
+    ("lgpl", ("(?:gnu )?lesser general public licen[cs]e",), ("lgpl V(?: only| or later)?",), ("gnu org licenses lgpl",)),
+    ("lgpl", ("(?:gnu )?library general public licen[cs]e",), ("lgpl 2 0",), ("gnu org copyleft lgpl",)),
+    ("lgpl", ("(?:gnu )?lgpl(?:v[0-9])?",), ("lgpl V(?: only| or later)?",), ("lesser gpl",)),
+    ("gfdl", ("(?:gnu )?free documentation licen[cs]e",), ("gfdl V(?: only| or later)?",), ("gnu org licenses fdl",)),
+    ("gpl", ("(?:the )?gnu general public licen[cs]e", "general public licen[cs]e"), ("gpl V(?: only| or later)?",), ("free software foundation either version V",)),
+    ("gpl", ("(?:gnu )?gpl(?:v[0-9])?",), ("gpl V(?: only| or later)?",), ("gnu org licenses gpl", "gnu org licenses old licenses gpl")),
+    ("apache", ("apache (?:software )?licen[cs]e", "the apache 2 0 licen[cs]e"), ("apache V",), ("apache org licenses license V", "opensource org licenses apache V")),
+    ("mit", ("(?:the )?mit(?: x11| expat)? licen[cs]e",), ("mit",), ("opensource org licenses mit", "mit style licen[cs]e")),
+    ("mit", ("permission is hereby granted free of charge to any person obtaining a copy",), ("mit 0",), ("the above copyright notice and this permission notice shall be included in all copies",)),
+    ("mit", ("expat licen[cs]e",), ("mit",), ("expat mit licen[cs]e",)),
+    ("bsd-4-clause", ("(?:the )?(?:bsd 4 clause|4 clause bsd|original bsd) licen[cs]e",), ("bsd 4 clause",), ("all advertising materials mentioning features or use of this software",)),
+    ("bsd-3-clause", ("(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) licen[cs]e",), ("bsd 3 clause",), ("opensource org licenses bsd 3 clause",)),
+    ("bsd-2-clause", ("(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) licen[cs]e",), ("bsd 2 clause",), ("opensource org licenses bsd 2 clause",)),
+    ("bsd", ("(?:the )?bsd(?: style| type)? licen[cs]e",), ("bsd [0-9a-z]+",), ("opensource org licenses bsd",)),
+    ("bsd", ("redistribution and use in source and binary forms with or without modification are permitted",), ("0bsd",), ("redistributions of source code must retain the above copyright notice",)),
+    ("isc", ("(?:the )?isc licen[cs]e",), ("isc",), ("opensource org licenses isc",)),
+    ("isc", ("permission to use copy modify and or distribute this software for any purpose with or without fee",), ("isc",), ("the software is provided as is and the author disclaims all warranties",)),
+    ("mpl", ("mozilla public licen[cs]e",), ("mpl V",), ("mozilla org mpl",)),
+    ("mpl", ("mpl V",), ("mpl V",), ("this source code form is subject to the terms of the mozilla public license",)),
+    ("epl", ("eclipse public licen[cs]e",), ("epl V",), ("eclipse org legal epl", "eclipse org org documents epl")),
+    ("edl", ("eclipse distribution licen[cs]e",), ("edl V",), ("eclipse org org documents edl",)),
+    ("cddl", ("common development and distribution licen[cs]e",), ("cddl V",), ("opensource org licenses cddl",)),
+    ("cpl", ("common public licen[cs]e",), ("cpl V",), ("opensource org licenses cpl",)),
+    ("ipl", ("ibm public licen[cs]e",), ("ipl V",), ("opensource org licenses ibmpl",)),
+    ("eupl", ("european union public licen[cs]e",), ("eupl V",), ("joinup ec europa eu",)),
+    ("artistic", ("(?:the )?(?:perl )?artistic licen[cs]e",), ("artistic V",), ("opensource org licenses artistic",)),
+    ("boost", ("boost software licen[cs]e",), ("bsl V",), ("boost org license V",)),
+    ("zlib", ("(?:the )?zlib(?: libpng)? licen[cs]e",), ("zlib",), ("opensource org licenses zlib", "zlib net zlib license")),
+    ("libpng", ("libpng licen[cs]e",), ("libpng V",), ("libpng org pub png src libpng license",)),
+    ("unlicense", ("(?:the )?unlicense",), ("unlicense",), ("unlicense org",)),
+    ("public-domain", ("(?:released|dedicated|placed|is) (?:in|into|to) the public domain",), ("pd",), ("public domain dedication",)),
+    ("wtfpl", ("wtfpl",), ("wtfpl",), ("wtfpl net",)),
+    ("python", ("python software foundation licen[cs]e", "psf licen[cs]e"), ("python V", "psf V"), ("docs python org license",)),
+    ("php", ("(?:the )?php licen[cs]e",), ("php V",), ("php net license",)),
+    ("ruby", ("ruby licen[cs]e", "ruby s licen[cs]e"), ("ruby",), ("ruby lang org en about license",)),
+    ("openssl", ("openssl licen[cs]e",), ("openssl",), ("openssl org source license",)),
+    ("postgresql", ("postgresql licen[cs]e",), ("postgresql",), ("opensource org licenses postgresql",)),
+    ("curl", ("(?:the )?curl licen[cs]e",), ("curl",), ("curl se docs copyright",)),
+    ("ofl", ("(?:sil )?open font licen[cs]e",), ("ofl V",), ("scripts sil org ofl",)),
+    ("vim", ("vim licen[cs]e",), ("vim",), ("vimdoc sourceforge net",)),
+    ("json", ("the software shall be used for good not evil",), ("json",), ("json org license",)),
+    ("ms-pl", ("microsoft public licen[cs]e",), ("ms pl",), ("opensource org licenses ms pl",)),
+    ("ms-rl", ("microsoft reciprocal licen[cs]e",), ("ms rl",), ("opensource org licenses ms rl",)),
+    ("upl", ("universal permissive licen[cs]e",), ("upl V",), ("opensource org licenses upl",)),
+    ("ncsa", ("(?:university of illinois )?ncsa(?: open source)? licen[cs]e",), ("ncsa",), ("opensource org licenses ncsa",)),
+    ("busl", ("business source licen[cs]e",), ("busl V",), ("mariadb com bsl",)),
+    ("sspl", ("server side public licen[cs]e",), ("sspl V",), ("mongodb com licensing server side public license",)),
+    ("elastic", ("elastic licen[cs]e",), ("elastic V",), ("elastic co licensing elastic license",)),
+    ("cc0", ("cc0(?: V)?",), ("cc0 V",), ("creativecommons org publicdomain zero",)),
+    ("cc-by-nc-nd", ("cc by nc nd(?: V)?", "(?:creative commons )?attribution noncommercial no ?deriv[a-z]+"), ("cc by nc nd V",), ("creativecommons org licenses by nc nd",)),
+    ("cc-by-nc-sa", ("cc by nc sa(?: V)?", "(?:creative commons )?attribution noncommercial share ?alike"), ("cc by nc sa V",), ("creativecommons org licenses by nc sa",)),
+    ("cc-by-nc", ("cc by nc(?: V)?",), ("cc by nc V",), ("creativecommons org licenses by nc",)),
+    ("cc-by-nc", ("(?:creative commons )?attribution noncommercial(?: V)?(?: international)?",), ("cc by nc V",), ("creative commons noncommercial",)),
+    ("cc-by-nd", ("cc by nd(?: V)?",), ("cc by nd V",), ("creativecommons org licenses by nd",)),
+    ("cc-by-sa", ("cc by sa(?: V)?",), ("cc by sa V",), ("creativecommons org licenses by sa",)),
+    ("cc-by-sa", ("(?:creative commons )?attribution share ?alike(?: V)?(?: international)?",), ("cc by sa V",), ("creative commons share ?alike",)),
+    ("cc-by", ("cc by(?: V)?",), ("cc by V",), ("under cc by",)),
+    ("cc-by", ("creative commons attribution(?: V)?(?: international)? licen[cs]e",), ("cc by V",), ("creativecommons org licenses by [0-9]",)),
+    ("creative-commons", ("creative commons(?: [a-z]+)? licen[cs]e",), ("cc [a-z]+ [a-z]+ V",), ("creativecommons org licenses",)),
+    ("all-rights-reserved", ("all rights reserved",), ("licenseref proprietary",), ("no part of this publication may be reproduced",)),
+    ("proprietary", ("proprietary (?:and confidential|licen[cs]e|information)",), ("licenseref proprietary",), ("unauthori[sz]ed copying of this (?:file|document)",)),
 )
 
 #: Forms in which a family is written: what the expression is made of, its priority and its confidence.
-NAME, IDENTIFIER, ADDRESS = 2, 3, 4
+NAME, IDENTIFIER, ADDRESS = 1, 2, 3
 FORMS = (
     (IDENTIFIER, "spdx license identifier {}", 100, 1.0),
     (IDENTIFIER, "license {}", 60, 0.8),
@@ -96,12 +96,27 @@ FORMS = (
     (ADDRESS, "(?:https? )?(?:www )?{}", 70, 0.9),
 )
 VERSION = "v?[0-9]+(?: [0-9]+)?"
-#: A text without any of these goes no further.
-GENERAL = "licen|gpl|spdx|copyleft|public domain|rights reserved|creative|wtfpl|cc by|cc0| mpl |hereby granted|source and binary|purpose with or without|not evil|proprietary"
+#: Words that many families share, and so poor keywords.
+COMMON = ("licen", "public domain", "creative")
+
+
+def _shared(parts: list[str]) -> str:
+    """The longest text that all parts hold."""
+    first = min(parts, key=len)
+    return next((x for n in range(len(first), 2, -1) for k in range(len(first) - n + 1) if "\0" not in (x := first[k : k + n]) and all(x in p for p in parts)), "")
+
+
+def literals(expression: str) -> list[str]:
+    """Texts that stand in every match of an expression and the spaces around it."""
+    left = re.sub(r"[a-z0-9]\?|\x20\?", "\0", re.sub(r"\[[^]]*\][+*?]?", "\0", f" {expression} "))
+    while found := re.search(r"\(\?:([^()]*)\)(\??)", left):
+        body = found[1].split("|")
+        left = left[: found.start()] + ("\0" if found[2] else body[0] if len(body) == 1 else f"\0{_shared(body)}\0") + left[found.end() :]
+    return [x for x in left.split("\0") if x.strip()]
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, expression, label, priority, confidence), a few hundred; earlier families come first within a priority."""
+    """(keyword, expression, label, priority, confidence), a few hundred; earlier families come first within a priority. A keyword stands in every match of its own expression."""
     out = []
     for k, family in enumerate(FAMILIES):
         for part, form, priority, confidence in FORMS:
@@ -109,10 +124,23 @@ def rules() -> list[tuple[str, str, str, int, float]]:
                 if part == NAME and len(body) < 8 and priority == 50 and family[0] in ("mit", "isc"):
                     continue  # a bare word is no signature
                 expression = form.format(f"(?:{body})").replace("V", VERSION)
-                out.append((family[1], f"(?<= ){expression}(?= )", family[0], priority * 1000 - k, confidence))
+                own = [x.strip() for x in literals(body.replace("V", VERSION))]  # the words around a name are many families'
+                listed = [x for x in literals(expression) if any(o in x for o in own)]
+                keyword = max(listed, key=lambda x: (not any(x.strip().startswith(c) and len(x.strip()) <= len(c) + 1 for c in COMMON), len(x)))
+                out.append((keyword, f"(?<= ){expression}(?= )", family[0], priority * 1000 - k, confidence))
     return out
 
 
+def _general() -> str:
+    """An expression that every match of every rule holds: a text without it goes no further."""
+    least = ["licen", "gpl", "public domain", "creative"]
+    for keyword, expression, *_ in sorted(rules(), key=lambda r: len(r[0])):
+        held = [keyword, *literals(expression[6:-5])]
+        if not any(g in x for g in least for x in held):
+            least.append(keyword)
+    return "|".join(least)
+
+
 def _places(norm: Column, phrase: str) -> Column:
     """Word numbers at which a phrase stands."""
     gaps = F.split(norm, f"(?<= ){phrase}(?= )")
@@ -145,7 +173,7 @@ def _detections(norm: Column) -> Column:
         return found["out"]
 
     run = F.flatten(F.transform(F.filter(table_, lambda r: F.contains(norm, r["k"])), spans))
-    return F.when(norm.rlike(GENERAL), run).otherwise(F.array().cast(kind))
+    return F.when(norm.rlike(_general()), run).otherwise(F.array().cast(kind))
 
 
 def _outermost(detections: Column) -> Column:

@@ -175,6 +175,29 @@ def test_license_suppression(spark):
     assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] for a in spans for b in spans)
 
 
+def written(expression, optional):
+    """A text that an expression of the rules matches: first alternatives, with or without the optional parts."""
+    left = re.sub(r"\[(.)[^]]*\][+*]?", lambda m: "7" if m[1] == "0" else m[1], expression)
+    left = re.sub(r"([a-z ])\?", lambda m: m[1] if optional else "", left)
+    while m := re.search(r"\(\?:([^()]*)\)(\??)", left):
+        left = left[: m.start()] + ("" if m[2] and not optional else m[1].split("|")[0]) + left[m.end() :]
+    return left.strip()
+
+
+def test_license_rules_fire_alone(spark):
+    """Every rule finds the text that is made from its own expression alone, whatever else its family is called."""
+    rules = licenses.rules()
+    rows = [(k, written(e[6:-5], optional)) for k, (_, e, *_) in enumerate(rules) for optional in (False, True)]
+    for k, text in rows:
+        assert re.search(rules[k][1], f" {text} "), (rules[k], text)
+    df = spark.createDataFrame(rows, "k int, text string").withColumn("norm", licenses.spaced_words(F.col("text")))
+    missed = [(rules[r.k], r.text) for r in df.select("k", "text", licenses._detections(F.col("norm")).alias("d")).collect() if not any((d.label, d.priority) == rules[r.k][2:4] for d in r.d)]
+    assert not missed
+    texts_ = {"SPDX-License-Identifier: EPL-2.0": "epl", "https://opensource.org/licenses/CDDL-1.0": "cddl", "scripts.sil.org/OFL": "ofl", "mariadb.com/bsl": "busl", "All advertising materials mentioning features or use of this software": "bsd-4-clause"}
+    got = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts_], "text string")).collect()
+    assert {r.text: r.labels for r in got} == {t: [label] for t, label in texts_.items()}
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------
 
 
