@@ -174,7 +174,7 @@ def jaccard_pairs(spark, d):
     return similarity.jaccard_join(_sets(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-HASHES = 20
+HASHES = 100
 SIGNATURES = f"WITH t AS ({BASKETS}), h AS (" + " UNION ALL ".join(f"SELECT b AS id, {k} AS k, min(({hash_terms(k)[0]} * i + {hash_terms(k)[1]}) % 2147483647) AS h FROM t GROUP BY 1" for k in range(HASHES)) + ")"
 
 
@@ -376,7 +376,7 @@ def bloom_fpr(spark, d):
     return sketches.bloom_fpr(s, BITS, BLOOM).withColumn("fpr", F.round("fpr", 6))
 
 
-FM = 20
+FM = 100
 fm_zeros = " UNION ALL ".join(f"SELECT w, {k // 2} AS g, {k} AS k, ({hash_terms(k)[0]} * (id % 69997) + {hash_terms(k)[1]}) % 69997 AS v FROM s" for k in range(FM))
 WINDOWS = "b AS (SELECT event_id // 300 AS batch, user_id AS id FROM events), s AS (SELECT DISTINCT w, id FROM b, (SELECT unnest(range(0, 1 + (SELECT max(batch) FROM b) // 2)) AS w) WHERE batch BETWEEN 2 * w AND 2 * w + 2 AND 2 * w + 2 <= (SELECT max(batch) FROM b))"
 
