@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, with built-in functions only.
 
-Seeds are the matches of four fixed expressions. Other tokens that look like identifiers (an at sign or five digits at least) are
-candidates. The words beside a seed or candidate are lexical patterns: the one before, the one after, and both. In the graph of
+Seeds are the matches of four fixed expressions. Other tokens that look like identifiers (an at sign or five digits at least) and groups of
+digits joined by spaces, brackets, dots or hyphens (five digits at least) are candidates. The words beside a seed or candidate are lexical patterns: the one before, the one after, and both. In the graph of
 patterns and instances (distinct values), a pattern's confidence for a kind is the mean score of its instances, with one doubtful instance added;
-a candidate's score is that of "at least one of its confident patterns is right"; seeds have score 1. After ``ROUNDS`` rounds, candidates of
-score ``ACCEPT`` or more are personal data of that kind wherever they stand. Everything is counted over all documents.
+a candidate's score is that of "at least one of its confident patterns is right"; seeds have score 1. Every round takes its patterns anew from the
+seeds and the candidates accepted so far (score ``ACCEPT`` or more). After ``ROUNDS`` rounds, accepted candidates are personal data of that kind
+wherever they stand; where they overlap, the longest. Everything is counted over all documents.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ KINDS = {
 #: What a text must hold for a kind to be looked for.
 GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 TOKEN = r"(?:\G|(?<![A-Za-z0-9._%+@-]))[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
-CONTEXT, ROUNDS, CONFIDENT, ACCEPT, LEAST_SEEDS = 40, 3, 0.7, 0.9, 3
+GROUP = r"(?:\G|(?<![A-Za-z0-9]))\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++"
+CONTEXT, ROUNDS, CONFIDENT, ACCEPT = 40, 3, 0.7, 0.9
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -107,7 +109,9 @@ def extract(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     own = [F.col(f"`{c}`") for c in names]
     rows = df.select(*own, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body)).withColumn("base", base_spans(F.col(body)))
     tokens = F.filter(_matches(F.col(body), TOKEN), lambda m: (F.length(_digits(m["value"])) >= 5) | F.contains(m["value"], F.lit("@")))
-    free = F.filter(tokens, lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    joined = F.filter(_matches(F.col(body), GROUP), lambda m: (F.length(_digits(m["value"])) >= 5) & m["value"].rlike(r"[\x20()]"))
+    joined = F.when(F.col(body).rlike(r"[0-9][\x20().-]{1,3}[0-9]"), joined).otherwise(F.array().cast(SPAN))
+    free = F.filter(F.concat(tokens, joined), lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
     rows = rows.withColumn("free", F.when(F.col(body).rlike("[0-9@]"), free).otherwise(F.array().cast(SPAN)))
     seed = F.transform("base", lambda b: F.struct(b["start"].alias("start"), F.lower(b["value"]).alias("instance"), b["kind"].alias("kind"), _patterns(b).alias("patterns")))
     other = F.transform("free", lambda m: F.struct(m["start"].alias("start"), F.lower(m["value"]).alias("instance"), F.lit(None).cast("string").alias("kind"), _patterns(m).alias("patterns")))
@@ -125,23 +129,28 @@ def extract(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         .groupBy(rid)
         .agg(F.collect_list(F.struct(F.col("f.start").alias("start"), F.col("rank"), F.col("f.end").alias("end"), F.col("kind"), F.col("f.value").alias("value"))).alias("extra"))
     )
+    longest = F.filter("extra", lambda m: ~F.exists("extra", lambda x: (x["start"] < m["end"]) & (x["end"] > m["start"]) & (x["end"] - x["start"] > m["end"] - m["start"])))
+    extra = extra.withColumn("extra", longest)
     out = found.select(*own, rid, "base").join(extra.withColumnRenamed(rid, "rid_"), F.col(rid) == F.col("rid_"), "left")
     return out.select(*own, "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")))).alias("spans"))
 
 
 def _bootstrap(edges: DataFrame) -> DataFrame:
-    """(instance, kind, rank) of the candidates that the graph's rounds accept. edges: distinct (pattern, instance), kind null for candidates."""
-    seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("mass"))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    free = edges.where("kind IS NULL").select("pattern", "instance").join(seeds.where(F.col("mass") >= LEAST_SEEDS).select("pattern").distinct(), "pattern", "left_semi")
-    free, known = cut(free), cut(seeds.join(sizes, "pattern").where(F.col("mass") >= LEAST_SEEDS))
+    """(instance, kind, rank) of the candidates that the graph's rounds accept. edges: distinct (pattern, instance), kind null for candidates.
+
+    Patterns that can't be confident even if all their instances were right (fewer than three) are left out, which changes nothing.
+    """
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= CONFIDENT * (F.col("n") + 1))
+    rows = cut(edges.join(sizes, "pattern"))
+    seeds = cut(rows.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.first("n").alias("n"), F.count("*").cast("double").alias("mass")))
+    free = rows.where("kind IS NULL").select("pattern", "instance", "n")
     scores = None
     for _ in range(ROUNDS):
-        gained = known.withColumn("more", F.lit(0.0))
-        if scores is not None:
-            more = free.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-            gained = known.join(more, ["pattern", "kind"], "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
-        sure = gained.withColumn("confidence", (F.col("mass") + F.col("more")) / (F.col("n") + 1)).where(F.col("confidence") >= CONFIDENT)
+        known = seeds.withColumn("sure", F.lit(True))
+        if scores is not None:  # patterns of accepted candidates are new ones; the others' scores count in either
+            more = free.join(scores, "instance").groupBy("pattern", "kind").agg(F.first("n").alias("n"), F.sum("score").alias("mass"), F.max(F.round("score", 9) >= ACCEPT).alias("sure"))
+            known = known.unionByName(more).groupBy("pattern", "kind").agg(F.first("n").alias("n"), F.sum("mass").alias("mass"), F.max("sure").alias("sure")).where("sure")
+        sure = known.withColumn("confidence", F.col("mass") / (F.col("n") + 1)).where(F.col("confidence") >= CONFIDENT)
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         scores = cut(free.join(sure.select("pattern", "kind", "confidence"), "pattern").groupBy("instance", "kind").agg((1 - wrong).alias("score")))
     rank = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)]), F.col("kind"))

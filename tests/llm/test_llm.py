@@ -101,6 +101,21 @@ def test_pii_bootstrap(spark):
     assert clean[100] == "customer reference <email> confirmed today" and clean[101] == rows[31][1] and clean[102] is None
 
 
+def test_pii_bootstrap_grows(spark):
+    """Accepted instances induce patterns that no seed has, and groups of digits joined by spaces or brackets are candidates."""
+    rows = [f"customer reference user{i}@mail.com confirmed today" for i in range(60)]
+    found = [f"acct{i}98765" for i in range(12)]
+    rows += [f"customer reference {x} confirmed today" for x in found] + [f"billing handle {x} archived yesterday" for x in found]
+    rows += ["billing handle zoe4455667 archived yesterday", "plain zed4455667 number"]  # the first only beside what was discovered
+    rows += [f"dial +1 302 555 {1000 + i} promptly" for i in range(30)] + ["dial 555 123 4567 promptly", "dial (302) 555 0171 promptly", "dial 123 45 6789 promptly", "plain 444 123 4567 number"]
+    got = {r.text: [(s.kind, s.value) for s in r.spans] for r in pii.extract(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
+    assert all(got[f"billing handle {x} archived yesterday"] == [("email", x)] for x in found)
+    assert got["billing handle zoe4455667 archived yesterday"] == [("email", "zoe4455667")]
+    for x in ("555 123 4567", "(302) 555 0171", "123 45 6789"):
+        assert got[f"dial {x} promptly"] == [("phone", x)]
+    assert got["plain zed4455667 number"] == [] and got["plain 444 123 4567 number"] == []
+
+
 # 2 and 6 ----------------------------------------------------------------------------------------------------------
 
 
