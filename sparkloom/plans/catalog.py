@@ -347,12 +347,12 @@ def label_propagation(spark, d):
 
 @register()
 def edge_betweenness(spark, d):
-    return graph.edge_betweenness(cut(_edges(spark, d, 7))).withColumn("betweenness", F.round("betweenness", 5))
+    return graph.edge_betweenness(cut(_edges(spark, d))).withColumn("betweenness", F.round("betweenness", 5))
 
 
 @register()
 def edge_betweenness_indegree(spark, d):
-    return graph.edge_betweenness(cut(_edges(spark, d, 7)), "indegree").withColumn("betweenness", F.round("betweenness", 5))
+    return graph.edge_betweenness(cut(_edges(spark, d)), "indegree").withColumn("betweenness", F.round("betweenness", 5))
 
 
 @register()

@@ -56,6 +56,12 @@ def test_communities_do_not_depend_on_the_path(spark, tmp_path):
     assert found[0] == found[1] and len(found[1]) == 233
 
 
+def test_betweenness_has_the_edges_of_the_other_graph_queries(spark):
+    pairs = lambda name: {(r.src, r.dst) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
+    want = pairs("cooc_edges")
+    assert len(want) == 879 and pairs("edge_betweenness") == want and pairs("edge_betweenness_indegree") == want
+
+
 def test_hot_keys(spark):
     star = [(1, k) for k in range(100, 400)] + [(399, 500), (500, 501), (501, 502), (600, 601)]
     e = spark.createDataFrame(star + star[:9] + [(7, 7)], "src bigint, dst bigint")
