@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that cut_table() made and nobody dropped: they are removed when the driver's process ends.
+_LEFT: dict[str, DataFrame] = {}
+
+
+@atexit.register
+def _remove_left() -> None:
+    for path, made in list(_LEFT.items()):
+        try:
+            remove_path(made.sparkSession, path)
+        except Exception:  # the JVM is gone
+            return
+
+
 def get_session(app: str = "sparkloom", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution; further settings by keyword, dots as double underscores."""
     builder = SparkSession.builder.appName(app)
@@ -23,11 +37,26 @@ def get_session(app: str = "sparkloom", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only where it is unset."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only where it is unset and all is on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sparkloom-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder or file, wherever Spark's file systems keep it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,7 +68,15 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut(), but as a compressed table in the shared folder: for large intermediate results."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _LEFT[path] = made
+    return made
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a DataFrame that cut_table() returned; nothing that still reads it may run afterwards."""
+    for path in [p for p, made in _LEFT.items() if made is df]:
+        remove_path(df.sparkSession, path)
+        del _LEFT[path]
