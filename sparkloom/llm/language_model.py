@@ -1,128 +1,328 @@
 """Language-model scores by a hidden Markov model over words.
 
-Words are counted over all training documents. A model's symbols are the end of a text, the most frequent words, and classes of the others by
-their crc32; within a class, a word has its share of the class's counts. Baum-Welch runs over every training document: tasks sum expected counts, Spark adds them
-up, and the driver gets one number for each parameter. A text's score is the exact likelihood by the scaled forward recursion.
+Words are counted over all training documents; the base is their unigram. The model's emissions are that unigram times a ratio for each word and state, so an
+unseen word costs what it costs the base, and with one state the score is the base score.
 
-The counts of the ``HEAD`` most frequent words go to the workers; all other words meet theirs in a join, so that no vocabulary is ever too large.
+Baum-Welch runs over every training document until a round gains less than ``GAIN``: tasks sum expected counts, Spark adds them up, and the driver gets one row
+for each symbol. In these rounds the ``OWN`` most frequent words are symbols, and the others share symbols by their crc32. The last round is then taken over again for
+those others: their expected (word, state) counts are summed in Spark, for as many words as there are, so every word of the training texts has
+emissions of its own. They meet the texts in a join by blocks: a block is a row of up to ``BLOCK`` tokens with the list of its infrequent words.
+
+A text's score is its exact likelihood by the scaled forward recursion. A text of more than ``PIECE`` tokens is worked on in pieces side by side: each piece's product of
+matrices is taken for every state before it, the products are chained, and the recursion runs in all pieces at once. Memory is bounded by ``CELLS``.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import crc_mod, lower_ascii, table, unused
-from sparkloom.session import cut, cut_table
+from sparkloom.session import cut, cut_table, drop_table
 
-STATES, OWN, CLASSES, HEAD, ITERATIONS, SEED = 6, 2_047, 512, 50_000, 2, 11
+STATES, OWN, CLASSES, SEED = 6, 32_767, 1_024, 11
 SYMBOLS = 1 + OWN + CLASSES
-#: Cells (documents by tokens) that are worked on at a time.
-CELLS = 250_000
+#: Rounds of Baum-Welch end when one gains less than GAIN in log10 a token, or after ROUNDS of them.
+ROUNDS, GAIN = 50, 0.002
+#: Tokens of a block, of a piece of a long text, and cells (pieces by tokens) that are worked on at a time; steps between two scalings.
+BLOCK, PIECE, CELLS, SCALE = 1_000_000, 16_384, 524_288, 4
+#: A word's shares of the states travel as numbers of BITS bits, THREE in a long.
+BITS, THREE = 20, 3
 
 
 @dataclass
 class Model:
-    start: np.ndarray  # (STATES,)
-    move: np.ndarray  # (STATES, STATES)
-    emit: np.ndarray  # (SYMBOLS, STATES)
+    start: np.ndarray  # (states,)
+    move: np.ndarray  # (states, states)
+    ratio: np.ndarray  # (symbols, states): emission by the unigram's
+    share: np.ndarray  # (states,): of all training tokens
 
     @classmethod
-    def fresh(cls, seed: int = SEED) -> Model:
+    def fresh(cls, symbols: int = SYMBOLS, states: int = STATES, seed: int = SEED) -> Model:
         r = np.random.default_rng(seed)
-        share = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-        return cls(np.full(STATES, 1 / STATES), share(r.random((STATES, STATES)) + 4 * np.eye(STATES), 1), share(r.random((SYMBOLS, STATES)) + 0.1, 0))
+        ratio = r.gamma(1.0, 1.0, (symbols, states)) + 0.05
+        move = np.full((states, states), 0.05 / states) + 0.95 * np.eye(states)
+        return cls(np.full(states, 1 / states), move, ratio / ratio.mean(axis=1, keepdims=True), np.full(states, 1 / states))
+
+    def cast(self, kind) -> Model:
+        return Model(self.start.astype(kind), self.move.astype(kind), self.ratio.astype(kind), self.share.astype(kind))
+
+
+@dataclass
+class Counts:
+    """Expected counts, log10 likelihood and tokens."""
+
+    start: np.ndarray
+    move: np.ndarray
+    grid: np.ndarray  # (symbols, states)
+    log: float = 0.0
+    tokens: int = 0
 
     @classmethod
-    def of_counts(cls, counts: np.ndarray) -> Model:
-        a, b = STATES, STATES + STATES * STATES
-        start, move, emit = counts[:a] + 0.1, counts[a:b].reshape(STATES, STATES) + 0.1, counts[b:].reshape(SYMBOLS, STATES) + 0.01
-        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
+    def zero(cls, symbols: int, states: int) -> Counts:
+        return cls(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
+
+    def model(self, kinds: np.ndarray) -> Model:
+        """The next round's model. kinds: how many words each symbol stands for."""
+        states = len(self.start)
+        share = self.grid.sum(axis=0) + 1e-9
+        share = share / share.sum()
+        ratio = ratios(self.grid, self.grid.sum(axis=1), kinds, share)
+        start, move = self.start + 0.1 / states, self.move + 0.1 / states
+        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), ratio, share)
+
+
+def ratios(grid: np.ndarray, n: np.ndarray, kinds: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Emissions by the unigram's: half a count for every word, as in the base, is dealt to the states by their shares."""
+    below = n + 0.5 * kinds
+    return np.where(below[:, None] > 0, (grid / share + 0.5 * kinds[:, None]) / np.where(below > 0, below, 1)[:, None], 1.0)
 
 
-def groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers by falling length, so many at a time that rows by the longest stay within CELLS (one row at least)."""
-    order = np.argsort(-lengths, kind="stable")
+def pieces_of(lengths: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number within the text, first token, tokens) of every piece of texts that stand one after another."""
+    many = np.maximum(1, -(-lengths // piece))
+    text = np.repeat(np.arange(len(lengths)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return text, k, (np.cumsum(lengths) - lengths)[text] + k * piece, np.minimum(piece, lengths[text] - k * piece)
+
+
+def groups(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers by falling size, so many at a time that rows by the longest stay within CELLS (one row at least)."""
+    order = np.argsort(-size, kind="stable")
     k = 0
     while k < len(order):
-        n = max(1, CELLS // max(1, int(lengths[order[k]])))
+        n = max(1, CELLS // max(1, int(size[order[k]])))
         yield order[k : k + n]
         k += n
 
 
-def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
-    """log10 likelihoods of sequences of falling lengths; with keep also symbols, live rows, scaled alphas and scales of every step."""
-    lengths = np.array([len(s) for s in seqs])
-    padded = np.zeros((len(seqs), lengths[0]), dtype=np.int32)
-    for i, s in enumerate(seqs):
-        padded[i, : len(s)] = s
-    live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # rows longer than t
-    logs, alphas, scales = np.zeros(len(seqs)), [], []
-    alpha = None
-    for t in range(lengths[0]):
-        n = live[t]
-        alpha = (model.start[None, :] if t == 0 else alpha[:n] @ model.move) * model.emit[padded[:n, t]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        logs[:n] += np.log10(scale)
-        if keep:
-            alphas.append(alpha)
-            scales.append(scale)
-    return (logs, padded, live, alphas, scales) if keep else logs
-
-
-def expected(model: Model, seqs: list[np.ndarray], counts: np.ndarray) -> None:
-    """Add the expected counts of the sequences to counts (start, move, emit in one vector)."""
-    _, padded, live, alphas, scales = forward(model, seqs, keep=True)
-    a, b = STATES, STATES + STATES * STATES
-    moves, symbols, gammas = np.zeros((STATES, STATES)), [], []
-    beta = np.ones((0, STATES))
-    for t in range(len(alphas) - 1, -1, -1):
-        n, m = live[t], len(beta)  # m rows go on after t
-        now = np.ones((n, STATES))
-        if m:
-            ahead = model.emit[padded[:m, t + 1]] * beta / scales[t + 1][:, None]
-            now[:m] = ahead @ model.move.T
-            moves += alphas[t][:m].T @ ahead
-        symbols.append(padded[:n, t])
-        gammas.append(alphas[t] * now)
-        beta = now
-    gamma = np.concatenate(gammas)
-    flat = np.concatenate(symbols)
-    counts[:a] += gammas[-1].sum(axis=0)
-    counts[a:b] += (moves * model.move).ravel()
-    grid = counts[b:].reshape(SYMBOLS, STATES)
-    for s in range(STATES):
-        grid[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=SYMBOLS)
-
-
-def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in column]
-
-
-def baum_welch(coded: DataFrame, model: Model) -> Model:
-    """One round over all rows of column syms."""
+class Walk:
+    """The scaled forward recursion over pieces of falling sizes.
+
+    codes: rows of model.ratio for all tokens; at and size: the pieces' first tokens and sizes; before: the state probabilities that the first token is met with. With keep, the steps
+    stay for back().
+    """
+
+    def __init__(self, model: Model, codes: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray, keep: bool = False):
+        self.model, self.at, self.size, self.steps, self.factors = model, at, size, [], {}
+        self.live = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")  # pieces longer than t
+        self.logs, self.last = np.zeros(len(size)), np.empty((len(size), model.move.shape[0]), dtype=model.move.dtype)
+        a = before
+        for t in range(size[0]):
+            n, more = self.live[t], self.live[t + 1]
+            r = model.ratio[codes[at[:n] + t]]
+            a = (before if t == 0 else a[:n] @ model.move) * r
+            if t % SCALE == SCALE - 1:
+                f = np.maximum(a.sum(axis=1), np.finfo(a.dtype).tiny)
+                a /= f[:, None]
+                self.logs[:n] += np.log10(f)
+                self.factors[t] = f
+            if keep:
+                self.steps.append((a, r))
+            if more < n:
+                self.last[more:n] = a[more:]
+        f = np.maximum(self.last.sum(axis=1), np.finfo(a.dtype).tiny)
+        self.last /= f[:, None]
+        self.logs += np.log10(f)
+
+    def back(self, after: np.ndarray, entry: np.ndarray, first: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Add the expected moves and starts to counts; the tokens' places and their state probabilities are returned.
+
+        after: what follows a piece, by its last state; entry: state probabilities of the token before it; first: pieces without one.
+        """
+        places, gammas, b = [], [], None
+        for t in range(self.size[0] - 1, -1, -1):
+            n, m = self.live[t], self.live[t + 1]  # m pieces go on after t
+            a = self.steps[t][0]
+            now = np.empty_like(a)
+            if m:
+                ahead = self.steps[t + 1][1] * b
+                if t + 1 in self.factors:
+                    ahead /= self.factors[t + 1][:, None]
+                now[:m] = ahead @ self.model.move.T
+                counts.move += a[:m].T @ ahead * self.model.move
+            if m < n:
+                end = after[m:n]
+                now[m:] = end / np.maximum((a[m:] * end).sum(axis=1), np.finfo(a.dtype).tiny)[:, None]
+            places.append(self.at[:n] + t)
+            gammas.append(a * now)
+            b = now
+        counts.start += gammas[-1][first].sum(axis=0)
+        if not first.all():
+            begun = self.steps[0][1] * b
+            if 0 in self.factors:
+                begun /= self.factors[0][:, None]
+            counts.move += entry[~first].T @ begun[~first] * self.model.move
+        return np.concatenate(places), np.concatenate(gammas)
+
+
+def _chain(model: Model, codes: np.ndarray, text: np.ndarray, k: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every piece of a long text: the state probabilities before it, what follows it by its last state, and log10 of its likelihood given all before it.
+
+    Pieces of other texts have ones after them and a log of zero.
+    """
+    s, kind = model.move.shape[0], model.move.dtype
+    entry, after, logs = np.zeros((len(text), s), dtype=kind), np.ones((len(text), s), dtype=kind), np.zeros(len(text))
+    later = np.flatnonzero(k > 0)
+    if not len(later):
+        return entry, after, logs
+    heads = np.unique(later - k[later])
+    first = {}
+    for rows in groups(size[heads]):
+        rows = heads[rows]
+        w = Walk(model, codes, at[rows], size[rows], np.repeat(model.start[None, :], len(rows), axis=0))
+        first.update({int(p): (w.last[j], w.logs[j]) for j, p in enumerate(rows)})
+    matrix, scale = np.empty((len(later), s, s), dtype=np.float64), np.empty(len(later))
+    for rows in groups(size[later] * s):  # a row for each state before the piece
+        wide = np.repeat(later[rows], s)
+        w = Walk(model, codes, at[wide], size[wide], np.tile(model.move, (len(rows), 1)))
+        made = w.logs.reshape(-1, s)
+        most = made.max(axis=1)
+        matrix[rows] = w.last.reshape(-1, s, s) * 10.0 ** (made - most[:, None])[:, :, None]
+        scale[rows] = most
+    number = {int(p): j for j, p in enumerate(later)}
+    for head in heads.tolist():
+        here, logs[head] = first[head]
+        p = head + 1
+        while p < len(text) and text[p] == text[head]:
+            entry[p] = here
+            here = here.astype(np.float64) @ matrix[number[p]]
+            logs[p] = np.log10(here.sum()) + scale[number[p]]
+            here = here / here.sum()
+            p += 1
+        follows = np.ones(s)
+        while p - 1 > head:
+            p -= 1
+            after[p] = follows
+            follows = matrix[number[p]] @ follows
+            follows /= follows.sum()
+        after[head] = follows
+    return entry, after, logs
+
+
+def likelihoods(model: Model, codes: np.ndarray, lengths: np.ndarray, piece: int | None = None) -> np.ndarray:
+    """log10 of what the model makes of each text beside the unigram. codes: all texts' rows of model.ratio, one text after another."""
+    text, k, at, size = pieces_of(lengths, piece or PIECE)
+    _, _, logs = _chain(model, codes, text, k, at, size)
+    alone = np.flatnonzero(np.bincount(text, minlength=len(lengths))[text] == 1)
+    for rows in groups(size[alone]):
+        rows = alone[rows]
+        logs[rows] = Walk(model, codes, at[rows], size[rows], np.repeat(model.start[None, :], len(rows), axis=0)).logs
+    return np.bincount(text, weights=logs, minlength=len(lengths))
+
+
+def expected(model: Model, codes: np.ndarray, lengths: np.ndarray, counts: Counts, piece: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Add expected counts of starts and moves, the likelihood and the tokens to counts; yields tokens' places with their state probabilities."""
+    text, k, at, size = pieces_of(lengths, piece or PIECE)
+    entry, after, _ = _chain(model, codes, text, k, at, size)
+    for rows in groups(size):
+        first = k[rows] == 0
+        before = np.where(first[:, None], model.start[None, :], entry[rows] @ model.move)
+        w = Walk(model, codes, at[rows], size[rows], before, keep=True)
+        counts.log += float(w.logs.sum())
+        counts.tokens += int(size[rows].sum())
+        yield w.back(after[rows], entry[rows], first, counts)
+
+
+def add_to(grid: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
+    """Add weights (tokens by states) to the given rows of a grid."""
+    for s in range(grid.shape[1]):
+        grid[:, s] += np.bincount(rows, weights=weights[:, s], minlength=len(grid))
+
+
+def _learned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and lengths of a block's training texts, and their tokens' places in the block."""
+    codes, lengths = np.frombuffer(row["syms"], dtype=np.uint16), np.array(row["lengths"], dtype=np.int64)
+    learn = np.array(row["learn"], dtype=bool)
+    where = np.flatnonzero(np.repeat(learn, lengths))
+    return codes[where], lengths[learn], where
+
+
+STATE_COLUMNS = [f"e{s}" for s in range(STATES)]
+
+
+def _round(coded: DataFrame, model: Model) -> Counts:
+    """Expected counts of all training texts in the table of blocks."""
+    small = model.cast(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(STATES + STATES * STATES + SYMBOLS * STATES)
+        counts = Counts.zero(SYMBOLS, STATES)
         for batch in batches:
-            seqs = _sequences(batch.column(0))
-            for rows in groups(np.array([len(s) for s in seqs])):
-                expected(model, [seqs[i] for i in rows], counts)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int32()), pa.array(counts[at])], names=["at", "n"])
+            for row in batch.to_pylist():
+                codes, lengths, _ = _learned(row)
+                if len(lengths):
+                    for places, gamma in expected(small, codes, lengths, counts):
+                        add_to(counts.grid, codes[places], gamma)
+        at = np.flatnonzero(counts.grid.any(axis=1))
+        rest = np.zeros((2 + STATES, STATES))
+        rest[0, :2], rest[1], rest[2:] = (counts.log, counts.tokens), counts.start, counts.move
+        values = np.concatenate([counts.grid[at], rest])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(rest))]), type=pa.int32()), *(pa.array(values[:, s]) for s in range(STATES))], names=["at", *STATE_COLUMNS])
+
+    schema = ", ".join(["at int", *(f"{e} double" for e in STATE_COLUMNS)])
+    sums = coded.select("lengths", "learn", "syms").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(e).alias(e) for e in STATE_COLUMNS]).toArrow()  # a row a symbol
+    at, values = sums.column("at").to_numpy(), np.stack([sums.column(e).to_numpy() for e in STATE_COLUMNS], axis=1)
+    out = Counts.zero(SYMBOLS, STATES)
+    out.grid[at[at >= 0]] = values[at >= 0]
+    rest = np.zeros((2 + STATES, STATES))
+    rest[-1 - at[at < 0]] = values[at < 0]
+    out.log, out.tokens, out.start, out.move = rest[0, 0], int(rest[0, 1]), rest[1], rest[2:]
+    return out
+
+
+def baum_welch(coded: DataFrame, kinds: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Model, Model, list[float]]:
+    """(the model that the last round began with, the one it gave, log10 likelihood a token beside the unigram's before each round)."""
+    old, new, logs = Model.fresh(), Model.fresh(), []
+    while len(logs) < rounds and (len(logs) < 3 or logs[-1] - logs[-2] >= gain):
+        old, counts = new, _round(coded, new)
+        new = counts.model(kinds)
+        logs.append(counts.log / max(1, counts.tokens))
+    return old, new, logs
+
+
+LONGS = [f"p{k}" for k in range(-(-STATES // THREE))]
+
+
+def _infrequent(coded: DataFrame, model: Model) -> DataFrame:
+    """(block, pos, n, p...): counts and shares of the states for the infrequent words of every block, over all training texts, by the expectations under a model."""
+    small, most = model.cast(np.float32), (1 << BITS) - 1
 
-    counts = np.zeros(STATES + STATES * STATES + SYMBOLS * STATES)
-    for r in coded.select("syms").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a parameter
-        counts[r.at] = r.n
-    return Model.of_counts(counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = row["words"]
+                if not words:
+                    continue
+                codes, lengths, where = _learned(row)
+                rank = np.full(len(row["syms"]) // 2, -1, dtype=np.int64)
+                rank[np.frombuffer(row["syms"], dtype=np.uint16) > OWN] = np.frombuffer(row["tail"], dtype=np.int32)
+                rank, grid = rank[where], np.zeros((len(words), STATES))
+                if len(lengths):
+                    for places, gamma in expected(small, codes, lengths, Counts.zero(0, STATES)):
+                        mine = rank[places]
+                        add_to(grid, mine[mine >= 0], gamma[mine >= 0])
+                n = np.bincount(rank[rank >= 0], minlength=len(words))
+                share = np.rint(grid / np.maximum(grid.sum(axis=1, keepdims=True), 1e-9) * most).astype(np.int64)
+                packed = [sum(share[:, s] << BITS * (s % THREE) for s in range(STATES) if s // THREE == k) for k in range(len(LONGS))]
+                for k in range(0, len(words), 20_000):
+                    part = slice(k, k + 20_000)
+                    pos = np.arange(len(words), dtype=np.int32)[part]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), row["block"], dtype=np.int64)), pa.array(pos), pa.array(words[part], type=pa.string()), pa.array(n[part].astype(np.int64)), *(pa.array(p[part]) for p in packed)], names=["block", "pos", "word", "n", *LONGS])
+
+    schema = ", ".join(["block bigint", "pos int", "word string", "n bigint", *(f"{p} bigint" for p in LONGS)])
+    found = coded.select("block", "lengths", "learn", "syms", "tail", "words").mapInArrow(run, schema)
+    alike = Window.partitionBy("word")  # a row a block at most; none of these words is frequent
+    own = lambda s: F.shiftright(F.col(LONGS[s // THREE]), BITS * (s % THREE)).bitwiseAND(F.lit(most))
+    found = found.select("block", "pos", F.sum("n").over(alike).alias("n"), *[F.sum(F.col("n") * own(s)).over(alike).alias(f"t{s}") for s in range(STATES)]).where("n > 0")
+    packed = [sum((F.shiftleft(F.floor(F.col(f"t{s}") / F.col("n")).cast("bigint"), BITS * (s % THREE)) for s in range(STATES) if s // THREE == k), F.lit(0).cast("bigint")).alias(p) for k, p in enumerate(LONGS)]
+    return found.select("block", "pos", "n", *packed)
 
 
 def _words(text) -> F.Column:
@@ -143,110 +343,127 @@ def most_frequent(counted: DataFrame, n: int) -> list:
     return sorted(top.collect(), key=lambda r: (-r.c, r.word))
 
 
-def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: list[str] | None = None, iterations: int = ITERATIONS) -> DataFrame:
+@dataclass
+class Vocabulary:
+    """The frequent words and the classes of the others."""
+
+    index: dict[bytes, int]  # symbol of each frequent word
+    c: np.ndarray  # (SYMBOLS,) training counts
+    kinds: np.ndarray  # (SYMBOLS,) words of each symbol
+    total: int
+    below: float
+
+    @classmethod
+    def of(cls, counted: DataFrame, ends: int) -> Vocabulary:
+        """counted: (word, c) of the training texts; ends: how many there are."""
+        total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        head = most_frequent(counted, OWN)
+        c, kinds = np.zeros(SYMBOLS, dtype=np.int64), np.zeros(SYMBOLS)
+        bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(CLASSES)).cast("int")
+        for r in counted.groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():  # a row a class
+            c[1 + OWN + r.b], kinds[1 + OWN + r.b] = r.c, r.k
+        for k, r in enumerate(head):
+            b = 1 + OWN + zlib.crc32(r.word.encode()) % CLASSES
+            c[1 + k], kinds[1 + k], c[b], kinds[b] = r.c, 1, c[b] - r.c, kinds[b] - 1
+        c[0], kinds[0] = ends, ends > 0
+        total, distinct = int(total) + ends, distinct + (ends > 0)
+        return cls({r.word.encode(): 1 + k for k, r in enumerate(head)}, c, kinds, total, total + 0.5 * (distinct + 1))
+
+
+def _coder(index):
+    """Turns rows into blocks; the last two columns are whether to learn from a row, and its text."""
+
+    def block(rows: pa.RecordBatch, learn: list, syms: list, tail: list, words: dict) -> pa.RecordBatch:
+        keep = pa.StructArray.from_arrays([rows.column(i) for i in range(rows.num_columns - 2)], fields=[rows.schema.field(i) for i in range(rows.num_columns - 2)])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values)
+        return pa.RecordBatch.from_arrays(
+            [
+                one(keep),
+                one(pa.array([len(s) for s in syms], type=pa.int32())),
+                one(pa.array(learn, type=pa.bool_())),
+                pa.array([np.concatenate(syms).tobytes()], type=pa.binary()),
+                pa.array([np.array(tail, dtype=np.int32).tobytes()], type=pa.binary()),
+                one(pa.array([w.decode() for w in words], type=pa.string())),
+            ],
+            names=["docs", "lengths", "learn", "syms", "tail", "words"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = index.value.get
+        for batch in batches:
+            begin, size, learn, syms, tail, local = 0, 0, [], [], [], {}
+            for i in range(batch.num_rows):
+                words = (batch.column(batch.num_columns - 1)[i].as_py() or "").encode().lower().split()
+                own = np.zeros(len(words) + 1, dtype=np.uint16)  # the end's symbol is 0
+                own[:-1] = [get(w, 0) for w in words]
+                for j in np.flatnonzero(own[:-1] == 0).tolist():
+                    own[j] = 1 + OWN + zlib.crc32(words[j]) % CLASSES
+                    tail.append(local.setdefault(words[j], len(local)))
+                syms.append(own)
+                learn.append(bool(batch.column(batch.num_columns - 2)[i].as_py()))
+                size += len(own)
+                if size >= BLOCK or i == batch.num_rows - 1:
+                    yield block(batch.slice(begin, i + 1 - begin), learn, syms, tail, local)
+                    begin, size, learn, syms, tail, local = i + 1, 0, [], [], [], {}
+
+    return run
+
+
+ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: list[str] | None = None, rounds: int = ROUNDS, gain: float = GAIN) -> DataFrame:
     """The columns of ``keep`` (all of df's without it), n_tokens, n_known, train_tokens, base_score and score (log10), a row for each row of df.
 
-    training: the rows to learn from. A null or empty text is its end token alone. Repeated rows all count and are all scored. Without any training
-    row, counts are zero and the model is the one that training would start from; an empty table gives an empty one. Columns of df by the added names are replaced.
+    training: the rows to learn from (null: not). A null or empty text is its end token alone. Repeated rows all count and are all scored. Without any training
+    row, counts are zero and every score is that of the base; an empty table gives an empty one. Columns of df by the added names are replaced; no other name
+    clashes. A text of any length is worked on in bounded memory beside its tokens.
     """
-    spark = df.sparkSession
-    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    names = [c for c in (df.columns if keep is None else keep) if c not in added]
-    rid, learn, body = unused(df, "row_number_", "learn_", "body_")
-    rows = df.select(*[F.col(f"`{c}`") for c in names], training.alias(learn), F.col(f"`{text}`").cast("string").alias(body))
-
-    counted = rows.where(F.col(learn)).select(F.explode(_words(F.col(body))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    counted = cut_table(counted)
-    ends = rows.where(F.col(learn)).count()
-    total, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, kinds = total + ends, kinds + (ends > 0)
-    below = total + 0.5 * (kinds + 1)
-    head = most_frequent(counted, HEAD)
-    own = {r.word for r in head[:OWN]}
-    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(CLASSES))
-    mass = np.full(CLASSES, 0.5)  # of unseen words
-    for r in counted.select(bucket.alias("b"), "c").groupBy("b").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
-        mass[r.b] += r.m
-    for r in head[:OWN]:
-        mass[zlib.crc32(r.word.encode()) % CLASSES] -= r.c + 0.5
-    mass = np.maximum(mass, 0.5)
-
-    names_of, base, inside, symbol = {}, [], [], []
-    for k, r in enumerate(head):
-        raw = r.word.encode()
-        group = zlib.crc32(raw) % CLASSES
-        names_of[raw] = k
-        base.append(np.log10((r.c + 0.5) / below))
-        symbol.append(1 + k if r.word in own else 1 + OWN + group)
-        inside.append(0.0 if r.word in own else np.log10((r.c + 0.5) / mass[group]))
-    shared = spark.sparkContext.broadcast((names_of, np.array(base), np.array(inside), np.array(symbol, dtype=np.uint16)))
-    end_base, end_known = float(np.log10((ends + 0.5) / below)), int(ends > 0)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, base, inside, symbol = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                made: dict[str, list] = {n: [] for n in ("n_tokens", "known", "base", "inside", "syms", "rest")}
-                for t in part.column(part.num_columns - 1).to_pylist():
-                    words = (t or "").encode().lower().split()
-                    at = np.array([index.get(w, -1) for w in words], dtype=np.int64)
-                    there = at >= 0
-                    syms = np.zeros(len(words) + 1, dtype=np.uint16)  # the end's symbol is 0
-                    syms[:-1][there] = symbol[at[there]] if len(index) else 0
-                    places = np.flatnonzero(~there)
-                    rest = [words[i] for i in places.tolist()]
-                    syms[places] = [1 + OWN + zlib.crc32(w) % CLASSES for w in rest]
-                    made["n_tokens"].append(len(syms))
-                    made["known"].append(int(there.sum()) + end_known)
-                    made["base"].append(float(base[at[there]].sum()) + end_base if len(index) else end_base)
-                    made["inside"].append(float(inside[at[there]].sum()) if len(index) else 0.0)
-                    made["syms"].append(syms.tobytes())
-                    made["rest"].append([{"w": w.decode(), "n": n} for w, n in Counter(rest).items()])
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())])))
-                columns = [pa.array(v, type=kind) for v, kind in zip(made.values(), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *columns], names=[*part.schema.names[:-1], *made])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    schema = f"{kept}, n_tokens bigint, known bigint, base double, inside double, syms binary, rest array<struct<w:string,n:bigint>>"
-    coded = cut_table(rows.mapInArrow(encode, schema).withColumn(rid, F.monotonically_increasing_id()))
-
-    model = Model.fresh()
-    for _ in range(iterations if ends else 0):
-        model = baum_welch(coded.where(F.col(learn)), model)
-
-    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seqs = _sequences(batch.column(batch.num_columns - 1))
-            logs = np.zeros(len(seqs))
-            for some in groups(np.array([len(s) for s in seqs])):
-                logs[some] = forward(model, [seqs[i] for i in some])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(logs)], names=[*batch.schema.names[:-1], "chain"])
-
-    small = coded.select(*[F.col(f"`{c}`") for c in names], rid, "n_tokens", "known", "base", "inside", "syms")
-    scored = small.mapInArrow(likelihood, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[:-1]), "chain double"]))
-
-    rest = coded.where("size(rest) > 0").select(F.col(rid).alias("rid_"), F.explode("rest").alias("x")).select("rid_", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
-    masses = F.array(*[F.lit(float(m)) for m in mass])
-    c = F.coalesce("c", F.lit(0)) + 0.5
-    sums = (
-        rest.join(counted, "word", "left")
-        .groupBy("rid_")
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_"),
-            F.sum(F.col("n") * F.log10(c / F.lit(below))).alias("base_"),
-            F.sum(F.col("n") * F.log10(c / F.element_at(masses, bucket.cast("int") + 1))).alias("inside_"),
-        )
-    )
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    return scored.join(sums, F.col(rid) == F.col("rid_"), "left").select(
-        *[F.col(f"`{n}`") for n in names],
-        "n_tokens",
-        (F.col("known") + zero("known_")).cast("bigint").alias("n_known"),
-        F.lit(int(total)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + zero("base_")).alias("base_score"),
-        (F.col("chain") + F.col("inside") + zero("inside_")).alias("score"),
-    )
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in ADDED]
+    learn, body = unused(df, "learn_", "body_")
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(training, F.lit(False)).alias(learn), F.col(f"`{text}`").cast("string").alias(body))
+    fields = rows.schema.fields[:-2]
+
+    counted = cut_table(rows.where(F.col(learn)).select(F.explode(_words(F.col(body))).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    known = Vocabulary.of(counted, rows.where(F.col(learn)).count())
+    drop_table(counted)
+    index = df.sparkSession.sparkContext.broadcast(known.index)
+    kind = T.StructType([T.StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)] or [T.StructField("none", T.BooleanType())])
+    table_of = T.StructType([T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("learn", T.ArrayType(T.BooleanType())), T.StructField("syms", T.BinaryType()), T.StructField("tail", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    held = rows.toDF(*[f.name for f in kind.fields], learn, body) if fields else rows.select(F.lit(True).alias("none"), learn, body)
+    coded = cut_table(held.mapInArrow(_coder(index), table_of).withColumn("block", F.monotonically_increasing_id()))
+
+    old, model, _ = baum_welch(coded, known.kinds, rounds, gain) if known.c[0] else (Model.fresh(), Model.fresh(), [])
+    if not known.c[0]:
+        model.ratio[:] = 1
+    words = _infrequent(coded, old)
+    base = np.log10((known.c + 0.5) / known.below)
+    there, total, below, most = known.c > 0, known.total, known.below, (1 << BITS) - 1
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        for row in left.select(["lengths", "syms", "tail", "words"]).to_pylist():  # one
+            lengths, codes = np.array(row["lengths"], dtype=np.int64), np.frombuffer(row["syms"], dtype=np.uint16).astype(np.int64)
+            others = codes > OWN
+            codes[others] = SYMBOLS + np.frombuffer(row["tail"], dtype=np.int32)
+            pos, n = right.column("pos").to_numpy(), np.zeros(len(row["words"]), dtype=np.int64)
+            n[pos] = right.column("n").to_numpy()
+            grid = np.zeros((len(n), STATES))
+            for s in range(STATES):
+                grid[pos, s] = ((right.column(LONGS[s // THREE]).to_numpy() >> BITS * (s % THREE)) & most) / most
+            grid *= (n / np.maximum(grid.sum(axis=1), 1e-9))[:, None]  # shares were rounded
+            ratio = np.concatenate([model.ratio, ratios(grid, n, (n > 0).astype(float), model.share)])
+            log, seen = np.concatenate([base, np.log10((n + 0.5) / below)]), np.concatenate([there, n > 0])
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            sums = np.bincount(text, weights=log[codes], minlength=len(lengths))
+            chain = likelihoods(Model(model.start, model.move, ratio, model.share), codes, lengths)
+            made.append((lengths, np.bincount(text, weights=seen[codes], minlength=len(lengths)).astype(np.int64), np.full(len(lengths), total, dtype=np.int64), sums, sums + chain))
+        docs = left.column("docs").combine_chunks().flatten()
+        docs = [docs.field(i) for i in range(len(fields))]
+        return pa.Table.from_arrays([*docs, *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True))], names=[*(f.name for f in fields), *ADDED])
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(c, T.LongType() if k < 3 else T.DoubleType()) for k, c in enumerate(ADDED)])
+    return coded.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish, schema)
 
 
 def op9_language_model(spark, sf_dir: str) -> DataFrame:

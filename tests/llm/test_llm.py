@@ -429,41 +429,134 @@ def test_neighbours(spark):
 # 9 ----------------------------------------------------------------------------------------------------------------
 
 
+def brute_markov(rows, held, own, classes, states, rounds):
+    """Scores by a plain Baum-Welch: dense, a text and a token at a time, in double precision."""
+    learned = [t for (_, t), h in zip(rows, held, strict=True) if not h]
+    c = Counter(w for t in learned for w in t)
+    n, v = sum(c.values()), len(c)
+    p0 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    head = sorted((w for w in c if w is not None), key=lambda w: (-c[w], w.encode()))[:own]
+    symbol = lambda w: 0 if w is None else 1 + head.index(w) if w in head else 1 + own + zlib.crc32(w.encode()) % classes
+    kinds = Counter(symbol(w) for w in c)
+    m = language_model.Model.fresh(1 + own + classes, states)
+    start, move, of = m.start, m.move, lambda w: m.ratio[symbol(w)]
+
+    def posteriors(t):
+        alpha, beta, scales = [], [np.ones(states)], []
+        for k, w in enumerate(t):
+            a = (start if k == 0 else alpha[-1] @ move) * of(w)
+            scales.append(a.sum())
+            alpha.append(a / a.sum())
+        for w, z in zip(t[:0:-1], scales[:0:-1], strict=True):
+            beta.append(move @ (of(w) * beta[-1]) / z)
+        beta.reverse()
+        xi = (np.outer(a, of(w) * b) * move / z for a, w, b, z in zip(alpha, t[1:], beta[1:], scales[1:], strict=False))
+        return sum(map(math.log10, scales)), [a * b for a, b in zip(alpha, beta, strict=True)], sum(xi, np.zeros((states, states)))
+
+    for _ in range(rounds):
+        begun, moved, grid, exact = np.zeros(states), np.zeros((states, states)), defaultdict(lambda: np.zeros(states)), defaultdict(lambda: np.zeros(states))
+        for t in learned:
+            _, gamma, xi = posteriors(t)
+            begun, moved = begun + gamma[0], moved + xi
+            for w, g in zip(t, gamma, strict=True):
+                grid[symbol(w)] += g
+                exact[w] += g
+        share = sum(grid.values()) / n
+        start, move = (begun + 0.1 / states) / (begun + 0.1 / states).sum(), (moved + 0.1 / states) / (moved + 0.1 / states).sum(axis=1, keepdims=True)
+        table_ = {s: (g / share + 0.5 * kinds[s]) / (g.sum() + 0.5 * kinds[s]) for s, g in grid.items()}
+        of = lambda w: table_.get(symbol(w), np.ones(states))
+    last = {w: (g / share + 0.5) / (c[w] + 0.5) for w, g in exact.items()}
+    of = lambda w: last.get(w, np.ones(states))
+    unseen = sum(last[w] * p0(w) for w in c) + p0(object())
+    assert np.allclose(unseen, 1)  # each state's emissions sum to one
+    return [posteriors(t)[0] + sum(math.log10(p0(w)) for w in t) for _, t in rows]
+
+
+def tokens_of(t):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]
+
+
 def test_language_model(spark, docs, small, monkeypatch):
-    monkeypatch.setattr(language_model, "HEAD", 40)
+    """Base and score against plain loops; most words are beyond the frequent ones, and few texts fit into a block or a piece."""
+    own, classes, states = 40, 16, language_model.STATES
+    for name, value in (("OWN", own), ("CLASSES", classes), ("SYMBOLS", 1 + own + classes), ("BLOCK", 400)):
+        monkeypatch.setattr(language_model, name, value)
+    monkeypatch.setattr(language_model.Model.fresh.__func__, "__defaults__", (1 + own + classes, states, language_model.SEED))
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    for df in (docs, small.limit(60)):
-        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]
-        c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    for df in (docs.where("length(text) < 500 OR text IS NULL"), small.orderBy("doc_id").limit(25)):
+        rows = [(r.doc_id, tokens_of(r.text)) for r in df.select("doc_id", "text").collect()]
+        c = Counter(w for i, t in rows if not held(i) for w in t)
         n, v = sum(c.values()), len(c)
-        want = Counter((i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 4)) for i, t in rows)
-        got = language_model.score_texts(df.select("doc_id", "text").withColumn("h", language_model.crc_mod(F.col("doc_id"), 5) == 1), ~F.col("h"), keep=["doc_id", "h"]).collect()
-        assert Counter((r.doc_id, r.h, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-        assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
-
-
-def test_markov_recursions():
-    """Forward likelihoods against all paths; a round of Baum-Welch never lowers the likelihood."""
+        base = lambda t: sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        want = sorted((i is None, i or 0, held(i), len(t), sum(c[w] > 0 for w in t), n, base(t), s) for (i, t), s in zip(rows, brute_markov(rows, [held(i) for i, _ in rows], own, classes, states, 4), strict=True))
+        clash = df.select("doc_id", "text", *[F.lit(k).alias(x) for k, x in enumerate(("known", "base", "syms", "rest", "inside", "block", "words", "docs", "e0", "SCORE"))])
+        found = language_model.score_texts(clash.withColumn("h", language_model.crc_mod(F.col("doc_id"), 5) == 1), ~F.col("h"), rounds=4)
+        assert found.columns[2:11] == ["known", "base", "syms", "rest", "inside", "block", "words", "docs", "e0"]
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.h, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found.collect())
+        assert [g[:6] for g in got] == [w[:6] for w in want]
+        assert np.allclose([g[6:] for g in got], [w[6:] for w in want], rtol=2e-3, atol=2e-3)
+    none = language_model.score_texts(docs, F.lit(False), keep=["doc_id"]).collect()
+    assert len(none) == docs.count() and all(r.n_known == r.train_tokens == r.base_score == 0 and abs(r.score) < 1e-9 for r in none)
+    assert language_model.score_texts(empty(spark), F.lit(True)).count() == 0
+
+
+def test_language_model_beats_its_base(spark):
+    """On texts held out, by 0.3 in log10 a token: rounds go on until they gain little."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", language_model.crc_mod(F.col("doc_id"), 5) == 1)
+    r = language_model.score_texts(docs_, ~F.col("held"), keep=["held"]).where("held").agg((F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b")).first()
+    assert r.s >= r.b + 0.3
+
+
+@pytest.mark.parametrize("piece", [100, 4, 1])
+def test_markov_recursions(monkeypatch, piece):
+    """Likelihoods and expected counts against all paths, for whole texts and for texts in pieces; a round of Baum-Welch never lowers the likelihood."""
     from itertools import product
 
-    r = np.random.default_rng(1)
-    m = language_model.Model.fresh(5)
-    seqs = [r.integers(0, 9, n).astype(np.uint16) for n in (5, 3, 3, 1)]
-    got = language_model.forward(m, seqs)
+    monkeypatch.setattr(language_model, "SCALE", 3)
+    r, states = np.random.default_rng(1), 3
+    m = language_model.Model.fresh(9, states, 5)
+    seqs = [r.integers(0, 9, n) for n in (5, 3, 3, 1, 7)]
+    flat, lengths = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    got, counts, found = language_model.likelihoods(m, flat, lengths, piece), language_model.Counts.zero(9, states), np.zeros((len(flat), states))
+    for places, gamma in language_model.expected(m, flat, lengths, counts, piece):
+        found[places] = gamma
+        language_model.add_to(counts.grid, flat[places], gamma)
+    moves, gammas = np.zeros((states, states)), []
     for s, log in zip(seqs, got, strict=True):
-        total = 0.0
-        for path in product(range(language_model.STATES), repeat=len(s)):
-            p = m.start[path[0]] * m.emit[s[0], path[0]]
+        total, gamma, moved = 0.0, np.zeros((len(s), states)), np.zeros((states, states))
+        for path in product(range(states), repeat=len(s)):
+            p = m.start[path[0]] * m.ratio[s[0], path[0]]
             for a, b, x in zip(path, path[1:], s[1:], strict=False):
-                p *= m.move[a, b] * m.emit[x, b]
+                p *= m.move[a, b] * m.ratio[x, b]
             total += p
+            gamma[range(len(s)), path] += p
+            for a, b in zip(path, path[1:], strict=False):
+                moved[a, b] += p
         assert math.isclose(10**log, total, rel_tol=1e-9)
-    counts = np.zeros(language_model.STATES + language_model.STATES**2 + language_model.SYMBOLS * language_model.STATES)
-    language_model.expected(m, seqs, counts)
-    k = language_model.STATES
-    assert math.isclose(counts[:k].sum(), 4) and math.isclose(counts[k : k + k * k].sum(), 8) and math.isclose(counts[k + k * k :].sum(), 12)
-    assert language_model.forward(language_model.Model.of_counts(counts), seqs).sum() > got.sum()
+        moves += moved / total
+        gammas.append(gamma / total)
+    assert np.allclose(found, np.concatenate(gammas)) and np.allclose(counts.move, moves) and counts.tokens == len(flat) and math.isclose(counts.log, got.sum())
+    assert math.isclose(counts.start.sum(), len(seqs)) and np.allclose(counts.grid.sum(axis=1), np.bincount(flat, minlength=9))
+    assert language_model.likelihoods(counts.model(np.ones(9)), flat, lengths, piece).sum() > got.sum()
+
+
+def test_markov_of_long_texts():
+    """A text of 300,000 tokens gives what its tokens give one after another, in bounded time."""
+    import time
+
+    r = np.random.default_rng(2)
+    m, codes, began = language_model.Model.fresh(50, 4, 3), np.random.default_rng(3).integers(0, 50, 300_000), time.perf_counter()
+    counts = language_model.Counts.zero(50, 4)
+    (log,) = language_model.likelihoods(m, codes, np.array([len(codes)]))
+    for places, gamma in language_model.expected(m, codes, np.array([len(codes)]), counts):
+        language_model.add_to(counts.grid, codes[places], gamma)
+    assert time.perf_counter() - began < 30
+    a, want = m.start, 0.0
+    for k, x in enumerate(codes):
+        a = (a if k == 0 else a @ m.move) * m.ratio[x]
+        want += math.log10(a.sum())
+        a = a / a.sum()
+    assert math.isclose(log, want, rel_tol=1e-9) and math.isclose(counts.log, want, rel_tol=1e-9) and np.allclose(counts.grid.sum(axis=1), np.bincount(codes)) and r is not None
 
 
 # 10 ---------------------------------------------------------------------------------------------------------------
