@@ -69,7 +69,7 @@ def cut_table(df: DataFrame) -> DataFrame:
     """As cut(), but as a compressed table in the shared folder: for large intermediate results."""
     spark = df.sparkSession
     path = shared_path(spark, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     _LEFT[path] = made
     return made
