@@ -30,7 +30,7 @@ from sparkloom.session import cut, cut_table, drop_table
 STATES, OWN, CLASSES, SEED = 6, 32_767, 1_024, 11
 SYMBOLS = 1 + OWN + CLASSES
 #: Rounds of Baum-Welch end when one gains less than GAIN in log10 a token, or after ROUNDS of them.
-ROUNDS, GAIN = 50, 0.002
+ROUNDS, GAIN = 50, 0.004
 #: Tokens of a block, of a piece of a long text, and cells (pieces by tokens) that are worked on at a time; steps between two scalings.
 BLOCK, PIECE, CELLS, SCALE = 1_000_000, 16_384, 524_288, 4
 #: A word's shares of the states travel as numbers of BITS bits, THREE in a long.
@@ -107,60 +107,67 @@ class Walk:
     """The scaled forward recursion over pieces of falling sizes.
 
     codes: rows of model.ratio for all tokens; at and size: the pieces' first tokens and sizes; before: the state probabilities that the first token is met with. With keep, the steps
-    stay for back().
+    stay for back(). Steps lie one after another: step t has a row for each piece that is longer than t.
     """
 
     def __init__(self, model: Model, codes: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray, keep: bool = False):
-        self.model, self.at, self.size, self.steps, self.factors = model, at, size, [], {}
-        self.live = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")  # pieces longer than t
-        self.logs, self.last = np.zeros(len(size)), np.empty((len(size), model.move.shape[0]), dtype=model.move.dtype)
-        a = before
-        for t in range(size[0]):
-            n, more = self.live[t], self.live[t + 1]
-            r = model.ratio[codes[at[:n] + t]]
-            a = (before if t == 0 else a[:n] @ model.move) * r
+        self.model, self.factors = model, {}
+        steps, states, tiny = int(size[0]), len(model.start), np.finfo(model.move.dtype).tiny
+        self.live = np.searchsorted(-size, -np.arange(steps + 1), side="left").tolist()  # pieces longer than t
+        self.begin = np.concatenate([[0], np.cumsum(self.live)]).tolist()
+        t = np.repeat(np.arange(steps), self.live[:-1])
+        self.places = at[np.arange(len(t)) - np.array(self.begin)[t]] + t
+        self.ratio = np.take(model.ratio, np.take(codes, self.places), axis=0)
+        self.alpha = np.empty_like(self.ratio)
+        self.logs, self.last = np.zeros(len(size)), np.empty((len(size), states), dtype=model.move.dtype)
+        for t in range(steps):
+            n, more, o = self.live[t], self.live[t + 1], self.begin[t]
+            a = self.alpha[o : o + n]
+            if t:
+                np.matmul(last[:n], model.move, out=a)
+                a *= self.ratio[o : o + n]
+            else:
+                np.multiply(before, self.ratio[:n], out=a)
             if t % SCALE == SCALE - 1:
-                f = np.maximum(a.sum(axis=1), np.finfo(a.dtype).tiny)
+                f = np.maximum(a.sum(axis=1), tiny)
                 a /= f[:, None]
                 self.logs[:n] += np.log10(f)
                 self.factors[t] = f
-            if keep:
-                self.steps.append((a, r))
             if more < n:
                 self.last[more:n] = a[more:]
-        f = np.maximum(self.last.sum(axis=1), np.finfo(a.dtype).tiny)
+            last = a
+        f = np.maximum(self.last.sum(axis=1), tiny)
         self.last /= f[:, None]
         self.logs += np.log10(f)
+        if not keep:
+            del self.alpha, self.ratio, self.places
 
     def back(self, after: np.ndarray, entry: np.ndarray, first: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
         """Add the expected moves and starts to counts; the tokens' places and their state probabilities are returned.
 
         after: what follows a piece, by its last state; entry: state probabilities of the token before it; first: pieces without one.
         """
-        places, gammas, b = [], [], None
-        for t in range(self.size[0] - 1, -1, -1):
-            n, m = self.live[t], self.live[t + 1]  # m pieces go on after t
-            a = self.steps[t][0]
-            now = np.empty_like(a)
+        turned, beta, tiny = np.ascontiguousarray(self.model.move.T), np.empty_like(self.alpha), np.finfo(self.alpha.dtype).tiny
+        ahead = self.ratio  # becomes ratio times beta, relative to the unscaled alpha
+        goes_on = np.ones(len(self.places), dtype=bool)
+        for t in range(len(self.live) - 2, -1, -1):
+            n, m, o = self.live[t], self.live[t + 1], self.begin[t]
             if m:
-                ahead = self.steps[t + 1][1] * b
-                if t + 1 in self.factors:
-                    ahead /= self.factors[t + 1][:, None]
-                now[:m] = ahead @ self.model.move.T
-                counts.move += a[:m].T @ ahead * self.model.move
+                np.matmul(ahead[self.begin[t + 1] : self.begin[t + 1] + m], turned, out=beta[o : o + m])
             if m < n:
                 end = after[m:n]
-                now[m:] = end / np.maximum((a[m:] * end).sum(axis=1), np.finfo(a.dtype).tiny)[:, None]
-            places.append(self.at[:n] + t)
-            gammas.append(a * now)
-            b = now
-        counts.start += gammas[-1][first].sum(axis=0)
+                beta[o + m : o + n] = end / np.maximum((self.alpha[o + m : o + n] * end).sum(axis=1), tiny)[:, None]
+                goes_on[o + m : o + n] = False
+            ahead[o : o + n] *= beta[o : o + n]
+            if t in self.factors:
+                ahead[o : o + n] /= self.factors[t][:, None]
+        n = self.live[0]
+        counts.move += self.alpha[goes_on].T @ ahead[n:] * self.model.move
         if not first.all():
-            begun = self.steps[0][1] * b
-            if 0 in self.factors:
-                begun /= self.factors[0][:, None]
-            counts.move += entry[~first].T @ begun[~first] * self.model.move
-        return np.concatenate(places), np.concatenate(gammas)
+            counts.move += entry[~first].T @ ahead[:n][~first] * self.model.move
+        beta *= self.alpha
+        counts.start += beta[:n][first].sum(axis=0)
+        return self.places, beta
 
 
 def _chain(model: Model, codes: np.ndarray, text: np.ndarray, k: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,9 +239,13 @@ def expected(model: Model, codes: np.ndarray, lengths: np.ndarray, counts: Count
 
 
 def add_to(grid: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
-    """Add weights (tokens by states) to the given rows of a grid."""
-    for s in range(grid.shape[1]):
-        grid[:, s] += np.bincount(rows, weights=weights[:, s], minlength=len(grid))
+    """Add weights (tokens by states; a token's are 1 in all) to the given rows of a grid."""
+    left = np.bincount(rows, minlength=len(grid)).astype(np.float64)
+    for s in range(grid.shape[1] - 1):
+        one = np.bincount(rows, weights=weights[:, s], minlength=len(grid))
+        grid[:, s] += one
+        left -= one
+    grid[:, -1] += np.maximum(left, 0)
 
 
 def _learned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,9 +275,9 @@ def _round(coded: DataFrame, model: Model) -> Counts:
         rest = np.zeros((2 + STATES, STATES))
         rest[0, :2], rest[1], rest[2:] = (counts.log, counts.tokens), counts.start, counts.move
         values = np.concatenate([counts.grid[at], rest])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(rest))]), type=pa.int32()), *(pa.array(values[:, s]) for s in range(STATES))], names=["at", *STATE_COLUMNS])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(rest))]), type=pa.int32()), *(pa.array(values[:, s].astype(np.float32)) for s in range(STATES))], names=["at", *STATE_COLUMNS])
 
-    schema = ", ".join(["at int", *(f"{e} double" for e in STATE_COLUMNS)])
+    schema = ", ".join(["at int", *(f"{e} float" for e in STATE_COLUMNS)])
     sums = coded.select("lengths", "learn", "syms").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(e).alias(e) for e in STATE_COLUMNS]).toArrow()  # a row a symbol
     at, values = sums.column("at").to_numpy(), np.stack([sums.column(e).to_numpy() for e in STATE_COLUMNS], axis=1)
     out = Counts.zero(SYMBOLS, STATES)
@@ -376,13 +387,18 @@ def _coder(index):
     def block(rows: pa.RecordBatch, learn: list, syms: list, tail: list, words: dict) -> pa.RecordBatch:
         keep = pa.StructArray.from_arrays([rows.column(i) for i in range(rows.num_columns - 2)], fields=[rows.schema.field(i) for i in range(rows.num_columns - 2)])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values)
+        lengths, codes, rank = [len(s) for s in syms], np.concatenate(syms), np.array(tail, dtype=np.int32)
+        classes = np.array([1 + OWN + zlib.crc32(w) % CLASSES for w in words], dtype=np.uint16)
+        others = codes == 0
+        others[np.cumsum(lengths) - 1] = False  # the ends
+        codes[others] = classes[rank]
         return pa.RecordBatch.from_arrays(
             [
                 one(keep),
-                one(pa.array([len(s) for s in syms], type=pa.int32())),
+                one(pa.array(lengths, type=pa.int32())),
                 one(pa.array(learn, type=pa.bool_())),
-                pa.array([np.concatenate(syms).tobytes()], type=pa.binary()),
-                pa.array([np.array(tail, dtype=np.int32).tobytes()], type=pa.binary()),
+                pa.array([codes.tobytes()], type=pa.binary()),
+                pa.array([rank.tobytes()], type=pa.binary()),
                 one(pa.array([w.decode() for w in words], type=pa.string())),
             ],
             names=["docs", "lengths", "learn", "syms", "tail", "words"],
@@ -392,19 +408,19 @@ def _coder(index):
         get = index.value.get
         for batch in batches:
             begin, size, learn, syms, tail, local = 0, 0, [], [], [], {}
+            add = local.setdefault
             for i in range(batch.num_rows):
                 words = (batch.column(batch.num_columns - 1)[i].as_py() or "").encode().lower().split()
                 own = np.zeros(len(words) + 1, dtype=np.uint16)  # the end's symbol is 0
                 own[:-1] = [get(w, 0) for w in words]
-                for j in np.flatnonzero(own[:-1] == 0).tolist():
-                    own[j] = 1 + OWN + zlib.crc32(words[j]) % CLASSES
-                    tail.append(local.setdefault(words[j], len(local)))
+                tail += [add(words[j], len(local)) for j in np.flatnonzero(own[:-1] == 0).tolist()]
                 syms.append(own)
                 learn.append(bool(batch.column(batch.num_columns - 2)[i].as_py()))
                 size += len(own)
                 if size >= BLOCK or i == batch.num_rows - 1:
                     yield block(batch.slice(begin, i + 1 - begin), learn, syms, tail, local)
                     begin, size, learn, syms, tail, local = i + 1, 0, [], [], [], {}
+                    add = local.setdefault
 
     return run
 
@@ -442,11 +458,11 @@ def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: lis
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
-        for row in left.select(["lengths", "syms", "tail", "words"]).to_pylist():  # one
+        for row in left.select(["lengths", "syms", "tail", "others"]).to_pylist():  # one
             lengths, codes = np.array(row["lengths"], dtype=np.int64), np.frombuffer(row["syms"], dtype=np.uint16).astype(np.int64)
             others = codes > OWN
             codes[others] = SYMBOLS + np.frombuffer(row["tail"], dtype=np.int32)
-            pos, n = right.column("pos").to_numpy(), np.zeros(len(row["words"]), dtype=np.int64)
+            pos, n = right.column("pos").to_numpy(), np.zeros(row["others"], dtype=np.int64)
             n[pos] = right.column("n").to_numpy()
             grid = np.zeros((len(n), STATES))
             for s in range(STATES):
@@ -463,7 +479,8 @@ def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: lis
         return pa.Table.from_arrays([*docs, *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True))], names=[*(f.name for f in fields), *ADDED])
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(c, T.LongType() if k < 3 else T.DoubleType()) for k, c in enumerate(ADDED)])
-    return coded.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish, schema)
+    slim = coded.select("block", "docs", "lengths", "syms", "tail", F.size("words").alias("others"))
+    return slim.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish, schema)
 
 
 def op9_language_model(spark, sf_dir: str) -> DataFrame:
