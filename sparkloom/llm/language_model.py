@@ -15,6 +15,7 @@ matrices is taken for every state before it, the products are chained, and the r
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import crc_mod, lower_ascii, table, unused
+from sparkloom.llm.common import crc_mod, table, unused
 from sparkloom.session import cut, cut_table, drop_table
 
 STATES, OWN, CLASSES, SEED = 6, 32_767, 1_024, 11
@@ -33,8 +34,10 @@ SYMBOLS = 1 + OWN + CLASSES
 ROUNDS, GAIN = 50, 0.004
 #: Tokens of a block, of a piece of a long text, and cells (pieces by tokens) that are worked on at a time; steps between two scalings.
 BLOCK, PIECE, CELLS, SCALE = 1_000_000, 16_384, 524_288, 4
-#: A word's shares of the states travel as numbers of BITS bits, THREE in a long.
-BITS, THREE = 20, 3
+#: An infrequent word's shares of the states travel as numbers of BITS bits, A_LONG in a long.
+BITS, A_LONG = 10, 6
+#: Distinct words that a task counts before it sends them on, and tasks of the table of blocks that make one of a round's.
+COUNTED, TOGETHER = 1_000_000, 3
 
 
 @dataclass
@@ -278,7 +281,9 @@ def _round(coded: DataFrame, model: Model) -> Counts:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(rest))]), type=pa.int32()), *(pa.array(values[:, s].astype(np.float32)) for s in range(STATES))], names=["at", *STATE_COLUMNS])
 
     schema = ", ".join(["at int", *(f"{e} float" for e in STATE_COLUMNS)])
-    sums = coded.select("lengths", "learn", "syms").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(e).alias(e) for e in STATE_COLUMNS]).toArrow()  # a row a symbol
+    few = coded.select("lengths", "learn", "syms")
+    few = few.coalesce(max(1, -(-few.rdd.getNumPartitions() // TOGETHER)))  # each task sends a row for every symbol
+    sums = few.mapInArrow(run, schema).groupBy("at").agg(*[F.sum(e).alias(e) for e in STATE_COLUMNS]).toArrow()  # a row a symbol
     at, values = sums.column("at").to_numpy(), np.stack([sums.column(e).to_numpy() for e in STATE_COLUMNS], axis=1)
     out = Counts.zero(SYMBOLS, STATES)
     out.grid[at[at >= 0]] = values[at >= 0]
@@ -298,7 +303,7 @@ def baum_welch(coded: DataFrame, kinds: np.ndarray, rounds: int = ROUNDS, gain:
     return old, new, logs
 
 
-LONGS = [f"p{k}" for k in range(-(-STATES // THREE))]
+LONGS = [f"p{k}" for k in range(-(-STATES // A_LONG))]
 
 
 def _infrequent(coded: DataFrame, model: Model) -> DataFrame:
@@ -321,7 +326,7 @@ def _infrequent(coded: DataFrame, model: Model) -> DataFrame:
                         add_to(grid, mine[mine >= 0], gamma[mine >= 0])
                 n = np.bincount(rank[rank >= 0], minlength=len(words))
                 share = np.rint(grid / np.maximum(grid.sum(axis=1, keepdims=True), 1e-9) * most).astype(np.int64)
-                packed = [sum(share[:, s] << BITS * (s % THREE) for s in range(STATES) if s // THREE == k) for k in range(len(LONGS))]
+                packed = [sum(share[:, s] << BITS * (s % A_LONG) for s in range(STATES) if s // A_LONG == k) for k in range(len(LONGS))]
                 for k in range(0, len(words), 20_000):
                     part = slice(k, k + 20_000)
                     pos = np.arange(len(words), dtype=np.int32)[part]
@@ -330,14 +335,35 @@ def _infrequent(coded: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(["block bigint", "pos int", "word string", "n bigint", *(f"{p} bigint" for p in LONGS)])
     found = coded.select("block", "lengths", "learn", "syms", "tail", "words").mapInArrow(run, schema)
     alike = Window.partitionBy("word")  # a row a block at most; none of these words is frequent
-    own = lambda s: F.shiftright(F.col(LONGS[s // THREE]), BITS * (s % THREE)).bitwiseAND(F.lit(most))
+    own = lambda s: F.shiftright(F.col(LONGS[s // A_LONG]), BITS * (s % A_LONG)).bitwiseAND(F.lit(most))
     found = found.select("block", "pos", F.sum("n").over(alike).alias("n"), *[F.sum(F.col("n") * own(s)).over(alike).alias(f"t{s}") for s in range(STATES)]).where("n > 0")
-    packed = [sum((F.shiftleft(F.floor(F.col(f"t{s}") / F.col("n")).cast("bigint"), BITS * (s % THREE)) for s in range(STATES) if s // THREE == k), F.lit(0).cast("bigint")).alias(p) for k, p in enumerate(LONGS)]
+    packed = [sum((F.shiftleft(F.round(F.col(f"t{s}") / F.col("n")).cast("bigint"), BITS * (s % A_LONG)) for s in range(STATES) if s // A_LONG == k), F.lit(0).cast("bigint")).alias(p) for k, p in enumerate(LONGS)]
     return found.select("block", "pos", "n", *packed)
 
 
-def _words(text) -> F.Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _words(text: str | None) -> list[bytes]:
+    """A-Z in lower case, cut at white space of ASCII."""
+    return (text or "").encode().lower().split()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter = Counter()
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], type=pa.string()), pa.array(list(found.values()), type=pa.int64())], names=["word", "c"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            found.update(_words(text.as_py()))
+            if len(found) > COUNTED:
+                yield made()
+                found.clear()
+    yield made()
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, c) of all texts in the only column; a task counts before anything is shuffled."""
+    return texts.mapInArrow(_count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(counted: DataFrame, n: int) -> list:
@@ -410,7 +436,7 @@ def _coder(index):
             begin, size, learn, syms, tail, local = 0, 0, [], [], [], {}
             add = local.setdefault
             for i in range(batch.num_rows):
-                words = (batch.column(batch.num_columns - 1)[i].as_py() or "").encode().lower().split()
+                words = _words(batch.column(batch.num_columns - 1)[i].as_py())
                 own = np.zeros(len(words) + 1, dtype=np.uint16)  # the end's symbol is 0
                 own[:-1] = [get(w, 0) for w in words]
                 tail += [add(words[j], len(local)) for j in np.flatnonzero(own[:-1] == 0).tolist()]
@@ -440,7 +466,7 @@ def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: lis
     rows = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(training, F.lit(False)).alias(learn), F.col(f"`{text}`").cast("string").alias(body))
     fields = rows.schema.fields[:-2]
 
-    counted = cut_table(rows.where(F.col(learn)).select(F.explode(_words(F.col(body))).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    counted = cut_table(count_words(rows.where(F.col(learn)).select(body)))
     known = Vocabulary.of(counted, rows.where(F.col(learn)).count())
     drop_table(counted)
     index = df.sparkSession.sparkContext.broadcast(known.index)
@@ -466,7 +492,7 @@ def score_texts(df: DataFrame, training: F.Column, text: str = "text", keep: lis
             n[pos] = right.column("n").to_numpy()
             grid = np.zeros((len(n), STATES))
             for s in range(STATES):
-                grid[pos, s] = ((right.column(LONGS[s // THREE]).to_numpy() >> BITS * (s % THREE)) & most) / most
+                grid[pos, s] = ((right.column(LONGS[s // A_LONG]).to_numpy() >> BITS * (s % A_LONG)) & most) / most
             grid *= (n / np.maximum(grid.sum(axis=1), 1e-9))[:, None]  # shares were rounded
             ratio = np.concatenate([model.ratio, ratios(grid, n, (n > 0).astype(float), model.share)])
             log, seen = np.concatenate([base, np.log10((n + 0.5) / below)]), np.concatenate([there, n > 0])

@@ -479,7 +479,7 @@ def tokens_of(t):
 def test_language_model(spark, docs, small, monkeypatch):
     """Base and score against plain loops; most words are beyond the frequent ones, and few texts fit into a block or a piece."""
     own, classes, states = 40, 16, language_model.STATES
-    for name, value in (("OWN", own), ("CLASSES", classes), ("SYMBOLS", 1 + own + classes), ("BLOCK", 400)):
+    for name, value in (("OWN", own), ("CLASSES", classes), ("SYMBOLS", 1 + own + classes), ("BLOCK", 400), ("COUNTED", 50)):
         monkeypatch.setattr(language_model, name, value)
     monkeypatch.setattr(language_model.Model.fresh.__func__, "__defaults__", (1 + own + classes, states, language_model.SEED))
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
