@@ -37,6 +37,35 @@ def crc_mod(column: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), where value is made once a row, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+#: Elements that running values are made of at a time.
+RUN = 128
+
+
+def _running(numbers: Column, first: int, join) -> Column:
+    """For each of an array of whole numbers, all those before it joined (``first`` for none); in time near proportional to their number."""
+    first_ = F.lit(first).cast("bigint")
+    along = lambda values, start: F.slice(F.aggregate(values, F.array(start), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x)))), 1, F.size(values))
+    whole = lambda values: F.aggregate(values, first_, join)
+    parts = lambda own: F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / RUN).cast("int")), lambda b: F.slice(own, b * RUN + 1, RUN))
+    many = lambda own: bind(parts(own), lambda p: F.flatten(F.zip_with(p, along(F.transform(p, whole), first_), along)))
+    return bind(numbers.cast("array<bigint>"), lambda own: F.when(F.size(own) > 0, many(own)).otherwise(F.array().cast("array<bigint>")))
+
+
+def running_totals(numbers: Column) -> Column:
+    """For each element, the sum of those before it."""
+    return _running(numbers, 0, lambda a, x: a + x)
+
+
+def running_greatest(numbers: Column) -> Column:
+    """For each element, the greatest of those before it, or -1."""
+    return _running(numbers, -1, lambda a, x: F.greatest(a, x))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, made from the given ones."""
     taken, out = {c.lower() for c in df.columns}, []

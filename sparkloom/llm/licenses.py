@@ -1,6 +1,7 @@
 """License scans by ordered signature rules, with built-in functions only.
 
-Texts become words with single spaces. A rule has a keyword, a regular expression over words, a label and a priority. Only texts that
+Texts become words with single spaces. A rule has a keyword, a regular expression over words, a label and a priority: names, identifiers and addresses of license families in six
+forms, and sentences of license texts and notices. Only texts that
 hold one of the general keywords go on, and only the rules whose keyword occurs are run on them; a rule's keyword is a literal part of its own expression. A detection inside another one, or equal to
 one of higher priority, is suppressed.
 """
@@ -13,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import count_words, spaced_words, table, unused
+from sparkloom.llm.common import bind, count_words, running_greatest, running_totals, spaced_words, table, unused
 
 #: The phrases of the base and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -85,6 +86,93 @@ FAMILIES = (
     ("proprietary", ("proprietary (?:and confidential|licen[cs]e|information)",), ("licenseref proprietary",), ("unauthori[sz]ed copying of this (?:file|document)",)),
 )
 
+#: Sentences of license texts and notices, each a rule of its own: label, expression, confidence.
+NOTICES = (
+    ("agpl", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network", 1.0),
+    ("agpl", "remote network interaction use with the gnu general public license", 1.0),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 1.0),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program)", 1.0),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed to work with the library", 0.9),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", 1.0),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.8),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty", 0.8),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it", 0.9),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 1.0),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts", 0.9),
+    ("apache", "you may not use this (?:file|software) except in compliance with the license", 0.9),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.9),
+    ("apache", "this product includes software developed by the apache software foundation", 0.9),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 0.8),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", 1.0),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 0.8),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 0.8),
+    ("bsd", "redistributions of source code must retain", 0.8),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", 0.9),
+    ("bsd", "this software is provided by the (?:copyright holders and contributors|author|regents and contributors) as is and any express or implied warranties", 0.9),
+    ("bsd", "this list of conditions and the following disclaimer", 0.7),
+    ("bsd-3-clause", "neither the name of [a-z0-9 ]{1,80} nor the names of (?:its|their|any) contributors may be used to endorse or promote products", 1.0),
+    ("bsd-3-clause", "the name of the author may not be used to endorse or promote products derived from this software", 0.9),
+    ("bsd-4-clause", "this product includes software developed by the university of california", 0.9),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", 0.9),
+    ("isc", "in no event shall the author be liable for any special direct indirect or consequential damages", 0.9),
+    ("isc", "permission to use copy modify and distribute this software (?:and its documentation )?for any purpose", 0.8),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 1.0),
+    ("mpl", "this source code form is incompatible with secondary licenses", 0.9),
+    ("mpl", "the contents of this file are subject to the mozilla public license", 1.0),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", 1.0),
+    ("epl", "the accompanying materials are made available under the terms of the eclipse", 0.9),
+    ("edl", "terms of the eclipse distribution license", 1.0),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("cddl", "when distributing covered code include this cddl header notice in each file", 1.0),
+    ("cpl", "the accompanying materials are made available under the terms of the common public license", 1.0),
+    ("eupl", "you may not use this work except in compliance with the licen[cs]e", 0.9),
+    ("eupl", "licensed under the eupl", 1.0),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", 1.0),
+    ("artistic", "under the same terms as perl itself", 0.9),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 1.0),
+    ("boost", "unless such copies or derivative works are solely in the form of machine executable object code", 0.9),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", 1.0),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1.0),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1.0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1.0),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 1.0),
+    ("public-domain", "no rights reserved", 0.5),
+    ("public-domain", "(?:dedicates?|waives?) all (?:copyright|rights) [a-z0-9 ]{0,80}public domain", 0.8),
+    ("wtfpl", "do what the fuck you want to", 1.0),
+    ("python", "this license agreement is between the python software foundation", 1.0),
+    ("php", "this product includes php software freely available from", 1.0),
+    ("openssl", "this product includes software developed by the openssl project", 1.0),
+    ("openssl", "this product includes cryptographic software written by eric young", 0.9),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 1.0),
+    ("ofl", "this font software is licensed under the sil open font license", 1.0),
+    ("ofl", "neither the font software nor any of its individual components in original or modified versions may be sold by itself", 1.0),
+    ("vim", "vim is charityware", 0.9),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify merge", 1.0),
+    ("ncsa", "neither the names of [a-z0-9 ]{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 0.9),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", 0.9),
+    ("upl", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software", 0.9),
+    ("busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 1.0),
+    ("sspl", "making the functionality of the program or modified version available to third parties as a service", 1.0),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service", 1.0),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", 1.0),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", 0.9),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", 0.9),
+    ("cc-by-nc", "you may not use the material for commercial purposes", 0.9),
+    ("cc-by-nc", "attribution noncommercial V international", 1.0),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", 0.9),
+    ("cc-by-nd", "attribution no ?deriv[a-z]+ V international", 1.0),
+    ("cc-by-nc-sa", "attribution noncommercial share ?alike V international", 1.0),
+    ("cc-by-nc-nd", "attribution noncommercial no ?deriv[a-z]+ V international", 1.0),
+    ("creative-commons", "some rights reserved", 0.6),
+    ("all-rights-reserved", "copyright(?: c)? [0-9]{4} [a-z0-9 ]{1,60} all rights reserved", 0.8),
+    ("all-rights-reserved", "may be reproduced (?:stored in a retrieval system )?(?:or )?(?:distributed or )?transmitted in any form or by any means", 0.8),
+    ("proprietary", "unauthori[sz]ed copying of this file via any medium is strictly prohibited", 1.0),
+    ("proprietary", "contains (?:confidential and proprietary|proprietary and confidential|trade secret)", 0.8),
+    ("proprietary", "for internal use only", 0.5),
+    ("proprietary", "you may not reverse engineer decompile or disassemble", 0.7),
+)
+
 #: Forms in which a family is written: what the expression is made of, its priority and its confidence.
 NAME, IDENTIFIER, ADDRESS = 1, 2, 3
 FORMS = (
@@ -108,7 +196,7 @@ def _shared(parts: list[str]) -> str:
 
 def literals(expression: str) -> list[str]:
     """Texts that stand in every match of an expression and the spaces around it."""
-    left = re.sub(r"[a-z0-9]\?|\x20\?", "\0", re.sub(r"\[[^]]*\][+*?]?", "\0", f" {expression} "))
+    left = re.sub(r"[a-z0-9]\?|\x20\?", "\0", re.sub(r"\[[^]]*\](?:[+*?]|\{[0-9,]*\})?", "\0", f" {expression} "))
     while found := re.search(r"\(\?:([^()]*)\)(\??)", left):
         body = found[1].split("|")
         left = left[: found.start()] + ("\0" if found[2] else body[0] if len(body) == 1 else f"\0{_shared(body)}\0") + left[found.end() :]
@@ -116,7 +204,7 @@ def literals(expression: str) -> list[str]:
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, expression, label, priority, confidence), a few hundred; earlier families come first within a priority. A keyword stands in every match of its own expression."""
+    """(keyword, expression, label, priority, confidence), nearly 500; earlier ones come first within a priority. A keyword stands in every match of its own expression."""
     out = []
     for k, family in enumerate(FAMILIES):
         for part, form, priority, confidence in FORMS:
@@ -128,6 +216,9 @@ def rules() -> list[tuple[str, str, str, int, float]]:
                 listed = [x for x in literals(expression) if any(o in x for o in own)]
                 keyword = max(listed, key=lambda x: (not any(x.strip().startswith(c) and len(x.strip()) <= len(c) + 1 for c in COMMON), len(x)))
                 out.append((keyword, f"(?<= ){expression}(?= )", family[0], priority * 1000 - k, confidence))
+    for k, (label, body, confidence) in enumerate(NOTICES):
+        expression = body.replace("V", VERSION)
+        out.append((max(literals(expression), key=len).strip(), f"(?<= ){expression}(?= )", label, 95_000 - k, confidence))
     return out
 
 
@@ -145,11 +236,8 @@ def _places(norm: Column, phrase: str) -> Column:
     """Word numbers at which a phrase stands."""
     gaps = F.split(norm, f"(?<= ){phrase}(?= )")
     words = F.transform(gaps, lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))) - 1)
-    begin = F.aggregate(
-        F.slice(words, 1, F.size(words) - 1),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["n"] + x + len(phrase.split())).alias("n"), F.concat(a["out"], F.array(a["n"] + x)).alias("out")),
-    )["out"]
+    k = len(phrase.split())
+    begin = bind(words, lambda w: F.slice(F.zip_with(running_totals(F.transform(w, lambda x: x + k)), w, lambda n, x: (n + x).cast("int")), 1, F.size(w) - 1))
     return F.when(F.contains(norm, F.lit(f" {phrase} ")), begin).otherwise(F.array().cast("array<int>"))
 
 
@@ -162,35 +250,23 @@ def _detections(norm: Column) -> Column:
     def spans(r: Column) -> Column:
         chunks = F.regexp_extract_all(norm, F.concat(F.lit("(?s)\\G.*?"), r["e"]), F.lit(0))
         gaps = F.regexp_extract_all(norm, F.concat(F.lit("(?s)\\G(.*?)"), r["e"]), F.lit(1))
-        found = F.aggregate(
-            F.arrays_zip(chunks.alias("a"), gaps.alias("b")),
-            F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("out")),
-            lambda a, x: F.struct(
-                (a["n"] + F.length(x["a"])).alias("n"),
-                F.concat(a["out"], F.array(F.struct((a["n"] + F.length(x["b"])).alias("start"), (a["n"] + F.length(x["a"])).alias("end"), r["p"].alias("priority"), r["label"].alias("label"), r["c"].alias("confidence")))).alias("out"),
-            ),
-        )
-        return found["out"]
+        both = F.arrays_zip(chunks.alias("a"), gaps.alias("b"))
+        span = lambda x, n: F.struct((n + F.length(x["b"])).cast("int").alias("start"), (n + F.length(x["a"])).cast("int").alias("end"), r["p"].alias("priority"), r["label"].alias("label"), r["c"].alias("confidence"))
+        return bind(both, lambda z: F.zip_with(z, running_totals(F.transform(z, lambda x: F.length(x["a"]))), span))
 
     run = F.flatten(F.transform(F.filter(table_, lambda r: F.contains(norm, r["k"])), spans))
     return F.when(norm.rlike(_general()), run).otherwise(F.array().cast(kind))
 
 
 def _outermost(detections: Column) -> Column:
-    """Without those inside another, and of equal ones only that of highest priority: sorted by start, then longest, then priority."""
-    kind = "array<struct<start:int,end:int,priority:int,label:string,confidence:double>>"
+    """Without those inside another, and of equal ones only that of highest priority: sorted by start, then longest, then priority.
+
+    In that order, a detection is inside another one just if an earlier one ends where it ends or later; the latest end so far is taken by runs of detections.
+    """
     ordered = F.array_sort(F.transform(detections, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("minus_end"), (-d["priority"]).alias("minus_priority"), d["label"].alias("label"), d["confidence"].alias("confidence"))))
-    kept = F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("most"), F.array().cast(kind).alias("out")),
-        lambda a, d: F.struct(
-            F.greatest(a["most"], -d["minus_end"]).alias("most"),
-            F.when(-d["minus_end"] <= a["most"], a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.struct(d["start"].alias("start"), (-d["minus_end"]).alias("end"), (-d["minus_priority"]).alias("priority"), d["label"].alias("label"), d["confidence"].alias("confidence")))))
-            .alias("out"),
-        ),
-    )
-    return kept["out"]
+    clear = lambda d, most: -d["minus_end"] > most
+    kept = bind(ordered, lambda o: F.filter(F.zip_with(o, running_greatest(F.transform(o, lambda d: -d["minus_end"])), lambda d, most: F.when(clear(d, most), F.struct(d["start"].alias("start"), (-d["minus_end"]).alias("end"), (-d["minus_priority"]).alias("priority"), d["label"].alias("label"), d["confidence"].alias("confidence")))), lambda d: d.isNotNull()))
+    return kept
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
