@@ -2,9 +2,9 @@
 
 A text of up to ``chunk`` characters is counted by its units (runs without white space), of which equal ones are encoded
 once: the vocabulary's normalizer and pattern drop white space and never look across it. A longer text is encoded in overlapping
-chunks with offsets. In an overlap both encodings must agree on a boundary: white space before it, a token starting there in
-both, and equal ids and offsets around it. There the counts are spliced. An overlap without such a place is widened, twofold each time,
-to the whole of both chunks at most, which are then encoded as one.
+chunks with offsets. In an overlap both encodings must agree on a boundary: a place where the pattern ends a match whatever stands around, a token starting there in
+both, and equal ids and offsets around it. There the counts are spliced. An overlap without such a place is widened, twofold each time;
+where the whole chunk has none, it is taken twice as long, so the work stays in proportion to the text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,13 @@ CACHE_UNITS, CACHE_CHARS, SLICE = 400_000, 48, 64
 #: Characters of a chunk and of an overlap at first, and tokens that must agree on either side of a splice.
 CHUNK, OVERLAP, AGREE = 32_768, 256, 3
 
+#: Characters that no composition joins to what stands before them: neither marks nor later parts of a syllable.
+_ALONE = r"[^\p{M}\u1160-\u11FF\uD7B0-\uD7FF]"
+#: Places where the pattern (runs of letters, single numbers, runs of others, and endings behind an apostrophe) begins a match in every context: after white space, around a
+#: number, and where letters and others meet, but for letters behind an apostrophe. A mark may belong to the letter before it, so nothing is said behind one, nor behind the one capital
+#: whose small form ends with a mark.
+BOUNDARY = regex.compile(rf"(?={_ALONE})(?:(?<=[{WHITE}\p{{N}}])[^{WHITE}]|\p{{N}}|(?<=\p{{L}})(?<!\u0130)[^{WHITE}\p{{L}}\p{{N}}]|(?<=[^{WHITE}\p{{L}}\p{{N}}\p{{M}}'])\p{{L}})")
+
 _TOKENIZERS: dict = {}
 
 
@@ -38,18 +46,23 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def splice(text: str, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, int] | None:
-    """Indexes in left and right of the same token, the first after a boundary that both have proven within text[lo:hi].
+def boundaries(text: str, lo: int, hi: int, margin: int = 0) -> set[int]:
+    """Places in text[lo:hi] where a match of the pattern begins whatever stands around, ``margin`` or more from either end."""
+    return {m.start() for m in BOUNDARY.finditer(text, max(1, lo + margin), max(1, hi - margin), overlapped=True)}
+
+
+def splice(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], lo: int, hi: int, proven: set[int]) -> tuple[int, int] | None:
+    """Indexes in left and right of the same token, the first after a proven boundary in the overlap from lo to hi on which both agree.
 
     Tokens are (start, end, id) with starts in the whole text. The boundary nearest the middle of the overlap is taken.
     """
-    at = {t[0]: i for i, t in enumerate(left) if lo < t[0] < hi and (i == 0 or left[i - 1][1] <= t[0])}
+    at = {t[0]: i for i, t in enumerate(left) if t[0] in proven and (i == 0 or left[i - 1][1] <= t[0])}
     middle, best = (lo + hi) / 2, None
     for j, (start, _, _) in enumerate(right):
         if start >= hi:
             break
         i = at.get(start)
-        if i is None or not UNIT.match(text, start) or UNIT.match(text, start - 1):
+        if i is None or j and right[j - 1][1] > start:
             continue
         back = min(AGREE, i, j)  # at its first token, the right chunk has nothing before to compare
         if left[i - back : i + AGREE] == right[j - back : j + AGREE] and (best is None or abs(start - middle) < abs(best[0] - middle)):
@@ -57,8 +70,8 @@ def splice(text: str, left: list[tuple[int, int, int]], right: list[tuple[int, i
     return best and best[1:]
 
 
-def count_long(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of one text by spliced chunks. encode: gives (start, end, id) of each token of a string."""
+def count_long(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = 0) -> int:
+    """Tokens of one text by spliced chunks. encode: gives (start, end, id) of each token of a string; margin: the length of the longest special string, which no boundary may be inside."""
 
     def tokens(a: int, b: int) -> list[tuple[int, int, int]]:
         return [(s + a, e + a, i) for s, e, i in encode(text[a:b])]
@@ -67,29 +80,30 @@ def count_long(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     left, first, total = tokens(begin, end), 0, 0  # first: the tokens of left before it are counted
     while end < len(text):
         width = overlap
-        while True:
-            start = end - width
-            if start <= begin:  # nothing agrees in the whole chunk: encode it and the next as one
-                end = min(len(text), end + chunk)
-                taken = left[first][0] if 0 < first < len(left) else None
-                left = tokens(begin, end)
-                if taken is not None:
-                    first = next(i for i, t in enumerate(left) if t[0] >= taken)
-                break
-            stop = min(len(text), end + chunk)
-            right = tokens(start, stop)
-            found = splice(text, left, right, start, end)
-            if found and found[0] >= first:
-                total += found[0] - first
-                begin, end, left, first = start, stop, right, found[1]
-                break
+        while (start := end - width) > begin:
+            proven = boundaries(text, start, end, margin)
+            if proven:
+                stop = min(len(text), end + chunk)
+                right = tokens(start, stop)
+                found = splice(left, right, start, end, proven)
+                if found and found[0] >= first:
+                    total += found[0] - first
+                    begin, end, left, first = start, stop, right, found[1]
+                    break
             width *= 2
+        else:  # nothing agrees in the whole chunk: take it twice as long
+            taken = left[first][0] if 0 < first < len(left) else None
+            end = min(len(text), begin + 2 * (end - begin))
+            left = tokens(begin, end)
+            if taken is not None:
+                first = next(i for i, t in enumerate(left) if t[0] >= taken)
     return total + len(left) - first
 
 
 def _counter(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = tokenizer(path)
+        margin = max((len(t.content) for t in own.get_added_tokens_decoder().values()), default=0)
 
         def spans(part: str) -> list[tuple[int, int, int]]:
             found = own.encode(part, add_special_tokens=False)
@@ -107,7 +121,7 @@ def _counter(path: str, chunk: int, overlap: int):
                     some = fresh[j : j + 4096]
                     for unit, found in zip(some, own.encode_batch_fast(some, add_special_tokens=False), strict=True):
                         (known if len(unit) <= CACHE_CHARS else once)[unit] = len(found)
-                counts = [sum([known[u] if u in known else once[u] for u in x]) if len(t) <= chunk else count_long(t, spans, chunk, overlap) for t, x in zip(texts, units, strict=True)]
+                counts = [sum([known[u] if u in known else once[u] for u in x]) if len(t) <= chunk else count_long(t, spans, chunk, overlap, margin) for t, x in zip(texts, units, strict=True)]
                 keep = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(counts, type=pa.int64())], names=[*part.schema.names[:-1], "n_tokens"])
 
@@ -117,9 +131,10 @@ def _counter(path: str, chunk: int, overlap: int):
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The columns of ``keep`` (all of df's without it) and n_tokens, the tokens of the whole text without added special ones.
 
-    path: a file of the tokenizers library whose normalizer and pattern don't act across white space (on every executor).
+    path: a file of the tokenizers library whose normalizer composes characters, lower-cases and joins white space at most, and whose pattern is that of BOUNDARY (on every executor).
     Special strings inside texts become their special tokens, as is the library's default. A null text counts as empty and has no
-    tokens; repeated rows stay; an empty table gives an empty one; a column n_tokens of df is replaced. No shuffle; a task holds 64 texts at a time.
+    tokens; repeated rows stay; an empty table gives an empty one; a column n_tokens of df is replaced; no other name clashes. No shuffle; a task holds 64 texts at a time.
+    Only a run of letters without an end is held as one, as nothing proves a boundary inside it.
     """
     names = [c for c in (df.columns if keep is None else keep) if c != "n_tokens"]
     (last,) = unused(df, "counted_text")
