@@ -8,7 +8,6 @@ its query can't be among the nearest. The others are computed again from the ori
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import table
+from sparkloom.session import cut_table
 
 K, QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 20, 4_096, 32_768, 4_096
-RESULT = "query_id bigint, vec_id bigint, score double"
+RESULT = "query bigint, query_id bigint, vec_id bigint, score double"
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v, dim): vectors that are not null or zero and have only finite components, and an id. Of rows with the same id, the least vector counts."""
+    """(row, vec_id, v, dim): vectors that are not null or zero and have only finite components, and an id. Every row takes part, those of the same id too; row is its number."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return rows.withColumn("dim", F.size("v"))
+    rows = rows.where(finite & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("dim"))
+    return cut_table(rows)  # a row keeps its number as query and as candidate
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,13 +47,15 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_in(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of each query among those of a cell."""
+def nearest_in(query: pd.DataFrame, cand: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best candidates of each query among those of a cell; both have row, vec_id and v."""
+    qrow, qid, q = query.row.to_numpy(), query.vec_id.to_numpy(), np.stack(query.v.to_numpy())
+    crow, cid, c = cand.row.to_numpy(), cand.vec_id.to_numpy(), np.stack(cand.v.to_numpy())
     out = []
     cc, cs, cn, cm, ce = quantise(c)
     with np.errstate(over="ignore", invalid="ignore"):
         for a in range(0, len(q), 512):
-            ids, rows = qid[a : a + 512], q[a : a + 512]
+            own_row, ids, rows = qrow[a : a + 512], qid[a : a + 512], q[a : a + 512]
             qc, qs, _, qm, qe = quantise(rows)
             best = np.full((len(rows), k), -np.inf)  # lower bounds
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -65,7 +67,7 @@ def nearest_in(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
                 # q.c - q'.c' = (q - q').c + q'.(c - c')
                 error = (qe[:, None] * cn[tile][None, :] + qm[:, None] * ce[tile][None, :]) * (1 + 1e-9) + 1e-12 * (1 + np.abs(near))
                 lower, upper = near - error, near + error
-                own = ids[:, None] == cid[tile][None, :]
+                own = own_row[:, None] == crow[tile][None, :]
                 lower[own], upper[own] = -np.inf, -np.inf
                 both = np.concatenate([best, np.nan_to_num(lower, nan=-np.inf)], axis=1)
                 best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
@@ -79,42 +81,57 @@ def nearest_in(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
             i, j, score = i[order], j[order], score[order]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             top = place < k
-            out.append(pd.DataFrame({"query_id": ids[i[top]], "vec_id": cid[j[top]], "score": score[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            out.append(pd.DataFrame({"query": own_row[i[top]], "query_id": ids[i[top]], "vec_id": cid[j[top]], "score": score[top]}))
+    return pd.concat(out)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k candidates of the largest inner product, itself left out; ties to the smaller id.
+    """(query_id, rank, vec_id, score): each query's k candidates of the largest inner product, its own row left out; ties to the smaller id.
 
-    Both inputs are of usable(). Only vectors of a query's length are its candidates; with fewer than k, all are returned; a query without any has no row.
-    An empty table gives an empty one. Hot or repeated vectors are candidates like others, and a tie of any number of them is settled by id within the cells.
+    Both inputs are of usable(), queries among vectors. Only vectors of a query's length are its candidates; with fewer than k, all are returned; a query without any has no row.
+    Rows of the same id are queries and candidates of their own. An empty table gives an empty one. Hot or repeated vectors are candidates like others, and a tie of any number of
+    them is settled by id within the cells.
     """
     def blocks(df: DataFrame, size: int) -> int:
         return max(1, -(-df.count() // size))
 
     nq, nc = blocks(queries, query_block), blocks(vectors, candidate_block)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("dim", deal(nq).alias("i"), every(nc).alias("j"), "vec_id", "v")
-    right = vectors.select("dim", every(nq).alias("i"), deal(nc).alias("j"), "vec_id", "v")
+    left = queries.select("dim", deal(nq).alias("i"), every(nc).alias("j"), "row", "vec_id", "v")
+    right = vectors.select("dim", every(nq).alias("i"), deal(nc).alias("j"), "row", "vec_id", "v")
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return nearest_in(q.vec_id.to_numpy(), np.stack(q.v.to_numpy()), c.vec_id.to_numpy(), np.stack(c.v.to_numpy()), k)
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return nearest_in(q, c, k)
 
     found = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInPandas(cell, RESULT)
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps: dict[int, list] = defaultdict(list)
+        """Rows come sorted by query, so one heap is open at a time."""
+        now, heap, rows = None, [], []
+
+        def close() -> None:
+            rows.extend((now[1], rank, -vec, score) for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1))
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
+
         for pdf in parts:
-            for query, vec, score in zip(pdf.query_id.tolist(), pdf.vec_id.tolist(), pdf.score.tolist(), strict=True):
-                (heapq.heappush if len(heaps[query]) < k else heapq.heappushpop)(heaps[query], (score, -vec))
-        rows = [(query, rank, -vec, score) for query, heap in heaps.items() for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1)]
-        for s in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[s : s + 50_000], columns=["query_id", "rank", "vec_id", "score"])
+            for query, query_id, vec, score in zip(pdf["query"].tolist(), pdf.query_id.tolist(), pdf.vec_id.tolist(), pdf.score.tolist(), strict=True):
+                if (query, query_id) != now:
+                    close()
+                    now, heap = (query, query_id), []
+                    if len(rows) >= 50_000:
+                        yield made()
+                        rows.clear()
+                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -vec))
+        close()
+        if rows:
+            yield made()
 
-    return found.repartition("query_id").mapInPandas(merge, "query_id bigint, rank int, vec_id bigint, score double")
+    return found.repartition("query").sortWithinPartitions("query").mapInPandas(merge, "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def op8_neighbours(spark, sf_dir: str) -> DataFrame:
@@ -124,10 +141,10 @@ def op8_neighbours(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+  FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 WHERE rank <= 20
 """
