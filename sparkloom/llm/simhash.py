@@ -11,14 +11,13 @@ spanning forest of its links, so that a group of copies never becomes all its pa
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.llm.common import table, unused
 from sparkloom.llm.graph import components
@@ -29,6 +28,8 @@ SHINGLE, DISTANCE = 4, 4
 #: First bit and bits of each block, and the bits of the Hamming code.
 BLOCKS, CODE = ((0, 21), (21, 21), (42, 22)), 15
 PAIRS, CELL = 16_384, 4_096
+#: Fingerprints of a task that makes anchors.
+SPREAD = 50_000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -73,32 +74,33 @@ def _fixes() -> tuple[np.ndarray, list[list[int]]]:
 HOME, NEAR = _fixes()
 
 
+def masks(bits: int) -> list[list[int]]:
+    """For each syndrome, what a block's value is xored with to give the anchors within 2 bits, its home first."""
+    high = [1 << CODE + i for i in range(bits - CODE)]
+    pairs = [a ^ b for k, a in enumerate(high) for b in high[:k]]
+    return [[int(home), *(m for m in near if m != home), *(int(home) ^ h for h in high), *(pairs if not s else [])] for s, (home, near) in enumerate(zip(HOME, NEAR, strict=True))]
+
+
+#: For each bit of a syndrome, the places whose parity it is.
+PARITY = [sum(1 << (i - 1) for i in range(1, CODE + 1) if i >> b & 1) for b in range(4)]
+
+
 def anchors_of(value: int, bits: int) -> list[int]:
     """The anchors within 2 bits of a block's value, its home first."""
-    low, high = value & ((1 << CODE) - 1), value >> CODE
-    syndrome = reduce(lambda a, i: a ^ i, (i for i in range(1, CODE + 1) if low >> (i - 1) & 1), 0)
-    home = low ^ int(HOME[syndrome])
-    rest = bits - CODE
-    out = [high << CODE | home]
-    out += [high << CODE | low ^ m for m in NEAR[syndrome] if low ^ m != home]
-    out += [(high ^ 1 << i) << CODE | home for i in range(rest)]
-    if not syndrome:
-        out += [(high ^ 1 << i ^ 1 << j) << CODE | home for i in range(rest) for j in range(i)]
-    return out
-
-
-@F.arrow_udf(T.ArrayType(T.LongType()))  # a type, not its name: workers import this without a session
-def _anchor_keys(column: pa.Array) -> pa.Array:
-    """Keys of the anchors of all blocks: 2 * (block << 22 | anchor), plus 1 at homes."""
-    out = []
-    for fp in column.to_pylist():
-        keys: list[int] = []
-        for b, (first, bits) in enumerate(BLOCKS):
-            found = [2 * (b << 22 | a) for a in anchors_of(fp >> first & ((1 << bits) - 1), bits)]
-            found[0] += 1
-            keys += found
-        out.append(keys)
-    return pa.array(out, type=pa.list_(pa.int64()))
+    syndrome = sum(((value & m).bit_count() & 1) << b for b, m in enumerate(PARITY))
+    return [value ^ m for m in masks(bits)[syndrome]]
+
+
+def _anchor_keys(fp: Column) -> Column:
+    """Keys of the anchors of all blocks: 2 * (block << 22 | anchor), plus 1 at homes; by built-in functions."""
+
+    def of(block: int, first: int, bits: int) -> Column:
+        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+        syndrome = sum((F.pmod(F.bit_count(value.bitwiseAND(F.lit(m))), F.lit(2)) * (1 << b) for b, m in enumerate(PARITY)), F.lit(0))
+        listed = F.from_json(F.lit(json.dumps(masks(bits))), "array<array<bigint>>")  # folded to a literal
+        return F.transform(F.element_at(listed, syndrome + 1), lambda m, j: (value.bitwiseXOR(m) + (block << 22)) * 2 + F.when(j == 0, 1).otherwise(0))
+
+    return F.concat(*(of(k, first, bits) for k, (first, bits) in enumerate(BLOCKS)))
 
 
 def _forest(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
@@ -130,7 +132,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) that connect what is linked among distinct fingerprints (column fp)."""
     if not 0 <= distance <= 4:
         raise ValueError("three blocks cover distances up to 4")
-    at = distinct.select("fp", F.explode(_anchor_keys("fp")).alias("k")).select("fp", F.shiftright("k", 1).alias("key"), (F.col("k") % 2 == 1).alias("home"))
+    # a fingerprint becomes about 45 rows, so they are spread before
+    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SPREAD))
+    at = distinct.repartition(spread).select("fp", F.explode(_anchor_keys(F.col("fp"))).alias("k")).select("fp", F.shiftright("k", 1).alias("key"), (F.col("k") % 2 == 1).alias("home"))
     sizes = at.groupBy("key").agg(F.count_if("home").alias("h"), F.count("*").alias("p")).where("h > 0 and p > 1")
     hot = sizes.where(F.col("h") * F.col("p") > PAIRS).select("key", F.ceil(F.col("h") / CELL).alias("nh"), F.ceil(F.col("p") / CELL).alias("np"))
     hot = cut(hot)
@@ -148,7 +152,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def component_of(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, root) of every distinct fingerprint in column fp: root is the same for all that are linked, directly or by others."""
-    distinct = prints.select("fp").distinct()
+    distinct = cut(prints.select("fp").distinct())
     found = components(links(distinct, distance))
     return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("root"))
 
