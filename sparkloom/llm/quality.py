@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, table
+from sparkloom.llm.common import crc_mod, table, unused
 from sparkloom.session import cut
 
 WIDTH, FILTERS, CHUNK, OVERLAP = 4, 16, 512, 16
@@ -159,13 +159,20 @@ def _scorer(net: Network):
 
 
 def classify(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the probability of label 1 for the whole text; null texts count as empty and get the score of an empty text."""
+    """Add the probability of label 1 for the whole text; a column ``out`` of df is replaced, and no other name clashes.
+
+    Null texts count as empty and get the score of an empty text. Repeated rows are scored alike and stay apart; equal scores (ties) stay as they are; an empty table gives an empty one.
+    """
     return df.withColumn(out, _scorer(net)(F.col(f"`{text}`").cast("string")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those that score less than ``least``."""
-    (name,) = (("quality_score_",) if "quality_score_" not in docs.columns else ("quality_score__",))
+    """docs without those that score less than ``least``; a score of just ``least`` stays.
+
+    The network learns from the labelled rows of docs. Null texts are judged as empty ones; repeated rows stay or go alike; an empty table gives an empty one; without labels of both
+    kinds all texts get one score. No column name clashes.
+    """
+    (name,) = unused(docs, "quality_score_")
     return classify(docs, train(docs, labels), out=name).where(F.col(name) >= least).drop(name)
 
 
