@@ -116,6 +116,40 @@ def test_pii_bootstrap_grows(spark):
     assert got["plain zed4455667 number"] == [] and got["plain 444 123 4567 number"] == []
 
 
+def test_pii_clashes_and_redaction(spark):
+    names = ["free", "seen", "extra", "spans", "base", "row", "head", "body", "kind", "instance", "pattern", "rank"]
+    texts_ = [None, "", "a@b.co", "to a@b.co, 1.2.3.4 and 4111 1111 1111 1111; +1 (302) 555-0171!", "日本 a@b.co 😀 c@d.org", "no", "x@y.com" * 3]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts_, texts_[3]])], "doc_id int, text string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    found = pii.extract(df)
+    assert [c for c in found.columns if c not in ("base", "spans")] == ["doc_id", "text", *(c for c in names if c not in ("base", "spans"))]
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and all([x[c] for c in names] == list(range(len(names))) for x in clean.collect())
+    spans = {x.doc_id: x.spans for x in found.collect()}
+    for x in df.collect():
+        want, end = "", 0
+        for s_ in spans[x.doc_id]:
+            if s_.start >= end:
+                want += x.text[end : s_.start] + f"<{s_.kind}>"
+            end = max(end, s_.end)
+        got = next(y.text for y in clean.collect() if y.doc_id == x.doc_id)
+        assert got == (None if x.text is None else want + x.text[end:])
+    assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_pii_of_many_matches_and_long_words(spark):
+    """20,000 matches in a text, and a neighbouring word of 100,000 characters: whole, and in time near proportional to the text."""
+    import time
+
+    began, long = time.perf_counter(), "w" * 100_000
+    rows = [(0, "to a@b.co or 1.2.3.4; " * 10_000), (1, f"{long} 192.168.0.1 {long} a@b.co"), (2, "1.2.3.4," * 5_000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.extract(df, keep=["doc_id"]).collect()}
+    assert len(got[0].base) == 20_000 and got[0].base[-1].start == 22 * 9_999 + 13 and len(got[1].base) == 2 and len(got[2].base) == 5_000
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "to <email> or <ip>; " * 10_000 and clean[1] == f"{long} <ip> {long} <email>" and clean[2] == "<ip>," * 5_000
+    assert time.perf_counter() - began < 120
+
+
 # 2 and 6 ----------------------------------------------------------------------------------------------------------
 
 
@@ -166,6 +200,49 @@ def test_token_counts(spark, docs, small):
     assert token_counts.count_tokens(empty(spark), path).count() == 0
 
 
+def encoded_by(own):
+    def encode(part):
+        found = own.encode(part, add_special_tokens=False)
+        return [(a, b, i) for (a, b), i in zip(found.offsets, found.ids, strict=True)]
+
+    return encode
+
+
+def test_boundaries_are_proven():
+    """What stands on either side of a boundary is encoded alike alone and together."""
+    own, r = token_counts.tokenizer(public_tokenizers.path("word_bpe_49k.json"))[0], random.Random(3)
+    parts = ["'s", "'t", "it's", "'", "''", "!", "!'ll", "e\u0301", "\u0301", "7", "42", "é", "日本語", "。", "、", "İ", "Σ", "한국", "\u1112\u1161\u11ab", "x", "abc", " ", "\n", "\u3000", "\x1c", "-", "+/=", "<|endoftext|>", "<|start", "|>", "ß", "١", "ⅷ", "²", "q", "re", "\u09c7\u09be", "\u212b"]
+    count = lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(2, 40)))
+        special = [range(m.start() + 1, m.end()) for m in re.finditer(r"<\|(?:start|end)oftext\|>", text)]
+        for p in token_counts.boundaries(text, 0, len(text)):
+            if not any(p in inside for inside in special):  # margins keep boundaries out of these
+                assert count(text[:p]) + count(text[p:]) == count(text), (text, p)
+
+
+@pytest.mark.parametrize("kind", ["base64", "cjk", "letters", "special", "mixed"])
+def test_long_texts_without_space(kind):
+    """Texts without white space are spliced too, in time in proportion to their length."""
+    import time
+
+    own, r = token_counts.tokenizer(public_tokenizers.path("word_bpe_49k.json"))[0], random.Random(8)
+    made = {
+        "base64": lambda n: base64.b64encode(r.randbytes(n * 3 // 4)).decode(),
+        "cjk": lambda n: "".join(r.choice("的一是不了人我在有他这中大来上国个到说们") if r.random() < 0.93 else r.choice("。，") for _ in range(n)),
+        "letters": lambda n: "".join(r.choice("abcdefgh") for _ in range(n)),
+        "special": lambda n: ("ab12<|endoftext|>cd,34<|startoftext|>" * n)[:n],
+        "mixed": lambda n: "".join(r.choice(["abc", "!", "日本", "12", "'s", "é", "e\u0301", "-"]) for _ in range(n // 2)),
+    }[kind]
+    small_ = made(60_000)
+    for chunk, overlap in ((32_768, 256), (700, 40)):
+        assert token_counts.count_long(small_, encoded_by(own), chunk, overlap, 17) == len(own.encode(small_, add_special_tokens=False).ids)
+    if kind in ("base64", "cjk"):
+        big, began = made(1_000_000), time.perf_counter()
+        assert token_counts.count_long(big, encoded_by(own), margin=17) == sum(len(own.encode(x, add_special_tokens=False).ids) for x in re.findall(r"[0-9。，]|[^0-9。，]+", big)) or kind == "base64"
+        assert time.perf_counter() - began < 60
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -192,7 +269,7 @@ def test_license_suppression(spark):
 
 def written(expression, optional):
     """A text that an expression of the rules matches: first alternatives, with or without the optional parts."""
-    left = re.sub(r"\[(.)[^]]*\][+*]?", lambda m: "7" if m[1] == "0" else m[1], expression)
+    left = re.sub(r"\[(.)[^]]*\](?:[+*]|\{([0-9]+)[0-9,]*\})?", lambda m: ("7" if m[1] == "0" else m[1]) * max(1, int(m[2] or 1)), expression)
     left = re.sub(r"([a-z ])\?", lambda m: m[1] if optional else "", left)
     while m := re.search(r"\(\?:([^()]*)\)(\??)", left):
         left = left[: m.start()] + ("" if m[2] and not optional else m[1].split("|")[0]) + left[m.end() :]
@@ -211,6 +288,29 @@ def test_license_rules_fire_alone(spark):
     texts_ = {"SPDX-License-Identifier: EPL-2.0": "epl", "https://opensource.org/licenses/CDDL-1.0": "cddl", "scripts.sil.org/OFL": "ofl", "mariadb.com/bsl": "busl", "All advertising materials mentioning features or use of this software": "bsd-4-clause"}
     got = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts_], "text string")).collect()
     assert {r.text: r.labels for r in got} == {t: [label] for t, label in texts_.items()}
+    texts_ = {"Attribution-NonCommercial 4.0 International": "cc-by-nc", "Unauthorized copying of this file, via any medium, is strictly prohibited": "proprietary", "* Redistributions of source code must retain": "bsd", "You should have received a copy of the GNU General Public License along with this program": "gpl"}
+    got = {r.text: r.labels for r in licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts_], "text string")).collect()}
+    assert all(label in got[t] for t, label in texts_.items())
+
+
+def test_license_text_of_many_detections(spark):
+    """20,000 detections in a text: places and suppression take time near proportional to their number."""
+    import time
+
+    text, began = "mit license, see GPL; " * 20_000, time.perf_counter()
+    (r,) = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).collect()
+    assert len(r.places) == 20_000 and r.places[-1].word == 4 * 19_999 and {"mit", "gpl"} <= set(r.labels)
+    starts = [d.start for d in r.detections]
+    assert starts == sorted(starts) and len(starts) >= 20_000 and time.perf_counter() - began < 60
+
+
+def test_running_values(spark):
+    from sparkloom.llm import common
+
+    r = random.Random(1)
+    rows = [(k, [r.randint(0, 9) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 127, 128, 129, 256, 257, 5000))]
+    for x in spark.createDataFrame(rows, "k int, v array<int>").select("v", common.running_totals(F.col("v")).alias("t"), common.running_greatest(F.col("v")).alias("g")).collect():
+        assert x.t == [sum(x.v[:i]) for i in range(len(x.v))] and x.g == [max(x.v[:i], default=-1) for i in range(len(x.v))]
 
 
 # 4 ----------------------------------------------------------------------------------------------------------------
@@ -229,7 +329,7 @@ def brute_hits(text, items, n=10):
     return len(words), hit, sorted(ids)
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("limit", [4_000_000, 3])
 def test_decontamination(spark, limit):
     r = random.Random(2)
     draw = lambda n: " ".join(r.choice("abcd") for _ in range(n))
@@ -237,18 +337,38 @@ def test_decontamination(spark, limit):
     long = items[0][1]
     rows = [(i, t) for i, t in enumerate([None, "", "x", "a short item here", long + " tail " + long, draw(4000), "pre; " + items[4][1].upper() + "!", long[:17]])] + [(4, "a short item here"), (None, "short item")]
     docs_, bench = spark.createDataFrame(rows, "doc_id int, text string").repartition(2), spark.createDataFrame(items, "item_id int, text string")
-    got = decontaminate.scan(docs_.withColumn("whole", F.col("text")), bench, set_windows=limit).collect()
+    got = decontaminate.scan(docs_.withColumn("whole", F.col("text")), bench, set_gates=limit).collect()
     assert len(got) == len(rows)
     for row in got:
         n, hit, ids = brute_hits(row.whole, items)
         assert (row.n_words, row.n_hit, row["items"]) == (n, len(hit), ids), row
         assert {w for s in row.hits for w in range(s.start, s.end)} == hit
-    kept = Counter((x.doc_id, x.text) for x in decontaminate.remove_documents(docs_, bench, set_windows=limit).collect())
+    kept = Counter((x.doc_id, x.text) for x in decontaminate.remove_documents(docs_, bench, set_gates=limit).collect())
     assert kept == Counter((i, t) for i, t in rows if not brute_hits(t, items)[1])
-    cleaned = {x.doc_id: x.text for x in decontaminate.remove_spans(docs_, bench, set_windows=limit).where("doc_id in (0, 2, 3, 6)").collect()}
+    cleaned = {x.doc_id: x.text for x in decontaminate.remove_spans(docs_, bench, set_gates=limit).where("doc_id in (0, 2, 3, 6)").collect()}
     assert cleaned == {0: None, 2: "x", 3: "a here", 6: "pre!"}
     assert decontaminate.scan(docs_.limit(0), bench).count() == 0
     assert decontaminate.scan(docs_, bench.limit(0)).where("n_hit = 0").count() == len(rows)
+    assert decontaminate.remove_documents(docs_.limit(0), bench, set_gates=limit).count() == 0 and decontaminate.remove_documents(docs_, bench.limit(0), set_gates=limit).count() == len(rows)
+    names = ["ids", "words", "hash", "gate", "head", "w", "p", "row", "k1", "key_", "hits_", "spans", "len", "at"]
+    clash = docs_.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)], F.lit("z").alias("HITS"))
+    found = decontaminate.scan(clash, bench, set_gates=limit)
+    assert found.columns == ["doc_id", *names, "n_words", "n_hit", "hits", "items"] and all(x["gate"] == 3 for x in found.collect()) and found.count() == len(rows)
+    kept = decontaminate.remove_documents(clash, bench, set_gates=limit)
+    assert kept.columns == clash.columns and Counter((x.doc_id, x.text) for x in kept.collect()) == Counter((i, t) for i, t in rows if not brute_hits(t, items)[1])
+    assert decontaminate.remove_spans(clash, bench, set_gates=limit).columns == clash.columns
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 70_000])
+def test_decontamination_by_a_large_benchmark(spark, limit):
+    """200,000 windows, as one set and in shards: the same plan as for a small one."""
+    r = random.Random(12)
+    item = lambda: " ".join(str(r.randrange(10**6)) for _ in range(1009))
+    items = [(k, item()) for k in range(200)]
+    cuts = {k: (r.randrange(990), r.randrange(200)) for k in range(300)}
+    rows = [(k, f"{item()[:2000]} " + (" ".join(items[i][1].split()[a : a + 12 if k % 3 else a + 9]) if k % 2 else "") + " tail") for k, (a, i) in cuts.items()]
+    got = {x.doc_id: (x.n_hit, x["items"]) for x in decontaminate.scan(spark.createDataFrame(rows, "doc_id int, text string").repartition(4), spark.createDataFrame(items, "item_id int, text string"), set_gates=limit).collect()}
+    assert got == {k: (12, [str(i)]) if k % 2 and k % 3 else (0, []) for k, (_, i) in cuts.items()}
 
 
 # 5 ----------------------------------------------------------------------------------------------------------------
@@ -269,6 +389,17 @@ def test_quality(spark):
     assert 0 < quality.score(quality.fit([], []), "x") < 1
 
 
+def test_keep_good(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    clash = docs.withColumns({"QUALITY_SCORE_": F.lit(1), "quality": F.lit("q"), "hash": F.lit("h")})
+    kept = quality.keep_good(clash, labels)
+    net = quality.train(clash, labels)
+    assert kept.columns == clash.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter((x.doc_id, x.text) for x in clash.collect() if quality.score(net, x.text) >= 0.5)
+    assert quality.keep_good(clash.limit(0), labels).count() == 0
+    assert quality.keep_good(docs, labels.limit(0)).columns == docs.columns
+
+
 def test_quality_sample(spark):
     docs_ = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'z' AS hash", "0 AS quality")
     again = docs_.where("doc_id = 5").selectExpr("doc_id", "'a' AS text", "hash", "quality", "explode(sequence(1, 500))").drop("col")
@@ -383,7 +514,7 @@ def test_simhash_of_hot_copies(spark):
 def test_anchors_cover():
     r = random.Random(6)
     for bits in (21, 22):
-        for _ in range(400):
+        for _ in range(3000):
             x = r.getrandbits(bits)
             for y in [x, *(x ^ 1 << b for b in range(bits))]:
                 assert simhash.anchors_of(x, bits)[0] in simhash.anchors_of(y, bits)
@@ -408,21 +539,26 @@ def test_neighbours(spark):
     r = np.random.default_rng(3)
     v = {i: r.normal(size=16).round(2).tolist() for i in range(400)}
     v |= {i: v[3] for i in range(400, 440)} | {440: None, 441: [0.0] * 16, 442: [float("nan")] * 16, 443: [None] + [1.0] * 15, 460: [1e-3] * 16, 480: [float("inf")] * 16, 500: [1.0, 2.0]}
-    df = spark.createDataFrame([*v.items(), (None, v[1]), (7, v[7])], "vec_id bigint, embedding array<float>")
-    good = neighbours.usable(df)
+    again = [(1, [9.0] * 16), (1, [8.0] * 16), (20, [7.0] * 16), (7, v[7])]  # ids that repeat, with other vectors and with the same
+    given = [*v.items(), *again]
+    good = neighbours.usable(spark.createDataFrame([*given, (None, v[1])], "vec_id bigint, embedding array<float>"))
     got = defaultdict(list)
-    for x in neighbours.nearest(good, good.where("vec_id % 20 = 0"), query_block=7, candidate_block=50).orderBy("query_id", "rank").collect():
+    for x in neighbours.nearest(good, good.where("vec_id % 20 = 0"), query_block=7, candidate_block=50).collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
-    ok = {i: np.float32(x).astype(float) for i, x in v.items() if x and None not in x and np.isfinite(x).all() and any(x)}
-    for q in [i for i in ok if i % 20 == 0]:
-        scores = []
-        for i, x in ok.items():
-            if i != q and len(x) == len(ok[q]):
-                s = 0.0
-                for a, b in zip(ok[q].tolist(), x.tolist(), strict=True):
-                    s += a * b
-                scores.append((-s, i))
-        assert got.get(q, []) == [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:20])]
+    ok = [(i, np.float32(x).astype(float)) for i, x in given if x and None not in x and np.isfinite(x).all() and any(x)]
+    want = defaultdict(list)
+    for n, (q, y) in enumerate(ok):
+        if q % 20 == 0:
+            scores = []
+            for m, (i, x) in enumerate(ok):
+                if n != m and len(x) == len(y):
+                    s = 0.0
+                    for a, b in zip(y.tolist(), x.tolist(), strict=True):
+                        s += a * b
+                    scores.append((-s, i))
+            want[q] += [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:20])]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items() if x}
+    assert len(got[20]) == 40
     assert neighbours.nearest(good.limit(0), good.limit(0)).count() == 0
 
 
