@@ -168,7 +168,9 @@ NOTICES = (
     ("all-rights-reserved", "copyright(?: c)? [0-9]{4} [a-z0-9 ]{1,60} all rights reserved", 0.8),
     ("all-rights-reserved", "may be reproduced (?:stored in a retrieval system )?(?:or )?(?:distributed or )?transmitted in any form or by any means", 0.8),
     ("proprietary", "unauthori[sz]ed copying of this file via any medium is strictly prohibited", 1.0),
-    ("proprietary", "contains (?:confidential and proprietary|proprietary and confidential|trade secret)", 0.8),
+    ("proprietary", "contains confidential and proprietary", 0.8),
+    ("proprietary", "contains proprietary and confidential", 0.8),
+    ("proprietary", "contains trade secrets?", 0.8),
     ("proprietary", "for internal use only", 0.5),
     ("proprietary", "you may not reverse engineer decompile or disassemble", 0.7),
 )
@@ -195,11 +197,19 @@ def _shared(parts: list[str]) -> str:
 
 
 def literals(expression: str) -> list[str]:
-    """Texts that stand in every match of an expression and the spaces around it."""
+    """Texts that stand in every match of an expression and the spaces around it. A part that may be left out brings the space beside it along, so words next to it keep theirs."""
     left = re.sub(r"[a-z0-9]\?|\x20\?", "\0", re.sub(r"\[[^]]*\](?:[+*?]|\{[0-9,]*\})?", "\0", f" {expression} "))
     while found := re.search(r"\(\?:([^()]*)\)(\??)", left):
-        body = found[1].split("|")
-        left = left[: found.start()] + ("\0" if found[2] else body[0] if len(body) == 1 else f"\0{_shared(body)}\0") + left[found.end() :]
+        body, before, after = found[1].split("|"), left[: found.start()], left[found.end() :]
+        if not found[2]:
+            made = body[0] if len(body) == 1 else f"\0{_shared(body)}\0"
+        elif before.endswith(" ") and all(x.endswith(" ") for x in body):
+            made = "\0 "
+        elif after.startswith(" ") and all(x.startswith(" ") for x in body):
+            made = " \0"
+        else:
+            made = "\0"
+        left = before + made + after
     return [x for x in left.split("\0") if x.strip()]
 
 
@@ -212,7 +222,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
                 if part == NAME and len(body) < 8 and priority == 50 and family[0] in ("mit", "isc"):
                     continue  # a bare word is no signature
                 expression = form.format(f"(?:{body})").replace("V", VERSION)
-                own = [x.strip() for x in literals(body.replace("V", VERSION))]  # the words around a name are many families'
+                own = [x.strip() for x in literals(body.replace("V", VERSION)) if len(x.strip()) > 1]  # the words around a name are many families'
                 listed = [x for x in literals(expression) if any(o in x for o in own)]
                 keyword = max(listed, key=lambda x: (not any(x.strip().startswith(c) and len(x.strip()) <= len(c) + 1 for c in COMMON), len(x)))
                 out.append((keyword, f"(?<= ){expression}(?= )", family[0], priority * 1000 - k, confidence))
@@ -223,13 +233,14 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 def _general() -> str:
-    """An expression that every match of every rule holds: a text without it goes no further."""
-    least = ["licen", "gpl", "public domain", "creative"]
+    """An expression that every match of every rule holds: a text without it goes no further. Most of it is tried at the beginnings of words only."""
+    anywhere, starts = ["licen", "gpl", "public domain", "creative"], []
     for keyword, expression, *_ in sorted(rules(), key=lambda r: len(r[0])):
         held = [keyword, *literals(expression[6:-5])]
-        if not any(g in x for g in least for x in held):
-            least.append(keyword)
-    return "|".join(least)
+        if not any(g in x for g in anywhere for x in held) and not any(f" {g}" in x for g in starts for x in held):
+            longest = max(held, key=lambda x: (x.strip() != "under", len(x)))
+            (starts if longest.startswith(" ") else anywhere).append(longest.strip())
+    return f"{'|'.join(anywhere)}|(?<= )(?:{'|'.join(sorted(starts))})"
 
 
 def _places(norm: Column, phrase: str) -> Column:
