@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, decontaminate, pii, quality, simhash
 from sparkloom.llm.common import table
-from sparkloom.session import cut_table
+from sparkloom.session import cut_table, drop_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written and read again."""
+    """All stages over documents; each one's result is written and read again, and removed once the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut_table(docs)
+            drop_table(before)  # does nothing to the input
     return docs
