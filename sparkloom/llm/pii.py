@@ -111,9 +111,9 @@ def _patterns(x: Column) -> Column:
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def _found(rows: DataFrame) -> DataFrame:
-    """(head, body, base, spans) of rows (head, body), a row for each; body is a text without nulls."""
-    body = F.col("body")
+def _found(rows: DataFrame, whole: bool) -> DataFrame:
+    """(head, base, spans) of rows (head, body), a row for each, with whole also body; body is a text without nulls."""
+    body, kept = F.col("body"), ["head", "body"] if whole else ["head"]
     rows = rows.withColumn("base", base_spans(body))
     tokens = F.filter(_matches(body, TOKEN), lambda m: (F.length(_digits(m["value"])) >= 5) | F.contains(m["value"], F.lit("@")))
     joined = F.filter(_matches(body, GROUP), lambda m: (F.length(_digits(m["value"])) >= 5) & m["value"].rlike(r"[\x20()]"))
@@ -123,7 +123,7 @@ def _found(rows: DataFrame) -> DataFrame:
     other = F.transform("free", lambda m: F.struct(F.lower(m["value"]).alias("instance"), F.lit(None).cast("string").alias("kind"), _patterns(m).alias("patterns")))
     plain = F.transform("base", lambda b: F.struct(*[b[c].alias(c) for c in ("start", "rank", "end", "kind", "value")]))
     open_ = F.transform("free", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    found = cut(rows.select(F.monotonically_increasing_id().alias("row"), "head", "body", plain.alias("base"), F.concat(seed, other).alias("seen"), open_.alias("free")))
+    found = cut(rows.select(F.monotonically_increasing_id().alias("row"), *kept, plain.alias("base"), F.concat(seed, other).alias("seen"), open_.alias("free")))
 
     edges = found.select(F.explode("seen").alias("s")).select(F.col("s.instance").alias("instance"), F.col("s.kind").alias("kind"), F.explode("s.patterns").alias("pattern"))
     edges = cut(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))  # a value that is a seed somewhere is one
@@ -131,8 +131,8 @@ def _found(rows: DataFrame) -> DataFrame:
     free = found.where("size(free) > 0").select("row", F.explode("free").alias("f")).withColumn("instance", F.lower("f.value"))
     extra = lookup(free, accepted, "instance").groupBy("row").agg(F.collect_list(F.struct(F.col("f.start").alias("start"), F.col("rank"), F.col("f.end").alias("end"), F.col("kind"), F.col("f.value").alias("value"))).alias("extra"))
     longest = F.filter("extra", lambda m: ~F.exists("extra", lambda x: (x["start"] < m["end"]) & (x["end"] > m["start"]) & (x["end"] - x["start"] > m["end"] - m["start"])))
-    out = found.select("row", "head", "body", "base").join(extra.select("row", longest.alias("extra")), "row", "left")
-    return out.select("head", "body", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPANS)))).alias("spans"))
+    out = found.select("row", *kept, "base").join(extra.select("row", longest.alias("extra")), "row", "left")
+    return out.select(*kept, "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPANS)))).alias("spans"))
 
 
 def extract(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -145,7 +145,7 @@ def extract(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     """
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("base", "spans")]
     head = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.lit(0).alias("none"))
-    found = _found(df.select(head.alias("head"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")))
+    found = _found(df.select(head.alias("head"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")), False)
     return found.select(*[F.col(f"head.c{i}").alias(c) for i, c in enumerate(names)], "base", "spans")
 
 
@@ -205,7 +205,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """
     others = [c for c in df.columns if c != text]
     head = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text}`").isNull().alias("none"))
-    found = _found(df.select(head.alias("head"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")))
+    found = _found(df.select(head.alias("head"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")), True)
     clean = F.when(~F.col("head.none"), _redacted(F.col("body"), F.col("spans")))
     return found.select(*[clean.alias(c) if c == text else F.col(f"head.c{others.index(c)}").alias(c) for c in df.columns])
 
