@@ -44,3 +44,23 @@ def elite_years(elite: Column) -> Column:
 def strip_zeros(quoted: Column) -> Column:
     """An id without its quotes and leading zeros."""
     return F.regexp_replace(F.regexp_replace(quoted, '"', ""), "^0+", "")
+
+
+def last_elite_year(elite: Column) -> Column:
+    """The last year in '2012, 2013'; null for none."""
+    return F.when(~(elite.isNull() | elite.isin("", "None")), F.right(elite, F.lit(4)).cast("int"))
+
+
+def total_of(*names: str) -> Column:
+    """Sum of columns, nulls as zeros."""
+    return sum((F.coalesce(F.col(n), F.lit(0)) for n in names[1:]), F.coalesce(F.col(names[0]), F.lit(0)))
+
+
+def safe_divide(a: Column, b: Column) -> Column:
+    """a / b, or 0 where b is 0."""
+    return F.when(b == 0, 0.0).otherwise(a / b)
+
+
+def map_total(values: Column) -> Column:
+    """Sum of a map's values."""
+    return F.aggregate(F.map_values(values), F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -64,3 +64,19 @@ def son_candidates(parted: DataFrame, support: int, k: int = 2) -> DataFrame:
         if level < k:
             held = held.join(local.select("part", *names), ["part", *names], "left_semi").select("part", "basket", *names)
     return reduce(DataFrame.union, out)
+
+
+def count_candidates(baskets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(k, items, n): in how many baskets each candidate lies whole. candidates: (k, items), members joined by commas, with no repeats.
+
+    A candidate meets a basket at each of its members that the basket holds, and lies in it where there are k of them: one equi-join, no pass over all pairs.
+    """
+    members = candidates.select("k", "items", F.explode(F.split("items", ",")).alias("item"))
+    met = baskets.select("basket", F.col("item").cast("string").alias("item")).join(members, "item").groupBy("k", "items", "basket").agg(F.count("*").alias("held"))
+    return met.where("held = k").groupBy("k", "items").agg(F.count("*").alias("n"))
+
+
+def son(parted: DataFrame, support: int, k: int = 3) -> DataFrame:
+    """(k, items, n) of all sets of up to k items in at least ``support`` baskets: candidates of the parts, then their counts over all baskets."""
+    found = count_candidates(parted.select("basket", "item").distinct(), son_candidates(parted, support, k))
+    return found.where(F.col("n") >= support)

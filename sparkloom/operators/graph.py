@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.session import cut
 
-#: Most edges that go to every worker, or to one group, at a time.
-BROADCAST_EDGES, GROUP_EDGES = 1_000_000, 5_000
+#: Most edges of a graph whose communities are split in one task.
+GROUP_EDGES = 5_000
 #: A key is hot with over LEAST_HOT rows and over one in HOT_SHARE of all; so fewer than HOT_SHARE keys are.
 LEAST_HOT, HOT_SHARE = 64, 1_024
 
@@ -19,9 +20,9 @@ LEAST_HOT, HOT_SHARE = 64, 1_024
 def cooccurrence_edges(pairs: DataFrame, least: int) -> DataFrame:
     """(src, dst, common) of users with at least ``least`` items in common. pairs: distinct (user, item). Users with too few items go first."""
     enough = pairs.groupBy("user").count().where(F.col("count") >= least).select("user")
-    rows = pairs.join(enough, "user", "left_semi")
+    rows = cut(pairs.join(enough, "user", "left_semi"))
     a, b = rows.select(F.col("user").alias("src"), "item"), rows.select(F.col("user").alias("dst"), "item")
-    return a.join(b, "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    return spread_join(a, b, "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("common")).where(F.col("common") >= least)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -47,6 +48,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: list | None = None)
     return warm.unionByName(left.where(~F.col(key).isin(hot)).join(right, key))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list | None = None, parts: int = 32) -> DataFrame:
+    """left.join(right, key), where both sides may have a key often. A hot key's rows of left are dealt over ``parts`` tasks, and each of these has all of right's.
+
+    Such a key's pairs are then made in many tasks. Other keys are joined as ever. left should be cut, as it is read to find the hot ones.
+    """
+    hot = hot_values(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    dealt = left.where(is_hot).withColumn("cell_", F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int"))
+    copied = right.where(is_hot).withColumn("cell_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.where(~is_hot).join(right.where(~is_hot), key).unionByName(dealt.join(copied, [key, "cell_"]).drop("cell_"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable, for each node that has an edge.
 
@@ -70,9 +85,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label) after synchronous rounds; a node takes its neighbours' most frequent label, the least of equals."""
     both = cut(both_ways(edges))
+    hot = hot_values(both, "dst")
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
-        votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
+        votes = lookup(both, labels.withColumnRenamed("node", "dst"), "dst", hot).groupBy("src", "label").agg(F.count("*").alias("n"))
         labels = cut(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
     return labels
 
@@ -122,24 +138,46 @@ def _adjacency(pairs) -> dict:
     return near
 
 
-def edge_betweenness(edges: DataFrame, credit: str = "paths") -> DataFrame:
-    """(src, dst, betweenness). Roots are spread over tasks; the edges go to every worker, which is checked to be few enough."""
-    if edges.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
-        raise ValueError(f"more than {BROADCAST_EDGES} edges: exact betweenness takes nodes times edges, so take components or a sample of them first")
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast([(r.src, r.dst) for r in edges.select("src", "dst").collect()])
-
-    def run(parts):
-        near, sums = _adjacency(shared.value), defaultdict(float)
-        for pdf in parts:
-            for root in pdf.node.tolist():
-                for edge, x in root_credits(near, root, credit).items():
-                    sums[edge] += x
-        yield pd.DataFrame([(a, b, x) for (a, b), x in sums.items()], columns=["src", "dst", "x"])
-
-    roots = both_ways(edges).select(F.col("src").alias("node")).distinct().repartition("node")
-    return roots.mapInPandas(run, f"src {kind}, dst {kind}, x double").groupBy("src", "dst").agg((F.sum("x") / 2).alias("betweenness"))
+def edge_betweenness(edges: DataFrame, credit: str = "paths", roots_at_once: int | None = None) -> DataFrame:
+    """(src, dst, betweenness), by joins of frontiers alone: no node's, root's or edge's rows meet on the driver or in one task.
+
+    From every root at once, a level's nodes are the neighbours of the last one's that are in neither of the two levels before; sigma is the number of shortest paths from the root (or, with
+    credit 'indegree', of parents). Backwards, a node passes 1 and what it got on to its parents by their shares. That is nodes times edges rows in all; with
+    ``roots_at_once``, so many roots are taken at a time, which bounds what is held between levels.
+    """
+    both = cut(both_ways(edges.where("src <> dst").select("src", "dst").distinct()))
+    roots = cut(both.select(F.col("src").alias("root")).distinct())
+    turns = 1 if roots_at_once is None else max(1, -(-roots.count() // roots_at_once))
+    parts = [_credits(both, roots if turns == 1 else roots.where(F.pmod(F.xxhash64("root"), F.lit(turns)) == k), credit) for k in range(turns)]
+    return reduce(DataFrame.union, parts).groupBy("src", "dst").agg((F.sum("x") / 2).alias("betweenness"))
+
+
+def _credits(both: DataFrame, roots: DataFrame, credit: str) -> DataFrame:
+    """(src, dst, x): what the shortest paths from the given roots give each edge."""
+    near = both.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    levels = [cut(roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("sigma")))]
+    while True:
+        seen = reduce(DataFrame.union, [x.select("root", F.col("node").alias("next")) for x in levels[-2:]])
+        on = levels[-1].join(near, "node").join(seen, ["root", "next"], "left_anti")
+        level = cut(on.groupBy("root", F.col("next").alias("node")).agg((F.sum("sigma") if credit == "paths" else F.count("*").cast("double")).alias("sigma")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    out, flow = [], None
+    for k in range(len(levels) - 1, 0, -1):
+        here = levels[k].withColumn("flow", F.lit(1.0)) if flow is None else levels[k].join(flow, ["root", "node"], "left").withColumn("flow", 1 + F.coalesce("flow", F.lit(0.0)))
+        parents = levels[k - 1].select("root", F.col("node").alias("parent"), F.col("sigma").alias("above"))
+        steps = here.join(near.withColumnRenamed("next", "parent"), "node").join(parents, ["root", "parent"])
+        share = F.col("above") / F.col("sigma") if credit == "paths" else 1 / F.col("sigma")
+        if credit != "paths":  # shares by the parents' own numbers of parents
+            total = steps.groupBy("root", "node").agg(F.sum("above").alias("all"))
+            steps, share = steps.join(total, ["root", "node"]), F.col("above") / F.col("all")
+        steps = cut(steps.select("root", "node", "parent", (F.col("flow") * share).alias("x")))
+        out.append(steps.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"), "x").groupBy("src", "dst").agg(F.sum("x").alias("x")))
+        flow = steps.groupBy("root", F.col("parent").alias("node")).agg(F.sum("x").alias("flow"))
+    if not out:
+        return both.select("src", "dst", F.lit(0.0).alias("x")).limit(0)
+    return reduce(DataFrame.union, out)
 
 
 def split_graph(pairs: list[tuple], patience: int = 20, credit: str = "paths", current: bool = False) -> list[list]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import tiered_mean
+from sparkloom.operators.graph import spread_join
+from sparkloom.session import cut
 
 
 def rounded_mean(x: str) -> F.Column:
@@ -23,11 +25,14 @@ def item_means(r: DataFrame) -> DataFrame:
     return r.groupBy("i").agg(rounded_mean("x").alias("mu"), F.count("*").alias("n"), tiered_mean("x").alias("base"))
 
 
-def item_similarity(r: DataFrame, means: DataFrame) -> DataFrame:
-    """(i, j, w), both ways round, w > 0: correlation of the deviations from each item's own mean over common raters."""
-    d = r.join(means.select("i", "mu"), "i").select("u", "i", (F.col("x") - F.col("mu")).alias("d"))
+def item_similarity(r: DataFrame, means: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(i, j, w), both ways round, w > 0: correlation of the deviations from each item's own mean over common raters. targets: distinct i, to which the first item is held."""
+    d = cut(r.join(means.select("i", "mu"), "i").select("u", "i", (F.col("x") - F.col("mu")).alias("d")))
     a, b = d.select("u", "i", F.col("d").alias("di")), d.select("u", F.col("i").alias("j"), F.col("d").alias("dj"))
-    sums = a.join(b, "u").where("i < j").groupBy("i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
+    if targets is not None:
+        sums = spread_join(cut(a.join(targets, "i", "left_semi")), b, "u").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
+        return sums.where("a > 0 AND b > 0 AND p > 0").select("i", "j", (F.col("p") / F.sqrt(F.col("a") * F.col("b"))).alias("w"))
+    sums = spread_join(a, b, "u").where("i < j").groupBy("i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
     half = sums.where("a > 0 AND b > 0 AND p > 0").select("i", "j", (F.col("p") / F.sqrt(F.col("a") * F.col("b"))).alias("w"))
     return half.union(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
@@ -38,9 +43,9 @@ def item_cf(r: DataFrame, tests: DataFrame, discount: bool = True, least_neighbo
     Neighbours are the user's other rated items of positive similarity. With ``discount``, a neighbour counts less by the logarithm of its raters.
     fallback: the item's tiered mean; without one the user's mean; without both ``cold``.
     """
-    means = item_means(r)
+    means = cut(item_means(r))
     users = r.groupBy("u").agg(rounded_mean("x").alias("user_mean"))
-    sims = item_similarity(r, means).join(means.select(F.col("i").alias("j"), "n"), "j")
+    sims = item_similarity(r, means, tests.select("i").distinct()).join(means.select(F.col("i").alias("j"), "n"), "j")
     weight = F.col("w") / (1 + F.log(F.col("n"))) if discount else F.col("w")
     near = tests.join(r.select("u", F.col("i").alias("j"), "x"), "u").where("i <> j").join(sims, ["i", "j"])
     told = near.groupBy("u", "i").agg(F.count("*").alias("neighbours"), F.count_if(F.col("w") >= 0.3).alias("strong"), F.count_if(F.col("w") >= 0.5).alias("strongest"), (F.sum(F.col("x") * weight) / F.sum(weight)).alias("res"))
@@ -63,13 +68,13 @@ def hybrid(cf: DataFrame, model: DataFrame, share: float = 0.2) -> DataFrame:
     return model.join(cf.select("u", "i", "cf"), ["u", "i"], "left").select("u", "i", F.when(F.col("cf").isNull(), F.col("m")).otherwise(share * F.col("cf") + (1 - share) * F.col("m")).alias("prediction"))
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 1) -> DataFrame:
-    """test with a column m, by gradient boosted trees."""
+def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 500, depth: int = 5, rate: float = 0.1, seed: int = 1) -> DataFrame:
+    """test with a column m, by gradient boosted trees. The trees come one after another, and each takes a few passes over train, which is cut first."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     pack = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="keep")
-    model = GBTRegressor(featuresCol="features_", labelCol=target, predictionCol="m", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(pack.transform(train))
+    model = GBTRegressor(featuresCol="features_", labelCol=target, predictionCol="m", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxMemoryInMB=512, cacheNodeIds=True).fit(cut(pack.transform(train).select(target, "features_")))
     return model.transform(pack.transform(test)).drop("features_")
 
 

@@ -6,25 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import linear_hash
+from sparkloom.operators.graph import hot_values, lookup, spread_join
+from sparkloom.session import cut
 
 PRIME = 2_147_483_647
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    sizes = sets.groupBy("id").agg(F.count("*").alias("n"))
-    a, b = sizes.select(F.col("id").alias("id1"), F.col("n").alias("n1")), sizes.select(F.col("id").alias("id2"), F.col("n").alias("n2"))
-    j = F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))
-    return pairs.join(a, "id1").join(b, "id2").withColumn("similarity", j).where(F.col("similarity") >= least).select("id1", "id2", "similarity")
+def as_arrays(sets: DataFrame) -> DataFrame:
+    """(id, items): each set as an array, rarest items first. sets: distinct (id, item)."""
+    often = sets.groupBy("item").agg(F.count("*").alias("often"))
+    ranked = lookup(sets, often, "item")
+    return ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "item"))), lambda x: x["item"]).alias("items"))
+
+
+def _jaccard(a: str, b: str) -> F.Column:
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
 
 
 def jaccard_join(sets: DataFrame, least: float = 0.5) -> DataFrame:
-    """(id1, id2, similarity) with id1 < id2. sets: distinct (id, item). Sizes ride along, so pairs whose sizes alone rule them out are never counted."""
-    sized = sets.join(sets.groupBy("id").agg(F.count("*").alias("n")), "id")
-    a, b = (sized.select(F.col("id").alias(f"id{k}"), F.col("item").alias(f"item{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
-    near = (F.col("n1") >= least * F.col("n2")) & (F.col("n2") >= least * F.col("n1"))
-    pairs = a.join(b, (F.col("item1") == F.col("item2")) & (F.col("id1") < F.col("id2")) & near).groupBy("id1", "id2").agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    j = F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))
-    return pairs.withColumn("similarity", j).where(F.col("similarity") >= least).select("id1", "id2", "similarity")
+    """(id1, id2, similarity) with id1 < id2. sets: distinct (id, item).
+
+    Sets that are similar enough share one of their rarest items: of n items, all but the ceil(least * n) - 1 most frequent. Only these meet in the join, so a popular item
+    does not give the square of its sets; a pair counts at the first item that they share.
+    """
+    own = cut(as_arrays(sets))
+    rare = F.expr(f"slice(items, 1, size(items) - cast(ceil({least} * size(items) - 1e-9) AS int) + 1)")
+    met = own.select("id", "items", F.explode(rare).alias("item"))
+    a, b = (met.select("item", F.col("id").alias(f"id{k}"), F.col("items").alias(f"items{k}")) for k in (1, 2))
+    near = (F.size("items1") >= least * F.size("items2")) & (F.size("items2") >= least * F.size("items1"))
+    first = F.element_at(F.array_intersect("items1", "items2"), 1) == F.col("item")
+    pairs = spread_join(a, b, "item", hot_values(met, "item")).where((F.col("id1") < F.col("id2")) & near & first)
+    return pairs.select("id1", "id2", _jaccard("items1", "items2").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def minhash(sets: DataFrame, hashes: int) -> DataFrame:
@@ -34,15 +47,17 @@ def minhash(sets: DataFrame, hashes: int) -> DataFrame:
 
 
 def lsh_candidates(signatures: DataFrame, rows: int = 2) -> DataFrame:
-    """(id1, id2), id1 < id2, that agree on ``rows`` neighbouring values of their signatures somewhere."""
+    """(id1, id2), id1 < id2, that agree on ``rows`` neighbouring values of their signatures somewhere. Buckets are joined by one number each, and their values compared."""
     bands = signatures.select("id", F.posexplode(F.expr(f"transform(sequence(0, size(sig) div {rows} - 1), b -> slice(sig, b * {rows} + 1, {rows}))")).alias("band", "bucket"))
-    a, b = (bands.select(F.col("id").alias(f"id{k}"), F.col("band").alias(f"band{k}"), F.col("bucket").alias(f"bucket{k}")) for k in (1, 2))
-    return a.join(b, (F.col("band1") == F.col("band2")) & (F.col("bucket1") == F.col("bucket2")) & (F.col("id1") < F.col("id2"))).select("id1", "id2").distinct()
+    bands = cut(bands.select("id", F.xxhash64("band", "bucket").alias("key"), "band", "bucket"))
+    a, b = (bands.select("key", F.col("id").alias(f"id{k}"), F.col("band").alias(f"band{k}"), F.col("bucket").alias(f"bucket{k}")) for k in (1, 2))
+    same = (F.col("band1") == F.col("band2")) & (F.col("bucket1") == F.col("bucket2"))
+    return spread_join(a, b, "key", hot_values(bands, "key")).where((F.col("id1") < F.col("id2")) & same).select("id1", "id2").distinct()
 
 
 def lsh_jaccard(sets: DataFrame, hashes: int = 100, rows: int = 2, least: float = 0.5) -> DataFrame:
-    """Candidates by bands, verified by exact Jaccard."""
+    """Candidates by bands, verified by exact Jaccard of the sets as arrays."""
     found = lsh_candidates(minhash(sets, hashes), rows)
-    a, b = sets.select(F.col("id").alias("id1"), "item"), sets.select(F.col("id").alias("id2"), "item")
-    common = found.join(a, "id1").join(b, ["id2", "item"]).groupBy("id1", "id2").agg(F.count("*").alias("c"))
-    return _verify(common, sets, least)
+    own = cut(sets.groupBy("id").agg(F.collect_list("item").alias("items")))
+    a, b = (own.select(F.col("id").alias(f"id{k}"), F.col("items").alias(f"items{k}")) for k in (1, 2))
+    return found.join(a, "id1").join(b, "id2").select("id1", "id2", _jaccard("items1", "items2").alias("similarity")).where(F.col("similarity") >= least)

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import linear_hash, trailing_zeros
+from sparkloom.session import cut
+
+
+def bloom_hits(first: DataFrame, bits: int, hashes: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, fp), (bit, set_at)) of ids at their first places, (id, seq): whether each of an id's bits was set before, and the bits that are set now. known: bits (bit, set_at) of earlier places."""
+    keyed = first.select("id", "seq", F.explode(F.array_distinct(F.array(*[linear_hash(F.col("id"), k, bits) for k in range(hashes)]))).alias("bit"))
+    set_at = keyed.select("bit", F.col("seq").alias("set_at"))
+    set_at = (set_at if known is None else set_at.unionByName(known)).groupBy("bit").agg(F.min("set_at").alias("set_at"))
+    return keyed.join(set_at, "bit").groupBy("id").agg((F.max("set_at") < F.first("seq")).alias("fp")), set_at
+
+
+def bloom_rows(each: DataFrame) -> DataFrame:
+    """(batch, false_positives, seen, fpr), cumulative, of (batch, fp, n)."""
+    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row a batch
+    out = each.select("batch", F.sum("fp").over(w).alias("false_positives"), F.sum("n").over(w).alias("seen"))
+    return out.withColumn("fpr", F.when(F.col("seen") == 0, 0.0).otherwise(F.col("false_positives") / F.col("seen")))
 
 
 def bloom_fpr(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
@@ -14,14 +32,9 @@ def bloom_fpr(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
     An id is a query once, at its first place. It is a false positive if each of its bits was set at an earlier first place of another id.
     """
     first = stream.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("batch", "seq").alias("batch"))
-    keyed = first.select("id", "seq", "batch", F.explode(F.array_distinct(F.array(*[linear_hash(F.col("id"), k, bits) for k in range(hashes)]))).alias("bit"))
-    set_at = keyed.groupBy("bit").agg(F.min("seq").alias("set_at"))
-    hit = keyed.join(set_at, "bit").groupBy("id", "seq", "batch").agg((F.max("set_at") < F.col("seq")).alias("fp"))
-    each = hit.groupBy("batch").agg(F.count_if("fp").alias("fp"), F.count("*").alias("n"))
-    rows = stream.select("batch").distinct().join(each, "batch", "left").fillna(0)
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row a batch
-    out = rows.select("batch", F.sum("fp").over(w).alias("false_positives"), F.sum("n").over(w).alias("seen"))
-    return out.withColumn("fpr", F.when(F.col("seen") == 0, 0.0).otherwise(F.col("false_positives") / F.col("seen")))
+    hit, _ = bloom_hits(first, bits, hashes)
+    each = hit.join(first, "id").groupBy("batch").agg(F.count_if("fp").alias("fp"), F.count("*").alias("n"))
+    return bloom_rows(stream.select("batch").distinct().join(each, "batch", "left").fillna(0))
 
 
 def in_windows(stream: DataFrame, length: int = 3, slide: int = 2) -> DataFrame:
@@ -32,9 +45,8 @@ def in_windows(stream: DataFrame, length: int = 3, slide: int = 2) -> DataFrame:
     return rows.join(F.broadcast(last)).where(F.col("w") * slide + length - 1 <= F.col("last")).drop("last")  # one row
 
 
-def fm_windows(stream: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:
-    """(w, truth, estimate): exact distinct ids and the estimate of each window; the upper median of the groups' means. stream: (batch, id)."""
-    seen = in_windows(stream).select("w", "id").distinct()
+def fm_estimates(seen: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:
+    """(w, truth, estimate) of distinct (w, id): how many ids, and the estimate, which is the upper median of the groups' means."""
     zeros = [F.max(trailing_zeros(linear_hash(F.col("id"), k, modulus))).alias(f"r{k}") for k in range(hashes)]
     agg = seen.groupBy("w").agg(F.count("*").alias("truth"), *zeros)
     power = [F.pow(F.lit(2.0), F.col(f"r{k}")) for k in range(hashes)]
@@ -42,18 +54,33 @@ def fm_windows(stream: DataFrame, hashes: int = 100, rows: int = 2, modulus: int
     return agg.select("w", "truth", F.element_at(F.array_sort(F.array(*groups)), len(groups) // 2 + 1).alias("estimate"))
 
 
+def fm_windows(stream: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:
+    """(w, truth, estimate): exact distinct ids and the estimate of each complete window. stream: (batch, id)."""
+    return fm_estimates(in_windows(stream).select("w", "id").distinct(), hashes, rows, modulus)
+
+
 def reservoir(stream: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """(batch, id, seq): after each batch the ``size`` rows of least priority so far; the priority is a hash of seq, so a sample is uniform and repeatable.
+    """(batch, id, seq): after each batch (0, 1, ...) the ``size`` rows of least priority so far; the priority is a hash of seq, so a sample is uniform and repeatable.
 
-    Only rows that are among the least of their own batch can ever be in a sample.
+    Runs of 1, 2, 4, ... batches have samples, each made of the two half as long; all batches up to one are at most as many runs as the logarithm of their number.
     """
     p = F.pmod(F.col("seq") * 1_103_515_245 + seed * 12_345, F.lit(2_147_483_647))
+    least = lambda df, key: df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("p", "seq"))).where(F.col("k") <= size).drop("k")
     own = stream.select("batch", "id", "seq", p.alias("p"))
-    near = own.withColumn("k", F.row_number().over(Window.partitionBy("batch").orderBy("p", "seq"))).where(F.col("k") <= size).drop("k")
-    batches = stream.select(F.col("batch").alias("at")).distinct()
-    known = near.join(batches, F.col("batch") <= F.col("at"))
-    best = known.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy("p", "seq"))).where(F.col("k") <= size)
-    return best.select(F.col("at").alias("batch"), "id", "seq")
+    last = stream.agg(F.max("batch")).first()[0]
+    if last is None:
+        return stream.select("batch", "id", "seq")
+    run, level, parts = least(own.withColumn("run", F.col("batch")), "run"), 0, []
+    while True:
+        # run r of 2^level batches is a part of the sample after batch b where b + 1 has that bit and b + 1 div 2^level = r + 1
+        ends = F.sequence(F.shiftleft(F.col("run") + 1, level), F.least(F.shiftleft(F.col("run") + 1, level) + (1 << level) - 1, F.lit(last + 1)))
+        parts.append(run.where(f"run % 2 = 0 AND shiftleft(run + 1, {level}) <= {last + 1}").select(F.explode(ends).alias("at"), "id", "seq", "p"))
+        if 1 << level > last:
+            break
+        level += 1
+        run = cut(least(run.withColumn("run", F.shiftright("run", 1)), "run"))
+    there = reduce(DataFrame.union, parts).withColumn("at", F.col("at") - 1).join(stream.select(F.col("batch").alias("at")).distinct(), "at", "left_semi")
+    return least(there, "at").select(F.col("at").alias("batch"), "id", "seq")
 
 
 def sliding_distinct(events: DataFrame, ts: str, user: str, length: str = "3 hours", slide: str = "2 hours") -> DataFrame:

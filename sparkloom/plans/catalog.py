@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.columns import hash_terms, tiered_mean
-from sparkloom.operators import baskets, clustering, graph, recommend, similarity, sketches
-from sparkloom.session import cut
+from sparkloom.functions.columns import hash_terms, text_hash, tiered_mean
+from sparkloom.operators import baskets, clustering, features, graph, recommend, similarity, sketches
+from sparkloom.session import cut, shared_path
+from sparkloom.sources import readers, sinks
 from sparkloom.streaming import sketches as streams
 
 QUERIES: dict = {}
@@ -74,12 +75,12 @@ def top10_items(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(10)
 
 
-@register("SELECT 5 AS n_partition, count(*) AS n_items FROM orders")
+@register("SELECT 5 AS n_partition, CAST((o_custkey * 1103515245 + 12345) % 2147483647 % 5 AS INTEGER) AS part, count(*) AS n_items FROM orders GROUP BY 2")
 def partition_stats(spark, d):
-    """Rows of each partition after dealing by key, summed up again: how they spread depends on the hash."""
-    dealt = table(spark, d, "orders").select("o_custkey").repartition(5, "o_custkey")
-    each = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
-    return each.agg(F.lit(5).alias("n_partition"), F.sum("n").alias("n_items"))
+    """(n_partition, part, n_items): how many partitions the plan has, and the rows of each that has some, as they lie, after dealing rows to partitions by a stated hash."""
+    part = F.pmod(F.pmod(F.col("o_custkey") * 1_103_515_245 + 12_345, F.lit(2_147_483_647)), F.lit(5)).cast("int")
+    dealt = table(spark, d, "orders").select("o_custkey").repartitionById(5, part)
+    return dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n_items")).select(F.lit(dealt.rdd.getNumPartitions()).alias("n_partition"), "part", "n_items")
 
 
 @register("SELECT o_orderkey, coalesce(n, 0) AS n_lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
@@ -89,10 +90,11 @@ def left_join_default(spark, d):
     return o.join(n, o.o_orderkey == n.l_orderkey, "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
-@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def unmatched_users(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def unmatched_orders(spark, d):
+    """Orders without lines."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left_anti").select("o_orderkey")
 
 
 @register("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, round(avg(CAST(json_extract_string(props, '$.k') AS BIGINT)), 6) AS mean FROM events GROUP BY 1")
@@ -157,6 +159,25 @@ def son_candidates(spark, d):
     return baskets.son_candidates(_baskets(spark, d).withColumn("part", F.pmod("basket", F.lit(4))), 8)
 
 
+SETS = f"""WITH t AS ({BASKETS}), s AS (SELECT i FROM t GROUP BY 1 HAVING count(*) >= 4), g AS (SELECT * FROM t WHERE i IN (SELECT i FROM s)),
+  a AS (SELECT 1 AS k, CAST(i AS VARCHAR) AS items, count(*) AS n FROM g GROUP BY i UNION ALL
+    SELECT 2, a.i || ',' || b.i, count(*) FROM g a JOIN g b ON a.b = b.b AND a.i < b.i GROUP BY a.i, b.i UNION ALL
+    SELECT 3, a.i || ',' || b.i || ',' || c.i, count(*) FROM g a JOIN g b ON a.b = b.b AND a.i < b.i JOIN g c ON c.b = b.b AND b.i < c.i GROUP BY a.i, b.i, c.i)"""
+
+
+@register(SETS + " SELECT k, items, n FROM a WHERE n >= 4")
+def son_frequent(spark, d):
+    """Both passes: candidates of four parts, then their counts over all baskets."""
+    return baskets.son(_baskets(spark, d).withColumn("part", F.pmod("basket", F.lit(4))), 4)
+
+
+@register(SETS + " SELECT k, items, n FROM a WHERE n >= 4")
+def all_frequent(spark, d):
+    """By FP-growth."""
+    found = baskets.all_frequent(_baskets(spark, d), 4)
+    return found.select(F.size("items").alias("k"), F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("n"))
+
+
 # Similar sets ------------------------------------------------------------------------------------------------------
 
 
@@ -218,7 +239,7 @@ def cf_sql(weight, enough):
 
 def _ratings(spark, d):
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return recommend.ratings(lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("x", F.col("l_quantity") / 10), "o_custkey", "l_suppkey", "x")
+    return cut(recommend.ratings(lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("x", F.col("l_quantity") / 10), "o_custkey", "l_suppkey", "x"))
 
 
 def _tests(r):
@@ -290,11 +311,99 @@ def features_v2(spark, d):
     return _features(spark, d).select("u", "i", (2019 - F.col("since")).alias("age"), share("n_urgent", "n_orders").alias("urgent_share"), share("n_returned", "n_lines").alias("returned_share"), "n_parts", "years")
 
 
-@register()
-def gbt_predict(spark, d):
+#: Trees of the registered models; 500, the operator's default, take as many times longer as they are more.
+TREES = 50
+
+
+def _split(spark, d):
+    """Features of known pairs, for training and for tests."""
     rows = cut(_features(spark, d))
     test = F.pmod(F.col("u") * 31 + F.col("i"), F.lit(10)) == 0
-    return recommend.boosted_trees(rows.where(~test), rows.where(test), FEATURES, "x", trees=10).select("u", "i", "x", F.round("m", 6).alias("prediction"))
+    return rows.where(~test), rows.where(test)
+
+
+@register()
+def gbt_predict(spark, d):
+    """(u, i, x, prediction, rmse): the model on the tests, beside its root mean square error over all of them."""
+    train, test = _split(spark, d)
+    found = cut(recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "x", "m"))
+    return found.join(F.broadcast(recommend.evaluate(found, "x", "m").select("rmse").distinct())).select("u", "i", "x", F.round("m", 6).alias("prediction"), F.round("rmse", 6).alias("rmse"))  # one row
+
+
+@register()
+def hybrid_model(spark, d):
+    """(u, i, x, prediction, rmse): item CF where it has enough neighbours, blended with the boosted trees; the trees alone elsewhere."""
+    train, test = _split(spark, d)
+    known = train.select("u", "i", "x")
+    model = recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "m")
+    cf = recommend.item_cf(known, test.select("u", "i"), discount=False, least_neighbours=7)
+    found = cut(recommend.hybrid(cf, model).join(test.select("u", "i", "x"), ["u", "i"]))
+    return found.join(F.broadcast(recommend.evaluate(found, "x", "prediction").select("rmse").distinct())).select("u", "i", "x", F.round("prediction", 6).alias("prediction"), F.round("rmse", 6).alias("rmse"))  # one row
+
+
+def _side_tables(spark, d):
+    """The tables in the form of the review data's side tables, each by its own schema: users are customers, businesses are suppliers."""
+    c, o, s, l, e = (table(spark, d, n) for n in ("customer", "orders", "supplier", "lineitem", "events"))
+    n = F.col("c_custkey")
+    marks = [(n * (k + 3) % (7 + k)).alias(f"compliment_{x}") for k, x in enumerate(features.COMPLIMENTS)]
+    elite = F.when(n % 3 == 0, "None").when(n % 3 == 1, "2012").otherwise("2012, 2015")
+    user = c.select(n.cast("string").alias("user_id"), (n % 11).alias("review_count"), (n % 5).alias("fans"), (n % 13).alias("useful"), (n % 4).alias("funny"), (n % 6).alias("cool"), *marks, (n % 50 / 10).alias("average_stars"), F.concat((2005 + n % 12).cast("string"), F.lit("-01-02")).alias("yelping_since"), elite.alias("elite"))
+    business = s.select(F.col("s_suppkey").cast("string").alias("business_id"), F.lit("x").alias("city"), (F.col("s_suppkey") % 5).cast("double").alias("stars"), F.col("s_suppkey").alias("review_count"))
+    slots = l.groupBy(F.col("l_suppkey").cast("string").alias("business_id"), F.month("l_shipdate").cast("string").alias("m")).agg(F.count("*").alias("n")).where("cast(business_id AS bigint) % 4 > 0")
+    checkin = slots.groupBy("business_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("time"))  # twelve months
+    tip = e.select((F.col("user_id") % 100 + 1).cast("string").alias("user_id"), (F.col("event_id") % 20 + 1).cast("string").alias("business_id"), (F.col("event_id") % 9).alias("likes"), "event_id")
+    label = F.element_at(F.array(*map(F.lit, ("food", "drink", "menu", "inside", "outside", "other"))), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    photo = l.where("l_suppkey % 5 > 0").select(F.col("l_suppkey").cast("string").alias("business_id"), label.alias("label"))
+    pairs = o.join(l, o.o_orderkey == l.l_orderkey).select(F.col("o_custkey").cast("string").alias("user_id"), F.col("l_suppkey").cast("string").alias("business_id")).distinct()
+    return user, business, checkin, tip, photo, pairs
+
+
+PAIR_SQL = """WITH u AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_custkey AS n FROM customer),
+  k AS (SELECT l_suppkey AS s, month(l_shipdate) AS m, count(*) AS n FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY 1, 2), kk AS (SELECT s, count(*) AS slots, sum(n) AS total FROM k GROUP BY 1),
+  p AS (SELECT l_suppkey AS s, count(*) FILTER (l_linenumber % 6 IN (0, 1, 2)) AS food, count(*) FILTER (l_linenumber % 6 IN (3, 4)) AS place FROM lineitem WHERE l_suppkey % 5 > 0 GROUP BY 1),
+  t AS (SELECT user_id % 100 + 1 AS u, event_id % 20 + 1 AS s, count(*) AS tips, max_by(event_id % 9, event_id) AS likes FROM events GROUP BY 1, 2),
+  q AS (SELECT DISTINCT o_custkey AS u, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+  x AS (SELECT u AS c, q.s, n % 11 AS u_reviews, n % 50 / 10 AS u_stars, 2005 + n % 12 AS since, n % 5 AS u_fans, n % 13 AS u_useful, n % 13 + n % 4 + n % 6 AS u_votes,
+    CASE n % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS u_elite, CASE n % 3 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 11 END AS last,
+    n * 3 % 7 + n * 4 % 8 + n * 5 % 9 + n * 6 % 10 + n * 7 % 11 + n * 8 % 12 AS compliments FROM q JOIN (SELECT c_custkey AS u, c_custkey AS n FROM customer) USING (u)),
+  f AS (SELECT CAST(c AS VARCHAR) AS user_id, CAST(x.s AS VARCHAR) AS business_id, x.*, CAST(x.s % 5 AS DOUBLE) AS b_stars, x.s AS b_reviews, CAST(coalesce(slots, 0) AS BIGINT) AS b_slots, CAST(coalesce(total, 0) AS BIGINT) AS b_checkins,
+    coalesce(tips, 0) AS tips, coalesce(likes, 0) AS tip_likes, coalesce(food, 0) AS photo_food, coalesce(place, 0) AS photo_place
+    FROM x LEFT JOIN kk ON kk.s = x.s LEFT JOIN p ON p.s = x.s LEFT JOIN t ON t.u = x.c AND t.s = x.s)"""
+
+
+def _pair_features(spark, d):
+    user, business, checkin, tip, photo, pairs = _side_tables(spark, d)
+    return features.pair_features(pairs, features.user_features(user), features.business_features(business, checkin, photo), features.tip_features(tip, "event_id"))
+
+
+@register(PAIR_SQL + " SELECT user_id, business_id, u_reviews, u_stars, CAST(since AS INTEGER) AS u_since, u_fans, u_useful, u_votes, u_elite, compliments AS u_compliments, b_stars, b_reviews, b_checkins, tip_likes, photo_food, photo_place FROM f")
+def review_features_v1(spark, d):
+    """The first feature list, from tables in the side tables' own schemas."""
+    return _pair_features(spark, d).select("user_id", "business_id", *features.V1)
+
+
+@register(PAIR_SQL + " SELECT user_id, business_id, u_reviews, u_stars, CAST(2019 - since AS INTEGER) AS u_years, u_fans, u_votes, u_elite, last AS u_last_elite, round(CASE WHEN u_reviews = 0 THEN 0 ELSE compliments / u_reviews END, 6) AS u_compliment_share, b_stars, b_reviews, b_slots, b_checkins, tips, photo_food, photo_place FROM f")
+def review_features_v2(spark, d):
+    """The later feature list."""
+    return _pair_features(spark, d).select("user_id", "business_id", *features.V2).withColumn("u_compliment_share", F.round("u_compliment_share", 6))
+
+
+@register("SELECT c_custkey, list_reduce(list_transform(range(1, CAST(length(c_name) AS BIGINT) + 1), lambda k: CAST(ord(substr(c_name, k, 1)) AS BIGINT)), lambda a, x: (a * 256 + x) % 69997) AS h FROM customer")
+def text_hashes(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text_hash(F.col("c_name"), 69_997).alias("h"))
+
+
+@register("SELECT p_type AS value, row_number() OVER (ORDER BY p_type) - 1 AS id FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL)")
+def dense_ids(spark, d):
+    return readers.dense_ids(table(spark, d, "part"), "p_type")
+
+
+@register("SELECT p_partkey, p_type FROM part WHERE p_type IS NOT NULL")
+def decoded_ids(spark, d):
+    """Types go to numbers and back by name."""
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    ids = cut(readers.dense_ids(p, "p_type"))
+    return readers.decoded(p.join(ids, F.col("p_type") == F.col("value")).select("p_partkey", F.col("id").alias("p_type")), "p_type", ids).select("p_partkey", "p_type")
 
 
 # Graphs ------------------------------------------------------------------------------------------------------------
@@ -345,12 +454,31 @@ def label_propagation(spark, d):
     return graph.label_propagation(_edges(spark, d))
 
 
-@register()
+#: Levels that the SQL of betweenness goes down to: more than the test graphs have, which the last one, left empty, shows.
+LEVELS = 24
+
+
+def between_sql(credit: str) -> str:
+    """All shortest paths level by level, then credits back up."""
+    sigma = "sum(s)" if credit == "paths" else "CAST(count(*) AS DOUBLE)"
+    parts = [f"{edges_sql(6)}, v0 AS (SELECT DISTINCT src AS r, src AS n, 1.0::DOUBLE AS s FROM w)"]
+    for k in range(1, LEVELS):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM v{j} x WHERE x.r = v.r AND x.n = w.dst)" for j in range(max(0, k - 2), k))
+        parts.append(f"v{k} AS MATERIALIZED (SELECT v.r, w.dst AS n, {sigma} AS s FROM v{k - 1} v JOIN w ON w.src = v.n WHERE {seen} GROUP BY 1, 2)")
+    parts.append(f"f{LEVELS - 1} AS (SELECT r, n, s, 1.0::DOUBLE AS f FROM v{LEVELS - 1})")
+    for k in range(LEVELS - 1, 0, -1):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT f.r, f.n, p.n AS up, f * p.s / sum(p.s) OVER (PARTITION BY f.r, f.n) AS x FROM f{k} f JOIN w ON w.src = f.n JOIN v{k - 1} p ON p.r = f.r AND p.n = w.dst)")
+        parts.append(f"f{k - 1} AS MATERIALIZED (SELECT v.r, v.n, s, 1 + coalesce(x, 0) AS f FROM v{k - 1} v LEFT JOIN (SELECT r, up, sum(x) AS x FROM c{k} GROUP BY 1, 2) c ON c.r = v.r AND c.up = v.n)")
+    every = " UNION ALL ".join(f"SELECT least(n, up) AS src, greatest(n, up) AS dst, x FROM c{k}" for k in range(1, LEVELS))
+    return f"WITH {', '.join(parts)} SELECT src, dst, round(sum(x) / 2, 5) AS betweenness FROM ({every}) GROUP BY 1, 2"
+
+
+@register(between_sql("paths"))
 def edge_betweenness(spark, d):
     return graph.edge_betweenness(cut(_edges(spark, d))).withColumn("betweenness", F.round("betweenness", 5))
 
 
-@register()
+@register(between_sql("indegree"))
 def edge_betweenness_indegree(spark, d):
     return graph.edge_betweenness(cut(_edges(spark, d)), "indegree").withColumn("betweenness", F.round("betweenness", 5))
 
@@ -366,11 +494,15 @@ BITS, BLOOM = 2039, 3
 bloom_bits = " UNION ".join(f"SELECT id, seq, batch, ({hash_terms(k)[0]} * (id % {BITS}) + {hash_terms(k)[1]}) % {BITS} AS bit FROM f" for k in range(BLOOM))
 
 
-@register(f"""WITH s AS (SELECT o_orderkey // 1000 AS batch, o_orderkey AS seq, o_custkey AS id FROM orders), f AS (SELECT id, min(seq) AS seq, min(seq) // 1000 AS batch FROM s GROUP BY 1),
+def bloom_sql(size):
+    return f"""WITH s AS (SELECT o_orderkey // {size} AS batch, o_orderkey AS seq, o_custkey AS id FROM orders), f AS (SELECT id, min(seq) AS seq, min(seq) // {size} AS batch FROM s GROUP BY 1),
   k AS ({bloom_bits}), t AS (SELECT bit, min(seq) AS t FROM k GROUP BY 1), h AS (SELECT id, batch, max(t) < seq AS fp FROM k JOIN t ON k.bit = t.bit GROUP BY id, batch, seq),
   a AS (SELECT b.batch, count(*) FILTER (fp) AS fp, count(id) AS n FROM (SELECT DISTINCT batch FROM s) b LEFT JOIN h ON h.batch = b.batch GROUP BY 1),
   c AS (SELECT batch, sum(fp) OVER w AS fp, sum(n) OVER w AS n FROM a WINDOW w AS (ORDER BY batch))
-SELECT batch, CAST(fp AS BIGINT) AS false_positives, CAST(n AS BIGINT) AS seen, round(CASE WHEN n = 0 THEN 0 ELSE fp / n END, 6) AS fpr FROM c""")
+SELECT batch, CAST(fp AS BIGINT) AS false_positives, CAST(n AS BIGINT) AS seen, round(CASE WHEN n = 0 THEN 0 ELSE fp / n END, 6) AS fpr FROM c"""
+
+
+@register(bloom_sql(1000))
 def bloom_fpr(spark, d):
     s = table(spark, d, "orders").select(F.expr("o_orderkey div 1000").alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"))
     return sketches.bloom_fpr(s, BITS, BLOOM).withColumn("fpr", F.round("fpr", 6))
@@ -378,12 +510,16 @@ def bloom_fpr(spark, d):
 
 FM = 100
 fm_zeros = " UNION ALL ".join(f"SELECT w, {k // 2} AS g, {k} AS k, ({hash_terms(k)[0]} * (id % 69997) + {hash_terms(k)[1]}) % 69997 AS v FROM s" for k in range(FM))
-WINDOWS = "b AS (SELECT event_id // 300 AS batch, user_id AS id FROM events), s AS (SELECT DISTINCT w, id FROM b, (SELECT unnest(range(0, 1 + (SELECT max(batch) FROM b) // 2)) AS w) WHERE batch BETWEEN 2 * w AND 2 * w + 2 AND 2 * w + 2 <= (SELECT max(batch) FROM b))"
+WINDOWS = "b AS (SELECT event_id // {size} AS batch, user_id AS id FROM events), s AS (SELECT DISTINCT w, id FROM b, (SELECT unnest(range(0, 1 + (SELECT max(batch) FROM b) // 2)) AS w) WHERE batch BETWEEN 2 * w AND 2 * w + 2 AND 2 * w + 2 <= (SELECT max(batch) FROM b))"
 
 
-@register(f"""WITH {WINDOWS}, h AS ({fm_zeros}), r AS (SELECT w, g, k, max(CASE WHEN v = 0 THEN 16 ELSE length(bin(v)) - length(rtrim(bin(v), '0')) END) AS r FROM h GROUP BY 1, 2, 3),
+def fm_sql(size):
+    return f"""WITH {WINDOWS.format(size=size)}, h AS ({fm_zeros}), r AS (SELECT w, g, k, max(CASE WHEN v = 0 THEN 16 ELSE length(bin(v)) - length(rtrim(bin(v), '0')) END) AS r FROM h GROUP BY 1, 2, 3),
   m AS (SELECT w, g, avg(pow(2, r)) AS m FROM r GROUP BY 1, 2), o AS (SELECT w, m, row_number() OVER (PARTITION BY w ORDER BY m, g) AS n FROM m)
-SELECT o.w, (SELECT count(*) FROM s WHERE s.w = o.w) AS truth, m AS estimate FROM o WHERE n = {FM // 4 + 1}""")
+SELECT o.w, (SELECT count(*) FROM s WHERE s.w = o.w) AS truth, m AS estimate FROM o WHERE n = {FM // 4 + 1}"""
+
+
+@register(fm_sql(300))
 def fm_windows(spark, d):
     s = table(spark, d, "events").select(F.expr("event_id div 300").alias("batch"), F.col("user_id").alias("id"))
     return sketches.fm_windows(s, FM)
@@ -428,14 +564,87 @@ def bfr(spark, d):
     return clustering.bfr(_points(spark, d).select("id", "features"), 8)[0]
 
 
+# Readers and writers: tables go out in a format and come back ------------------------------------------------------
+
+
+def _files(spark):
+    return shared_path(spark, "files")
+
+
+@register("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, d):
+    path = _files(spark)
+    sinks.csv_files(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return readers.csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@register("SELECT CAST(c_custkey AS VARCHAR) AS business_id, c_mktsegment AS city, c_acctbal AS stars, CAST(c_nationkey AS BIGINT) AS review_count FROM customer")
+def json_round_trip(spark, d):
+    path = _files(spark)
+    out = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("business_id"), F.col("c_mktsegment").alias("city"), F.col("c_acctbal").alias("stars"), F.col("c_nationkey").cast("bigint").alias("review_count"))
+    out.write.json(path)
+    return readers.json_lines(spark, path, "business")
+
+
+@register("SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1")
+def text_round_trip(spark, d):
+    path = _files(spark)
+    table(spark, d, "part").select("p_name").write.text(path)
+    return readers.lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@register("SELECT vec_id AS id, CAST(dim AS INTEGER) AS dim, round(v, 5) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings)")
+def numeric_round_trip(spark, d):
+    """Points without a header: id, label, components."""
+    path, e = _files(spark), table(spark, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    e.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(size)]).write.csv(path)
+    return readers.numeric_points(spark, path, size).select("id", F.posexplode("features").alias("dim", "x")).withColumn("x", F.round("x", 5))
+
+
+@register("SELECT strftime(o_orderdate, '%-m/%-d/%y') || '-' || ltrim(CAST(o_custkey AS VARCHAR), '0') AS basket, ltrim(CAST(l_partkey AS VARCHAR), '0') AS item, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def retail_round_trip(spark, d):
+    """Quoted fields, dates as M/D/YYYY, ids with leading zeros."""
+    path, lines, orders = _files(spark), table(spark, d, "lineitem"), table(spark, d, "orders")
+    x = F.lit("x")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.date_format("o_orderdate", "M/d/yyyy").alias("day"), F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("customer"), x.alias("a"), x.alias("b"), x.alias("c"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("product"))
+    rows.write.option("header", True).option("quoteAll", True).csv(path)
+    return readers.retail_baskets(spark, path).groupBy("basket", "item").agg(F.count("*").alias("n"))
+
+
+@register("SELECT 40 * 25 AS n, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS kinds, 40 AS asks")
+def drawn_ids(spark, d):
+    """Facts of a stream of draws: rows, the ids that occur, and the asks."""
+    drawn = readers.drawn_stream(table(spark, d, "customer").select(F.col("c_mktsegment").alias("id")), 25, 40)
+    return drawn.agg(F.count("*").cast("int").alias("n"), F.count_distinct("id").alias("kinds"), F.count_distinct("ask").cast("int").alias("asks"))
+
+
 # Streams -----------------------------------------------------------------------------------------------------------
 
 
-@register()
+@register("""SELECT CAST(to_timestamp(s) AT TIME ZONE 'UTC' AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT event_type, value, epoch(ts) AS t, unnest([floor(epoch(ts) / 7200) * 7200, floor(epoch(ts) / 7200) * 7200 - 7200]) AS s FROM events) WHERE t < s + 10800 GROUP BY 1, 2""")
 def stream_window_counts(spark, d) -> DataFrame:
-    return streams.drain(streams.windowed_counts(streams.event_stream(spark, d)), "complete")
+    found = streams.drain(streams.windowed_counts(streams.event_stream(spark, d)), "complete")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register()
+@register("""SELECT event_type, event_id, count(*) OVER (PARTITION BY event_type) AS total FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 1103515245 + 12345) % 2147483647, event_id) <= 20""")
 def stream_reservoir(spark, d) -> DataFrame:
+    """Each type's sample after the last batch (here one)."""
     return streams.drain(streams.reservoirs(streams.event_stream(spark, d)), "update")
+
+
+@register(bloom_sql(4000))
+def stream_bloom(spark, d) -> DataFrame:
+    """Orders in micro-batches of 4,000 keys."""
+    s = table(spark, d, "orders").select(F.expr("o_orderkey div 4000").alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"))
+    return streams.bloom_stream(streams.batches_of(s, shared_path(spark, "input")), BITS, BLOOM).withColumn("fpr", F.round("fpr", 6))
+
+
+@register(fm_sql(2000))
+def stream_fm(spark, d) -> DataFrame:
+    """Events in micro-batches of 2,000."""
+    s = table(spark, d, "events").select(F.expr("event_id div 2000").alias("batch"), F.col("user_id").alias("id"))
+    return streams.fm_stream(streams.batches_of(s, shared_path(spark, "input")), FM)

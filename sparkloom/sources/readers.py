@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import strip_zeros
+from sparkloom.session import cut
 
 #: Fields of the JSON inputs.
 SCHEMAS = {
@@ -48,11 +51,30 @@ def retail_baskets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws("-", day, strip_zeros(F.col("c1"))).alias("basket"), strip_zeros(F.col("c5")).alias("item"))
 
 
-def drawn_stream(ids: DataFrame, size: int, asks: int, seed: int = 1) -> DataFrame:
-    """(ask, seq, id): each ask draws ``size`` ids uniformly with replacement. ids: one column id; it is numbered by a window in id order."""
-    from pyspark.sql import Window
+def dense_ids(df: DataFrame, column: str) -> DataFrame:
+    """(value, id): the distinct values of a column that are not null, numbered 0, 1, ... in order.
+
+    The sort is by ranges; a value's number is its place in its partition, after the rows of the partitions before, whose counts alone reach the driver.
+    """
+    rows = cut(df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().orderBy("value").withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    counts = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = dict(zip(sorted(counts), accumulate([0, *(counts[p] for p in sorted(counts))]), strict=False))
+    if not before:
+        return rows.select("value", F.col("place").alias("id"))
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in before.items() for x in pair]), part)
+    return rows.select("value", (offset + F.col("place") - F.shiftleft(part, 33)).alias("id"))
+
 
-    numbered = ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("at"))
-    n = ids.count()
+def decoded(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df with the ids of a column replaced by their values. ids: of dense_ids()."""
+    names = ids.select(F.col("id").alias(column), "value")
+    return df.join(names, column).withColumn(column, F.col("value")).drop("value")
+
+
+def drawn_stream(ids: DataFrame, size: int, asks: int, seed: int = 1) -> DataFrame:
+    """(ask, seq, id): each ask draws ``size`` of the distinct ids uniformly with replacement. ids: one column id, which is numbered by dense_ids()."""
+    numbered = dense_ids(ids, "id").select(F.col("id").alias("at"), F.col("value").alias("id"))
+    n = numbered.count()
     draws = ids.sparkSession.range(size * asks).select((F.col("id") / size).cast("bigint").alias("ask"), F.col("id").alias("seq"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("at"))
     return draws.join(numbered, "at").select("ask", "seq", "id")

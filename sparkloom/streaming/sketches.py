@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.session import ensure_checkpoint_dir
+from sparkloom.operators import sketches
+from sparkloom.session import cut, shared_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -19,13 +22,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return its result."""
-    spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = f"drained_{abs(hash((id(stream), mode)))}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its result: the last batch's rows in mode complete, else the rows of all batches.
+
+    Batches go to files in the shared folder, each to a place of its own, so that a batch that is run again replaces itself; the stream's state is kept there too.
+    """
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/{'all' if mode == 'complete' else '*'}")
 
 
 def windowed_counts(events: DataFrame, length: str = "3 hours", slide: str = "2 hours", late: str = "1 hour") -> DataFrame:
@@ -51,3 +59,57 @@ def reservoir_state(size: int, seed: int = 1) -> Callable:
 def reservoirs(events: DataFrame, size: int = 20) -> DataFrame:
     """(event_type, event_id, total) after each batch."""
     return events.groupBy("event_type").applyInPandasWithState(reservoir_state(size), "event_type string, event_id bigint, total bigint", "p array<bigint>, s array<bigint>, n bigint", "update", "NoTimeout")
+
+
+def batches_of(df: DataFrame, path: str) -> DataFrame:
+    """A stream of one micro-batch for each value 0, 1, ... of df's column batch; its files are written in that order."""
+    spark = df.sparkSession
+    for k in sorted(r.batch for r in df.select("batch").distinct().collect()):
+        df.where(F.col("batch") == k).drop("batch").coalesce(1).write.parquet(f"{path}/batch={k}")
+    schema = T.StructType([f for f in df.schema.fields if f.name != "batch"] + [T.StructField("batch", T.LongType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _before(spark: SparkSession, path: str, schema: str, number: int, since: int = 0) -> DataFrame:
+    """What micro-batches from ``since`` to the one before ``number`` have put down. A batch that is run again does not see itself."""
+    return reduce(DataFrame.union, [spark.read.schema(schema).parquet(f"{path}/{k}") for k in range(since, number)], spark.createDataFrame([], schema))
+
+
+def bloom_stream(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """As sketches.bloom_fpr(), for a stream (seq, id, batch) whose micro-batches are the batches: one row a batch.
+
+    The filter and the ids seen so far are files in the shared folder, to which a micro-batch adds its own; both are read by joins.
+    """
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "bloom")
+
+    def put(df: DataFrame, number: int) -> None:
+        first = df.groupBy("id").agg(F.min("seq").alias("seq"), F.max("batch").alias("batch")).join(_before(spark, f"{path}/seen", "id bigint", number), "id", "left_anti")
+        first = cut(first.select(F.col("id").cast("bigint").alias("id"), F.col("seq").cast("bigint").alias("seq")))
+        known = _before(spark, f"{path}/bits", "bit bigint, set_at bigint", number)
+        hit, set_at = sketches.bloom_hits(first, bits, hashes, known)
+        set_at.join(known, "bit", "left_anti").select(F.col("bit").cast("bigint").alias("bit"), "set_at").write.mode("overwrite").parquet(f"{path}/bits/{number}")
+        first.select("id").write.mode("overwrite").parquet(f"{path}/seen/{number}")
+        each = hit.agg(F.count_if("fp").alias("fp"), F.count("*").alias("n"))
+        each.join(F.broadcast(df.agg(F.max("batch").alias("batch")))).select("batch", "fp", "n").write.mode("overwrite").parquet(f"{path}/rows/{number}")  # one row
+
+    _run(stream, put, path)
+    return sketches.bloom_rows(spark.read.schema("batch bigint, fp bigint, n bigint").parquet(f"{path}/rows/*"))
+
+
+def fm_stream(stream: DataFrame, hashes: int = 100, length: int = 3, slide: int = 2) -> DataFrame:
+    """As sketches.fm_windows(), for a stream (id, batch) whose micro-batches are the batches: a row when a window's last batch is there. A window's batches are kept as distinct ids."""
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "fm")
+
+    def put(df: DataFrame, number: int) -> None:
+        df.select(F.col("id").cast("bigint").alias("id")).distinct().write.mode("overwrite").parquet(f"{path}/ids/{number}")
+        w, rest = divmod(number - length + 1, slide)
+        if number >= length - 1 and not rest:
+            seen = _before(spark, f"{path}/ids", "id bigint", number + 1, number - length + 1).distinct().withColumn("w", F.lit(w).cast("bigint"))
+            sketches.fm_estimates(seen, hashes).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+
+    _run(stream, put, path)
+    return spark.read.schema("w bigint, truth bigint, estimate double").parquet(f"{path}/rows/*")
+
+
+def _run(stream: DataFrame, put: Callable, path: str) -> None:
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()

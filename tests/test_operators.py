@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns
-from sparkloom.operators import baskets, clustering, graph, recommend, similarity, sketches
+from sparkloom.operators import baskets, clustering, features, graph, recommend, similarity, sketches
 from sparkloom.plans import catalog
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import sketches as streams
@@ -35,6 +35,8 @@ def test_betweenness(spark):
     paths, parents = between(spark, B), between(spark, B, "indegree")
     assert [round(paths[k], 5) for k in ("ac", "br", "eg", "af")] == [7.16667, 3.66667, 5.16667, 8.5]
     assert [round(parents[k], 5) for k in ("ac", "br", "eg", "af")] == [7.08333, 3.58333, 5.33333, 8.5]
+    some = {r.src + r.dst: r.betweenness for r in graph.edge_betweenness(edges(spark, A), roots_at_once=3).collect()}
+    assert some == pytest.approx(want) and graph.edge_betweenness(edges(spark, A).limit(0)).count() == 0
 
 
 def test_communities(spark):
@@ -75,12 +77,33 @@ def test_hot_keys(spark):
     assert rows(graph.lookup(left, right, "key")) == rows(left.join(right, "key")) and len(rows(graph.lookup(left, right, "key"))) == 91
 
 
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HOT", 5)
+    left = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(120)] + [(None, 0)], "key int, x int")
+    right = spark.createDataFrame([(k % 9, k) for k in range(60)] + [(None, 1)], "key int, y int")
+    assert graph.hot_values(left, "key")
+    assert Counter(map(tuple, graph.spread_join(left, right, "key").select("key", "x", "y").collect())) == Counter(map(tuple, left.join(right, "key").select("key", "x", "y").collect()))
+    sets = spark.createDataFrame([(i, x) for i in range(40) for x in {0, i % 5 + 1, i % 4 + 10, 20 + i // 3}], "id int, item bigint")
+    exact = Counter()
+    items = {}
+    for r in sets.collect():
+        items.setdefault(r.id, set()).add(r.item)
+    for a in items:
+        for b in items:
+            j = len(items[a] & items[b]) / len(items[a] | items[b])
+            if a < b and j >= 0.5:
+                exact[a, b] = round(j, 6)
+    for f in (similarity.jaccard_join, similarity.lsh_jaccard):
+        assert {(r.id1, r.id2): round(r.similarity, 6) for r in f(sets).collect()} == exact
+
+
 def test_itemsets(spark):
     rows = [(k, i) for k, b in enumerate(["abc", "ab", "ac", "bc", "abcd", "d"]) for i in b]
     b = baskets.build_baskets(spark.createDataFrame(rows + rows[:3], "b int, i string"), "b", "i")
     found = lambda k: {tuple(r) for r in baskets.frequent_itemsets(b, 3, k).collect()}
     assert found(1) == {("a", 4), ("b", 4), ("c", 4)} and found(2) == {("a", "b", 3), ("a", "c", 3), ("b", "c", 3)} and found(3) == set()
     assert {(tuple(sorted(r["items"])), r.freq) for r in baskets.all_frequent(b, 3).collect()} == {(tuple(x[:-1]), x[-1]) for k in (1, 2) for x in found(k)}
+    assert {(r["items"], r.n) for r in baskets.son(b.withColumn("part", F.col("basket") % 2), 3).collect()} == {(",".join(map(str, x[:-1])), x[-1]) for k in (1, 2) for x in found(k)}
     some = {r["items"] for r in baskets.son_candidates(b.withColumn("part", F.col("basket") % 2), 3, 3).collect()}
     assert {"a", "b", "c", "a,b", "a,c", "b,c"} <= some
 
@@ -103,6 +126,29 @@ def test_recall_of_registered_lsh(spark, tmp_path):
     assert catalog.FM == catalog.HASHES == 100
 
 
+def test_features(spark):
+    user = spark.createDataFrame([("u", 10, 3, 1, 2, 4, 1, 2, 3, 4, 5, 6, 4.5, "2010-05-06", "2012, 2013"), ("v", 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1.0, "2019-01-01", "None")], readers.SCHEMAS["user"])
+    business = spark.createDataFrame([("b", "x", 4.0, 7), ("c", None, 2.0, 1)], readers.SCHEMAS["business"])
+    checkin = spark.createDataFrame([("b", {"Mon-1": 3, "Tue-2": 4})], readers.SCHEMAS["checkin"])
+    tip = spark.createDataFrame([("u", "b", 1), ("u", "b", 5), ("v", "c", 2)], readers.SCHEMAS["tip"])
+    photo = spark.createDataFrame([("b", x) for x in ("food", "menu", "inside", "other")], readers.SCHEMAS["photo"])
+    pairs = spark.createDataFrame([("u", "b"), ("v", "b"), ("u", "c"), ("w", "b")], "user_id string, business_id string")
+    made = features.pair_features(pairs, features.user_features(user), features.business_features(business, checkin, photo), features.tip_features(tip))
+    got = {(r.user_id, r.business_id): r for r in made.collect()}
+    of = lambda u, b, names: [got[u, b][c] for c in names]
+    assert of("u", "b", features.V1) == [10, 4.5, 2010, 3, 1, 7, 2, 21, 4.0, 7, 7, 5, 2, 1] and of("u", "b", features.V2) == [10, 4.5, 9, 3, 7, 2, 9, 2.1, 4.0, 7, 2, 7, 2, 2, 1]
+    assert of("v", "b", features.V2) == [0, 1.0, 0, 0, 0, 0, 0, 0.0, 4.0, 7, 2, 7, 0, 2, 1] and of("u", "c", features.V1)[8:] == [2.0, 1, 0, 0, 0, 0] and got["w", "b"].u_reviews is None
+
+
+def test_dense_ids(spark):
+    df = spark.createDataFrame([(f"k{k % 37}", k) for k in range(300)] + [(None, 0)], "v string, n int").repartition(5)
+    ids = readers.dense_ids(df, "v")
+    assert {r.value: r.id for r in ids.collect()} == {v: k for k, v in enumerate(sorted(f"k{k}" for k in range(37)))}
+    back = readers.decoded(df.join(ids, df.v == ids.value).select("n", F.col("id").alias("v")), "v", ids)
+    assert Counter((r.v, r.n) for r in back.collect()) == Counter((f"k{k % 37}", k) for k in range(300))
+    assert readers.dense_ids(df.limit(0), "v").count() == 0
+
+
 def test_item_cf(spark):
     rows = {"i1": {"u1": 5, "u2": 3, "u3": 4}, "i2": {"u1": 4, "u2": 2, "u3": 5, "u4": 3}, "i3": {"u1": 1, "u2": 5, "u4": 4}}
     r = spark.createDataFrame([(u, i, float(x)) for i, us in rows.items() for u, x in us.items()], "u string, i string, x double")
@@ -145,6 +191,10 @@ def test_reservoir(spark):
     s = spark.range(1000).select((F.col("id") / 100).cast("int").alias("batch"), F.col("id"), F.col("id").alias("seq"))
     got = sketches.reservoir(s, 50).collect()
     assert Counter(r.batch for r in got) == {b: 50 for b in range(10)} and all(r.seq < (r.batch + 1) * 100 for r in got)
+    for b in range(10):
+        want = sorted((s_ * 1_103_515_245 + 12_345) % 2_147_483_647 for s_ in range(100 * (b + 1)))[:50]
+        assert sorted((r.seq * 1_103_515_245 + 12_345) % 2_147_483_647 for r in got if r.batch == b) == want
+    assert sketches.reservoir(s.limit(0), 5).count() == 0
     chi = sum((n - 5) ** 2 / 5 for n in (sum(r.batch == 9 and r.seq // 100 == k for r in got) for k in range(10)))
     assert chi < 28
 
@@ -167,6 +217,9 @@ def test_clustering(spark):
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"review_id": "a", "stars": 4.0, "date": "2018-01-01"}\n')
     assert readers.json_lines(spark, str(tmp_path / "r.json"), "review").first().stars == 4.0
+    (tmp_path / "bad.json").write_text('{"review_id": "a", "stars"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.json_lines(spark, str(tmp_path / "bad.json"), "review").collect()
     (tmp_path / "b.csv").write_text('"d","c","x","x","x","p"\n"11/1/2000","00012","","","","000345"\n')
     assert tuple(readers.retail_baskets(spark, str(tmp_path / "b.csv")).first()) == ("11/1/00-12", "345")
     (tmp_path / "n.csv").write_text("0,1,1.5,2.5\n1,0,3,4\n")
@@ -176,6 +229,8 @@ def test_readers_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, b int").coalesce(1)
     sinks.csv_text(df, str(tmp_path / "o.csv"))
     assert (tmp_path / "o.csv").read_text() == "a,b\nx,1\ny,2"
+    sinks.csv_text(df, str(tmp_path / "o2.csv"), newline_at_end=True)
+    assert (tmp_path / "o2.csv").read_text() == "a,b\nx,1\ny,2\n"
     sinks.itemset_report([("b",), ("a", "c")], [("b",)], str(tmp_path / "i.txt"))
     assert (tmp_path / "i.txt").read_text() == "Candidates:\n('b')\n\n('a', 'c')\n\nFrequent Itemsets:\n('b')"
     sinks.community_lines([["b", "a"], ["c"]], str(tmp_path / "c.txt"))
