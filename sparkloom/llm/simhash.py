@@ -1,9 +1,11 @@
 """SimHash fingerprints, and near-duplicates among them by anchor points of a covering code.
 
-The 64 bits are cut into three blocks of 21, 21 and 22. Two fingerprints at 4 or fewer differing bits differ in at most 1 bit of some
-block. In a block, anchors are the words of a code: a Hamming code on 15 bits beside all words of the other bits, so every value
-is within R = 1 of an anchor. A fingerprint goes to its home anchor and to every anchor within R + 1 of its value, about 15 a block. If x and y
-differ in one bit of the block, y is at the home anchor of x. Comparison happens at anchors only: homes with all there.
+The 64 bits are cut into blocks: two fingerprints at 4 or fewer differing bits differ in at most 4 div blocks bits of some block. In a block, anchors are the words of a code: a Hamming code on
+each of its segments of 15 bits, beside all words of the other bits, so every value is within R = (number of segments) of an anchor. A fingerprint goes to its home anchor and to every
+anchor within R and that difference of its value. If x and y differ so little in the block, y is at the home anchor of x. Comparison happens at anchors only: homes with all there.
+
+Up to ``WIDE`` fingerprints there are three blocks of 21, 21 and 22 bits with one segment each (about 45 anchors a fingerprint, 2^17 in a block); beyond, two of 32 bits with two segments
+(about 320 anchors, 2^24 in a block), as what is compared at an anchor grows with the fingerprints for each. Links are the same either way.
 
 An anchor with more than ``PAIRS`` combinations goes to cells of at most ``CELL`` homes by ``CELL`` fingerprints. A cell returns the edges of a
 spanning forest of its links, so that a group of copies never becomes all its pairs.
@@ -12,6 +14,8 @@ spanning forest of its links, so that a group of copies never becomes all its pa
 from __future__ import annotations
 
 import json
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,8 +29,9 @@ from sparkloom.operators.graph import lookup
 from sparkloom.session import cut
 
 SHINGLE, DISTANCE = 4, 4
-#: First bit and bits of each block, and the bits of the Hamming code.
-BLOCKS, CODE = ((0, 21), (21, 21), (42, 22)), 15
+#: Bits of a Hamming code; first bit and bits of each block, and how many segments have such a code: for few fingerprints and for many.
+CODE = 15
+NARROW, BROAD, WIDE = (((0, 21), (21, 21), (42, 22)), 1), (((0, 32), (32, 32)), 2), 50_000_000
 PAIRS, CELL = 16_384, 4_096
 #: Fingerprints of a task that makes anchors.
 SPREAD = 50_000
@@ -60,47 +65,51 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     return df.withColumn(out, run(F.col(f"`{text}`").cast("string")))
 
 
-def _fixes() -> tuple[np.ndarray, list[list[int]]]:
-    """For each syndrome: the bit that leads to the home word, and all masks within 2 bits that lead to a word of the code."""
-    near: list[list[int]] = [[] for _ in range(CODE + 1)]
-    for i in range(1, CODE + 1):
-        near[i].append(1 << (i - 1))
-        for j in range(i + 1, CODE + 1):
-            near[i ^ j].append(1 << (i - 1) | 1 << (j - 1))
-    near[0].append(0)
-    return np.array([0, *(1 << (i - 1) for i in range(1, CODE + 1))], dtype=np.int64), near
-
-
-HOME, NEAR = _fixes()
-
-
-def masks(bits: int) -> list[list[int]]:
-    """For each syndrome, what a block's value is xored with to give the anchors within 2 bits, its home first."""
-    high = [1 << CODE + i for i in range(bits - CODE)]
-    pairs = [a ^ b for k, a in enumerate(high) for b in high[:k]]
-    return [[int(home), *(m for m in near if m != home), *(int(home) ^ h for h in high), *(pairs if not s else [])] for s, (home, near) in enumerate(zip(HOME, NEAR, strict=True))]
+def syndrome(value: int, segments: int) -> int:
+    """Four bits for each segment: the xor of the numbers (from 1) of its set bits, which is 0 for words of the code, and else the number of the bit that leads to one."""
+    out = 0
+    for k in range(segments):
+        own = value >> CODE * k & ((1 << CODE) - 1)
+        out |= sum(((own & m).bit_count() & 1) << b for b, m in enumerate(PARITY)) << 4 * k
+    return out
 
 
 #: For each bit of a syndrome, the places whose parity it is.
 PARITY = [sum(1 << (i - 1) for i in range(1, CODE + 1) if i >> b & 1) for b in range(4)]
 
 
-def anchors_of(value: int, bits: int) -> list[int]:
-    """The anchors within 2 bits of a block's value, its home first."""
-    syndrome = sum(((value & m).bit_count() & 1) << b for b, m in enumerate(PARITY))
-    return [value ^ m for m in masks(bits)[syndrome]]
+@cache
+def masks(bits: int, segments: int, apart: int) -> list[list[int]]:
+    """For each syndrome, what a block's value is xored with to give the anchors within ``segments`` + ``apart`` bits of it, its home first."""
+    out: list[list[int]] = []
+    for s in range(16**segments):
+        numbers = [s >> 4 * k & 15 for k in range(segments)]
+        out.append([sum(1 << CODE * k + n - 1 for k, n in enumerate(numbers) if n)])
+    for weight in range(segments + apart + 1):
+        for places in combinations(range(bits), weight):
+            mask = sum(1 << p for p in places)
+            own = out[syndrome(mask, segments)]
+            if mask != own[0]:
+                own.append(mask)
+    return out
+
+
+def anchors_of(value: int, bits: int, segments: int = 1, apart: int = 1) -> list[int]:
+    """The anchors of a block's value, its home first."""
+    return [value ^ m for m in masks(bits, segments, apart)[syndrome(value, segments)]]
 
 
-def _anchor_keys(fp: Column) -> Column:
-    """Keys of the anchors of all blocks: 2 * (block << 22 | anchor), plus 1 at homes; by built-in functions."""
+def _anchor_keys(fp: Column, layout: tuple, distance: int) -> Column:
+    """Keys of the anchors of all blocks: 2 * (block, anchor), plus 1 at homes; by built-in functions."""
+    blocks, segments = layout
 
     def of(block: int, first: int, bits: int) -> Column:
         value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
-        syndrome = sum((F.pmod(F.bit_count(value.bitwiseAND(F.lit(m))), F.lit(2)) * (1 << b) for b, m in enumerate(PARITY)), F.lit(0))
-        listed = F.from_json(F.lit(json.dumps(masks(bits))), "array<array<bigint>>")  # folded to a literal
-        return F.transform(F.element_at(listed, syndrome + 1), lambda m, j: (value.bitwiseXOR(m) + (block << 22)) * 2 + F.when(j == 0, 1).otherwise(0))
+        parity = [F.pmod(F.bit_count(value.bitwiseAND(F.lit(m << CODE * k))), F.lit(2)) * (1 << b + 4 * k) for k in range(segments) for b, m in enumerate(PARITY)]
+        listed = F.from_json(F.lit(json.dumps(masks(bits, segments, distance // len(blocks)))), "array<array<bigint>>")  # folded to a literal
+        return F.transform(F.element_at(listed, sum(parity, F.lit(0)) + 1), lambda m, j: (value.bitwiseXOR(m) + (block << 33)) * 2 + F.when(j == 0, 1).otherwise(0))
 
-    return F.concat(*(of(k, first, bits) for k, (first, bits) in enumerate(BLOCKS)))
+    return F.concat(*(of(k, first, bits) for k, (first, bits) in enumerate(blocks)))
 
 
 def _forest(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
@@ -131,10 +140,11 @@ def _forest(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) that connect what is linked among distinct fingerprints (column fp)."""
     if not 0 <= distance <= 4:
-        raise ValueError("three blocks cover distances up to 4")
-    # a fingerprint becomes about 45 rows, so they are spread before
-    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SPREAD))
-    at = distinct.repartition(spread).select("fp", F.explode(_anchor_keys(F.col("fp"))).alias("k")).select("fp", F.shiftright("k", 1).alias("key"), (F.col("k") % 2 == 1).alias("home"))
+        raise ValueError("the codes cover distances up to 4")
+    # a fingerprint becomes about 45 rows, or 320, so they are spread before
+    many = distinct.count()
+    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-many // SPREAD))
+    at = distinct.repartition(spread).select("fp", F.explode(_anchor_keys(F.col("fp"), NARROW if many <= WIDE else BROAD, distance)).alias("k")).select("fp", F.shiftright("k", 1).alias("key"), (F.col("k") % 2 == 1).alias("home"))
     sizes = at.groupBy("key").agg(F.count_if("home").alias("h"), F.count("*").alias("p")).where("h > 0 and p > 1")
     hot = sizes.where(F.col("h") * F.col("p") > PAIRS).select("key", F.ceil(F.col("h") / CELL).alias("nh"), F.ceil(F.col("p") / CELL).alias("np"))
     hot = cut(hot)
