@@ -33,7 +33,7 @@ SYMBOLS = 1 + OWN + CLASSES
 #: Rounds of Baum-Welch end when one gains less than GAIN in log10 a token, or after ROUNDS of them.
 ROUNDS, GAIN = 50, 0.004
 #: Tokens of a block, of a piece of a long text, and cells (pieces by tokens) that are worked on at a time; steps between two scalings.
-BLOCK, PIECE, CELLS, SCALE = 1_000_000, 16_384, 524_288, 4
+BLOCK, PIECE, CELLS, SCALE = 3_000_000, 16_384, 524_288, 4
 #: An infrequent word's shares of the states travel as numbers of BITS bits, A_LONG in a long.
 BITS, A_LONG = 10, 6
 #: Distinct words that a task counts before it sends them on, and tasks of the table of blocks that make one of a round's.
