@@ -116,6 +116,106 @@ def test_pii_bootstrap_grows(spark):
     assert got["plain zed4455667 number"] == [] and got["plain 444 123 4567 number"] == []
 
 
+SPACE = r"[ \t\n\x0b\f\r]"
+WORD_ = rf"(?:[\p{{L}}\p{{N}}]++|(?!{SPACE})[^\p{{L}}\p{{N}}])"
+
+
+def plain_matches(text, core, barred):
+    """(start, end, word before, word after) of leftmost matches that don't overlap; one begins where the last ended or not behind a barred character."""
+    import regex
+
+    core, out, last = regex.compile(core), [], 0
+    s = 0
+    while s <= len(text):
+        m = core.match(text, s) if s == last or not s or not regex.match(barred, text[s - 1]) else None
+        if not m or m.end() == s:
+            s += 1
+            continue
+        before = regex.search(rf"(?<![\p{{L}}\p{{N}}])({WORD_}){SPACE}*+$", text[last:s])
+        out.append((s, m.end(), before[1] if before else "", regex.match(rf"{SPACE}*+({WORD_}?+)", text[m.end() :])[1]))
+        last = s = m.end()
+    return out
+
+
+def plain_bootstrap(texts_):
+    """Spans of every text by plain loops: the base's matches, the candidates, the graph and its rounds."""
+    cores = {"email": (r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]"), "ip": (r"[0-9]++(?:\.[0-9]++){3}", "[0-9]"), "card": (r"[0-9](?:[\x20-]?[0-9])++", "(?!)"), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "(?!)")}
+    base, free, edges = [], [], {}
+    for t in texts_:
+        valid = {(a, b) for a, _, b, _ in base_spans(t)}
+        own = [(a, list(cores).index(kind), b, kind, w, x) for kind, (core, barred) in cores.items() for a, b, w, x in plain_matches(t, core, barred) if (a, list(cores).index(kind), b, kind) in base_spans(t)]
+        assert {(a, b) for a, _, b, *_ in own} == valid
+        some = [m for m in plain_matches(t, r"[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+", r"[A-Za-z0-9._%+@-]") if sum(c in "0123456789" for c in t[m[0] : m[1]]) >= 5 or "@" in t[m[0] : m[1]]]
+        some += [m for m in plain_matches(t, r"\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++", "[A-Za-z0-9]") if sum(c in "0123456789" for c in t[m[0] : m[1]]) >= 5 and re.search("[ ()]", t[m[0] : m[1]])]
+        some = [m for m in some if not any(a < m[1] and b > m[0] for a, _, b, *_ in own)]
+        base.append(sorted(own))
+        free.append(some)
+        for a, _, b, kind, w, x in own:
+            for q in plain_patterns(w, x):
+                edges[q, t[a:b].lower()] = max(kind, edges.get((q, t[a:b].lower())) or "")
+        for a, b, w, x in some:
+            for q in plain_patterns(w, x):
+                edges.setdefault((q, t[a:b].lower()), None)
+    size = Counter(q for q, _ in edges)
+    edges = {e: kind for e, kind in edges.items() if size[e[0]] >= pii.CONFIDENT * (size[e[0]] + 1)}
+    scores, before = {}, -1
+    for _ in range(pii.ROUNDS):
+        mass, sure = Counter(), set()
+        for (q, _), kind in edges.items():
+            if kind:
+                mass[q, kind] += 1
+                sure.add((q, kind))
+        for (q, i), kind in edges.items():
+            for k in cores:
+                if not kind and (i, k) in scores:
+                    mass[q, k] += scores[i, k]
+                    if round(scores[i, k], 9) >= pii.ACCEPT:
+                        sure.add((q, k))
+        confidence = {x: mass[x] / (size[x[0]] + 1) for x in sure if mass[x] / (size[x[0]] + 1) >= pii.CONFIDENT}
+        wrong = {}
+        for (q, i), kind in edges.items():
+            for k in cores:
+                if not kind and (q, k) in confidence:
+                    wrong[i, k] = wrong.get((i, k), 1.0) * max(1 - confidence[q, k], 1e-9)
+        scores = {x: 1 - v for x, v in wrong.items()}
+        now = sum(round(v, 9) >= pii.ACCEPT for v in scores.values())
+        if now == before:
+            break
+        before = now
+    best = {}
+    for (i, k), v in scores.items():
+        if round(v, 9) >= pii.ACCEPT:
+            best[i] = max(best.get(i, (-1, 0)), (round(v, 9), -list(cores).index(k)))
+    out = []
+    for t, own, some in zip(texts_, base, free, strict=True):
+        got = [(a, b, -best[t[a:b].lower()][1]) for a, b, *_ in some if t[a:b].lower() in best]
+        got = [(a, r, b, list(cores)[r]) for a, b, r in got if not any(c < b and d > a and d - c > b - a for c, d, _ in got)]
+        out.append(sorted([x[:4] for x in own] + got))
+    return out
+
+
+def plain_patterns(before, after):
+    left, right = (re.sub("[0-9]", "0", x.lower()) for x in (before, after))
+    return [q for q, there in ((f"L {left}", left), (f"R {right}", right), (f"B {left} {right}", left and right)) if there]
+
+
+def test_pii_against_plain_loops(spark, small):
+    r = random.Random(9)
+    names = ["mail", "write to", "server", "card no", "dial", "id", "ref:", "kontakt", "(", "\u00e9crire"]
+    values = [lambda: f"u{r.randrange(99)}@x{r.randrange(9)}.org", lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: "4111 1111 1111 1111", lambda: f"+1 302 555 0{r.randrange(100, 999)}", lambda: f"ab{r.randrange(10**5, 10**6)}", lambda: f"{r.randrange(100, 999)} 555 {r.randrange(1000, 9999)}", lambda: f"(302) 555 0{r.randrange(100, 999)}", lambda: f"user{r.randrange(50)}@local"]
+    made = []
+    for k, kind in enumerate(names[:6]):
+        made += [f"{kind} {values[k % 4]()} please, now" for _ in range(40)] + [f"{kind} {r.choice(values)()} please" for _ in range(4)]
+    made += [" ".join(f"{r.choice(names)} {r.choice(values)()} {r.choice(['ok', 'please', ';', '12'])}" for _ in range(6)) for _ in range(60)] + texts()[1:]
+    for rows in (made, [x.text or "" for x in small.collect()]):
+        df = spark.createDataFrame(list(enumerate(rows)), "k int, text string").repartition(3)
+        got = {x.k: [(s_.start, s_.rank, s_.end, s_.kind) for s_ in x.spans] for x in pii.extract(df, keep=["k"]).collect()}
+        want = plain_bootstrap(rows)
+        assert [got[k] for k in range(len(rows))] == want
+        if rows is made:
+            assert sum(map(len, want)) > sum(len(base_spans(t)) for t in rows) + 10
+
+
 def test_pii_clashes_and_redaction(spark):
     names = ["free", "seen", "extra", "spans", "base", "row", "head", "body", "kind", "instance", "pattern", "rank"]
     texts_ = [None, "", "a@b.co", "to a@b.co, 1.2.3.4 and 4111 1111 1111 1111; +1 (302) 555-0171!", "日本 a@b.co 😀 c@d.org", "no", "x@y.com" * 3]
@@ -389,6 +489,24 @@ def test_quality(spark):
     assert 0 < quality.score(quality.fit([], []), "x") < 1
 
 
+def test_quality_score_by_loops():
+    """A score is what plain loops over the chunks' places give."""
+    net, r = quality.Network.fresh(3), random.Random(4)
+    net.offset = 0.3
+    for text in (None, "", "x", "héllo", "".join(r.choice("abc é日\n") for _ in range(1500))):
+        raw = (text or "").encode()
+        raw = raw + b"\0" * (quality.WIDTH if not raw else quality.WIDTH - 1)
+        places, chunks, begin = len(raw) - quality.WIDTH + 1, [], 0
+        while True:
+            own = range(begin, min(places, begin + quality.CHUNK))
+            chunks.append([math.tanh(max(sum(float(net.filters[j][raw[i + j]][f]) for j in range(quality.WIDTH)) for i in own) + float(net.bias[f])) for f in range(quality.FILTERS)])
+            if begin + quality.CHUNK >= places:
+                break
+            begin += quality.CHUNK - quality.OVERLAP
+        z = net.offset + sum(float(net.mean[f]) * sum(c[f] for c in chunks) / len(chunks) + float(net.peak[f]) * max(c[f] for c in chunks) for f in range(quality.FILTERS))
+        assert quality.score(net, text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
 def test_keep_good(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
     clash = docs.withColumns({"QUALITY_SCORE_": F.lit(1), "quality": F.lit("q"), "hash": F.lit("h")})
@@ -483,8 +601,9 @@ def test_simhash(spark, docs, small):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("pairs_", [16_384, 0])
-def test_links_of_fingerprints(spark, monkeypatch, pairs_):
+@pytest.mark.parametrize(("pairs_", "wide"), [(16_384, 10**9), (0, 10**9), (16_384, 0), (0, 0)])
+def test_links_of_fingerprints(spark, monkeypatch, pairs_, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
     r = random.Random(4)
     prints = {r.getrandbits(64) for _ in range(300)}
     for p in list(prints)[:120]:
@@ -511,14 +630,16 @@ def test_simhash_of_hot_copies(spark):
     assert Counter(c for _, c in got.values()).most_common(1)[0][1] >= 100
 
 
-def test_anchors_cover():
+@pytest.mark.parametrize(("bits", "segments", "apart"), [(21, 1, 1), (22, 1, 1), (32, 2, 2)])
+def test_anchors_cover(bits, segments, apart):
     r = random.Random(6)
-    for bits in (21, 22):
-        for _ in range(3000):
-            x = r.getrandbits(bits)
-            for y in [x, *(x ^ 1 << b for b in range(bits))]:
-                assert simhash.anchors_of(x, bits)[0] in simhash.anchors_of(y, bits)
-            assert len(set(simhash.anchors_of(x, bits))) == len(simhash.anchors_of(x, bits))
+    for _ in range(60):
+        x = r.getrandbits(bits)
+        own = simhash.anchors_of(x, bits, segments, apart)
+        assert len(set(own)) == len(own) and not any(simhash.syndrome(a, segments) for a in own) and (own[0] ^ x).bit_count() <= segments
+        for _ in range(60):
+            y = x ^ sum(1 << b for b in r.sample(range(bits), r.randint(0, apart)))
+            assert own[0] in simhash.anchors_of(y, bits, segments, apart)
 
 
 def test_keep_one(spark, docs):
