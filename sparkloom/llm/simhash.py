@@ -191,7 +191,9 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance
     rank = F.struct(F.col("i").isNull().alias("n"), "i", "h")
     best = prints.groupBy("fp").agg(F.min(rank).alias("r")).join(component_of(prints, distance), "fp").groupBy("root").agg(F.min("r").alias("r"))
     best = best.select(F.col("r.i").alias("i"), F.col("r.h").alias("h"))
-    kept = marked.join(best, marked[name_id].eqNullSafe(best.i) & (marked[name_h] == best.h), "left_semi")
+    # rows are dealt by their hash alone, for the join and for what follows; ids are compared beside it
+    same_id = F.coalesce(marked[name_id] == best.i, marked[name_id].isNull() & best.i.isNull())
+    kept = marked.join(best, (marked[name_h] == best.h) & same_id, "left_semi")
     return kept.dropDuplicates([name_id, name_h]).drop(name_id, name_h)
 
 
