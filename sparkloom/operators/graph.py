@@ -180,6 +180,12 @@ def _credits(both: DataFrame, roots: DataFrame, credit: str) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
+def most_between(betweenness: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """The edges of the greatest betweenness, equal ones included, up to a relative tolerance: what a step of a split takes away."""
+    most = betweenness.agg(F.max("betweenness").alias("most_"))
+    return betweenness.join(F.broadcast(most)).where(F.col("betweenness") >= F.col("most_") * (1 - tolerance)).drop("most_")  # one row
+
+
 def split_graph(pairs: list[tuple], patience: int = 20, credit: str = "paths", current: bool = False) -> list[list]:
     """Communities of the best modularity while the edges of highest betweenness are removed, all equal ones at a time."""
     near, m = _adjacency(pairs), len(pairs)

@@ -111,6 +111,13 @@ def robust_avg(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(tiered_mean("l_quantity"), 6).alias("base"))
 
 
+@register("SELECT l_suppkey, string_agg(l_linenumber, ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY 1")
+def value_lists(spark, d):
+    """All values of a key as a list, in order."""
+    lists = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("v"))
+    return lists.select("l_suppkey", F.array_join("v", ",").alias("lines"))
+
+
 # Baskets -----------------------------------------------------------------------------------------------------------
 
 BASKETS = "SELECT DISTINCT l_orderkey AS b, l_partkey AS i FROM lineitem"
@@ -478,6 +485,12 @@ def edge_betweenness(spark, d):
     return graph.edge_betweenness(cut(_edges(spark, d))).withColumn("betweenness", F.round("betweenness", 5))
 
 
+@register(f"SELECT * FROM ({between_sql('paths')}) QUALIFY betweenness >= max(betweenness) OVER () * (1 - 1e-9)")
+def most_between(spark, d):
+    """Edges of the greatest betweenness."""
+    return graph.most_between(cut(edge_betweenness(spark, d)))
+
+
 @register(between_sql("indegree"))
 def edge_betweenness_indegree(spark, d):
     return graph.edge_betweenness(cut(_edges(spark, d)), "indegree").withColumn("betweenness", F.round("betweenness", 5))
@@ -612,6 +625,15 @@ def retail_round_trip(spark, d):
     return readers.retail_baskets(spark, path).groupBy("basket", "item").agg(F.count("*").alias("n"))
 
 
+@register("SELECT strftime(o_orderdate, '%-m/%-d/%y') || '-' || o_custkey AS basket, l_partkey + 1 AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def preprocessed_round_trip(spark, d):
+    """Baskets out as DATE-CUSTOMER_ID,PRODUCT_ID and back."""
+    path, lines, orders = _files(spark), table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    sinks.preprocessed_csv(rows.select(F.concat_ws("-", F.date_format("o_orderdate", "M/d/yy"), F.col("o_custkey").cast("string")).alias("basket"), (F.col("l_partkey") + 1).alias("item")), path)
+    return readers.csv(spark, path, "basket string, item bigint")
+
+
 @register("SELECT 40 * 25 AS n, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS kinds, 40 AS asks")
 def drawn_ids(spark, d):
     """Facts of a stream of draws: rows, the ids that occur, and the asks."""

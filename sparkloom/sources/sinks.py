@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import time
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
@@ -22,6 +23,26 @@ def csv_files(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def preprocessed_csv(baskets: DataFrame, path: str) -> None:
+    """Baskets of readers.retail_baskets() as DATE-CUSTOMER_ID,PRODUCT_ID, by Spark's own writer."""
+    csv_files(baskets.select(baskets.basket.alias("DATE-CUSTOMER_ID"), baskets.item.alias("PRODUCT_ID")), path)
+
+
+def print_table(df: DataFrame, rows: int = 10) -> None:
+    """Header and the first rows on standard output, comma-separated."""
+    print(",".join(df.columns))
+    for row in df.limit(rows).collect():  # as many as asked for
+        print(",".join("" if x is None else str(x) for x in row))
+
+
+def timed(task: Callable, *args):
+    """What a task returns; its whole seconds go to standard output."""
+    began = time.perf_counter()
+    out = task(*args)
+    print(f"Duration: {int(time.perf_counter() - began)}")
+    return out
+
+
 def json_report(values: dict, path: str) -> None:
     """One object of scalars, pairs and nested objects."""
     with open(path, "w") as out:

@@ -214,7 +214,7 @@ def test_clustering(spark):
     assert best >= 560
 
 
-def test_readers_and_sinks(spark, tmp_path):
+def test_readers_and_sinks(spark, tmp_path, capsys):
     (tmp_path / "r.json").write_text('{"review_id": "a", "stars": 4.0, "date": "2018-01-01"}\n')
     assert readers.json_lines(spark, str(tmp_path / "r.json"), "review").first().stars == 4.0
     (tmp_path / "bad.json").write_text('{"review_id": "a", "stars"')
@@ -231,6 +231,10 @@ def test_readers_and_sinks(spark, tmp_path):
     assert (tmp_path / "o.csv").read_text() == "a,b\nx,1\ny,2"
     sinks.csv_text(df, str(tmp_path / "o2.csv"), newline_at_end=True)
     assert (tmp_path / "o2.csv").read_text() == "a,b\nx,1\ny,2\n"
+    pairs = spark.createDataFrame([(3, 4, 0.5), (1, 9, 0.75), (1, 2, 1.0)], "id1 int, id2 int, similarity double")
+    sinks.csv_text(pairs.orderBy("id1", "id2"), str(tmp_path / "p.csv"))
+    assert (tmp_path / "p.csv").read_text() == "id1,id2,similarity\n1,2,1.0\n1,9,0.75\n3,4,0.5"
+    assert sinks.timed(sinks.print_table, df, 1) is None and capsys.readouterr().out.startswith("a,b\nx,1\nDuration: ")
     sinks.itemset_report([("b",), ("a", "c")], [("b",)], str(tmp_path / "i.txt"))
     assert (tmp_path / "i.txt").read_text() == "Candidates:\n('b')\n\n('a', 'c')\n\nFrequent Itemsets:\n('b')"
     sinks.community_lines([["b", "a"], ["c"]], str(tmp_path / "c.txt"))
