@@ -32,6 +32,8 @@ GROUP = r"(?:\G|(?<![A-Za-z0-9]))\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++"
 #: A neighbouring word: letters and digits, or one other character that is no space. It is looked for in CONTEXT characters first, and without a bound where it fills these.
 WORD, CONTEXT = r"(?:[\p{L}\p{N}]++|[^\s\p{L}\p{N}])", 40
 ROUNDS, CONFIDENT, ACCEPT = 20, 0.7, 0.9
+#: Most accepted spans that go to every worker when they are put back beside their texts; more meet them in a shuffled join.
+SENT_BACK = 200_000
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -131,7 +133,9 @@ def _found(rows: DataFrame, whole: bool) -> DataFrame:
     free = found.where("size(free) > 0").select("row", F.explode("free").alias("f")).withColumn("instance", F.lower("f.value"))
     extra = lookup(free, accepted, "instance").groupBy("row").agg(F.collect_list(F.struct(F.col("f.start").alias("start"), F.col("rank"), F.col("f.end").alias("end"), F.col("kind"), F.col("f.value").alias("value"))).alias("extra"))
     longest = F.filter("extra", lambda m: ~F.exists("extra", lambda x: (x["start"] < m["end"]) & (x["end"] > m["start"]) & (x["end"] - x["start"] > m["end"] - m["start"])))
-    out = found.select("row", *kept, "base").join(extra.select("row", longest.alias("extra")), "row", "left")
+    extra = cut(extra.select("row", longest.alias("extra")))
+    few = extra.agg(F.coalesce(F.sum(F.size("extra") + 1), F.lit(0))).first()[0] <= SENT_BACK
+    out = found.select("row", *kept, "base").join(F.broadcast(extra) if few else extra, "row", "left")
     return out.select(*kept, "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPANS)))).alias("spans"))
 
 

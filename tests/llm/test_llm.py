@@ -93,7 +93,9 @@ def test_pii_base(spark, docs, small):
     assert pii.extract(empty(spark)).count() == 0
 
 
-def test_pii_bootstrap(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_pii_bootstrap(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "SENT_BACK", sent)
     rows = [(i, f"customer reference user{i}@mail.com confirmed today") for i in range(30)] + [(100, "customer reference joe19876543 confirmed today"), (101, "plain 987654 number"), (102, None)]
     got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.extract(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got[100] == [("email", "joe19876543")] and got[101] == [] and got[102] == [] and len(got[5]) == 1
