@@ -174,8 +174,8 @@ SETS = f"""WITH t AS ({BASKETS}), s AS (SELECT i FROM t GROUP BY 1 HAVING count(
 
 @register(SETS + " SELECT k, items, n FROM a WHERE n >= 4")
 def son_frequent(spark, d):
-    """Both passes: candidates of four parts, then their counts over all baskets."""
-    return baskets.son(_baskets(spark, d).withColumn("part", F.pmod("basket", F.lit(4))), 4)
+    """Both passes: candidates of two parts, then their counts over all baskets."""
+    return baskets.son(_baskets(spark, d).withColumn("part", F.pmod("basket", F.lit(2))), 4)
 
 
 @register(SETS + " SELECT k, items, n FROM a WHERE n >= 4")
