@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import tiered_mean
 from sparkloom.operators.graph import spread_join
-from sparkloom.session import cut
+from sparkloom.session import cut, cut_table, drop_table
+
+#: Pairs of items that item_similarity() adds up in a turn, and the items that a user has in a list; users with more are joined with themselves.
+TURN_PAIRS, LONG_LIST = 100_000_000, 2_048
 
 
 def rounded_mean(x: str) -> F.Column:
@@ -26,15 +31,41 @@ def item_means(r: DataFrame) -> DataFrame:
 
 
 def item_similarity(r: DataFrame, means: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(i, j, w), both ways round, w > 0: correlation of the deviations from each item's own mean over common raters. targets: distinct i, to which the first item is held."""
-    d = cut(r.join(means.select("i", "mu"), "i").select("u", "i", (F.col("x") - F.col("mu")).alias("d")))
-    a, b = d.select("u", "i", F.col("d").alias("di")), d.select("u", F.col("i").alias("j"), F.col("d").alias("dj"))
+    """(i, j, w), both ways round, w > 0: correlation of the deviations from each item's own mean over common raters. targets: distinct i, to which the first item is held.
+
+    A user's items are lists, those with the fewest raters first. Each item goes, with what follows it in the list, to the task that adds up all of its pairs: pairs are made there and never shuffled, and
+    a popular item gets few. This is done in turns of about TURN_PAIRS pairs by a hash of the item; a turn's shuffle files are removed before the next one's.
+    """
+    held = means.select("i", "mu", "n", F.lit(True).alias("t"))
     if targets is not None:
-        sums = spread_join(cut(a.join(targets, "i", "left_semi")), b, "u").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
-        return sums.where("a > 0 AND b > 0 AND p > 0").select("i", "j", (F.col("p") / F.sqrt(F.col("a") * F.col("b"))).alias("w"))
-    sums = spread_join(a, b, "u").where("i < j").groupBy("i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
-    half = sums.where("a > 0 AND b > 0 AND p > 0").select("i", "j", (F.col("p") / F.sqrt(F.col("a") * F.col("b"))).alias("w"))
-    return half.union(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+        held = held.drop("t").join(targets.select("i", F.lit(True).alias("t")), "i", "left").fillna(False, ["t"])
+    d = cut_table(r.where("u IS NOT NULL").join(held, "i").select("u", "i", "n", "t", (F.col("x") - F.col("mu")).alias("d")))
+    long = cut(d.groupBy("u").agg(F.count("*").alias("items")).where(F.col("items") > LONG_LIST).select("u"))
+    some = not long.isEmpty()
+    listed = (d.join(long, "u", "left_anti") if some else d).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("n", "i", "d", "t"))).alias("v"))
+    lists = cut_table(listed.where("size(v) > 1 AND exists(v, e -> e.t)").select(F.col("v.i").alias("js"), F.col("v.d").alias("ds"), F.col("v.t").alias("ts")))
+    wide = cut_table(d.join(long, "u", "left_semi"))
+    drop_table(d)
+    a, b = (wide.select("u", *[F.col(x).alias(f"{x}{k}") for x in ("i", "n", "t", "d")]) for k in (1, 2))
+    pairs = sum(x.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0 for x in (lists.select(F.size("js").alias("n")), wide.groupBy("u").agg(F.count("*").alias("n"))))
+    turns, out = max(1, int(-(-pairs // TURN_PAIRS))), []
+    for turn in range(turns):
+        mine = lambda x: F.pmod(F.xxhash64(x), F.lit(turns)) == turn
+        after = lambda x: F.slice(x, F.col("k") + 2, F.size(x))
+        rows = lists.select(F.posexplode("js").alias("k", "i"), "js", "ds", "ts").where(mine("i") & (F.col("k") + 1 < F.size("js")))
+        rows = rows.select("i", F.get("ds", F.col("k")).alias("di"), F.get("ts", F.col("k")).alias("ti"), after("js").alias("js"), after("ds").alias("ds"), after("ts").alias("ts")).where("ti OR array_contains(ts, true)")
+        met = rows.repartition("i").select("i", "di", "ti", F.posexplode("js").alias("k", "j"), "ds", "ts").select("i", "j", "di", F.get("ds", F.col("k")).alias("dj"), "ti", F.get("ts", F.col("k")).alias("tj"))
+        if some:
+            both = spread_join(a.where(mine("i1")), b, "u").where("struct(n1, i1) < struct(n2, i2)")
+            met = met.union(both.select(F.col("i1").alias("i"), F.col("i2").alias("j"), F.col("d1").alias("di"), F.col("d2").alias("dj"), F.col("t1").alias("ti"), F.col("t2").alias("tj")))
+        sums = met.where("i <> j AND (ti OR tj)").groupBy("i", "j", "ti", "tj").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
+        out.append(cut_table(sums.where("a > 0 AND b > 0 AND p > 0").select("i", "j", "ti", "tj", (F.col("p") / F.sqrt(F.col("a") * F.col("b"))).alias("w"))))
+    drop_table(lists)
+    drop_table(wide)
+    half = reduce(DataFrame.union, out)
+    if targets is None:
+        return half.select("i", "j", "w").union(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    return half.where("ti").select("i", "j", "w").union(half.where("tj").select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
 
 def item_cf(r: DataFrame, tests: DataFrame, discount: bool = True, least_neighbours: int = 0, cold: float = 3.0) -> DataFrame:

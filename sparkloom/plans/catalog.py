@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import hash_terms, text_hash, tiered_mean
 from sparkloom.operators import baskets, clustering, features, graph, recommend, similarity, sketches
-from sparkloom.session import cut, shared_path
+from sparkloom.session import cut, cut_table, shared_path
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import sketches as streams
 
@@ -246,7 +246,7 @@ def cf_sql(weight, enough):
 
 def _ratings(spark, d):
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return cut(recommend.ratings(lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("x", F.col("l_quantity") / 10), "o_custkey", "l_suppkey", "x"))
+    return cut_table(recommend.ratings(lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("x", F.col("l_quantity") / 10), "o_custkey", "l_suppkey", "x"))
 
 
 def _tests(r):

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that cut_table() made and nobody dropped: they are removed when the driver's process ends.
 _LEFT: dict[str, DataFrame] = {}
 
@@ -66,10 +68,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed table in the shared folder: for large intermediate results."""
+    """As cut(), but as a compressed table in the shared folder: for large intermediate results. The shuffle files that it took are removed at once."""
     spark = df.sparkSession
-    path = shared_path(spark, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = shared_path(spark, "table"), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     _LEFT[path] = made
     return made

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import columns
 from sparkloom.operators import baskets, clustering, features, graph, recommend, similarity, sketches
 from sparkloom.plans import catalog
+from sparkloom.session import CLEANUP, cut_table
 from sparkloom.sources import readers, sinks
 from sparkloom.streaming import sketches as streams
 
@@ -160,6 +162,40 @@ def test_item_cf(spark):
     assert got[("u4", "i1")] == pytest.approx(3.6) and got[("new", "i1")] == 4.0 and got[("u4", "new")] == 3.5 and got[("new", "new")] == 3.0
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    there = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = there()
+    made = cut_table(spark.range(1000).groupBy(F.col("id") % 7).count())
+    for _ in range(50):  # they go in the background
+        if not (left := there() - before):
+            break
+        time.sleep(0.2)
+    assert not left and made.count() == 7 and spark.conf.get(CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("long_list", [3, 100])
+def test_item_similarity_in_turns(spark, monkeypatch, long_list):
+    """As a plain loop has it, in one turn or many, with users whose items are lists or not."""
+    rng = random.Random(3)
+    rows = sorted({(u, rng.randrange(12)) for u in range(30) for _ in range(rng.randrange(9))})
+    r = spark.createDataFrame([(u, i, float(rng.randrange(1, 6))) for u, i in rows], "u bigint, i bigint, x double")
+    means, mu = recommend.item_means(r), {m.i: m.mu for m in recommend.item_means(r).collect()}
+    of = {(x.u, x.i): x.x - mu[x.i] for x in r.collect()}
+    want = {}
+    for i in mu:
+        for j in mu:
+            both = [(of[u, i], of[u, j]) for u in range(30) if i != j and (u, i) in of and (u, j) in of]
+            p, a, b = (sum(f(x, y) for x, y in both) for f in (lambda x, y: x * y, lambda x, y: x * x, lambda x, y: y * y))
+            if p > 1e-9:
+                want[i, j] = pytest.approx(p / math.sqrt(a * b))
+    monkeypatch.setattr(recommend, "LONG_LIST", long_list, raising=False)
+    for pairs in (40, 10_000):
+        monkeypatch.setattr(recommend, "TURN_PAIRS", pairs, raising=False)
+        for only in (None, [2, 5]):
+            found = recommend.item_similarity(r, means, None if only is None else spark.createDataFrame([(i,) for i in only], "i bigint"))
+            assert {(s.i, s.j): s.w for s in found.collect() if s.w > 1e-9} == {k: w for k, w in want.items() if only is None or k[0] in only}
+
+
 def test_columns(spark):
     one = lambda *c: tuple(spark.range(1).select(*c).first())
     assert one(*[columns.trailing_zeros(F.lit(x)) for x in (0, 1, 8, 12, 65536)]) == (16, 0, 3, 2, 16)
