@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import linear_hash
-from sparkloom.operators.graph import hot_values, lookup, spread_join
-from sparkloom.session import cut
+from sparkloom.operators.graph import HOT_SHARE, LEAST_HOT, hot_values, lookup, spread_join
+from sparkloom.session import cut, cut_table, drop_part, drop_table
 
 PRIME = 2_147_483_647
+#: Rows of bands that are joined in a turn, and groups in which the pairs of several turns are made distinct.
+TURN_ROWS, GROUPS = 20_000_000, 8
 
 
 def as_arrays(sets: DataFrame) -> DataFrame:
@@ -46,18 +50,60 @@ def minhash(sets: DataFrame, hashes: int) -> DataFrame:
     return agg.select("id", F.array(*[f"h{k}" for k in range(hashes)]).alias("sig"))
 
 
+def least_hashes(k: int) -> F.Column:
+    """Value k of minhash()'s signature, from a set as an array in column items."""
+    return F.array_min(F.transform("items", lambda x: linear_hash(x, k, PRIME)))
+
+
+def _met(own: DataFrame, hashes: int, rows: int, beside: list[str], value=least_hashes):
+    """For one turn of bands after the other, the pairs that agree there: (id1, id2) with id1 < id2 and what is ``beside``, of either; a pair may come more than once. own: (id, items), or what value needs."""
+    n, values = max(1, own.count()), ["band", *[f"h{r}" for r in range(rows)]]
+    at_once = max(1, TURN_ROWS // n)
+    # sets in a bucket share an item, so where none is in many sets, no bucket is hot
+    often = own.select(F.explode("items").alias("item")).groupBy("item").count().agg(F.max("count")).first()[0] or 0 if "items" in own.columns else n
+    for first in range(0, max(1, hashes // rows), at_once):
+        turn = range(first, min(hashes // rows, first + at_once))
+        # each value is made by itself: a whole signature would be made for every turn
+        made = own.select("id", *beside, *[value(b * rows + r).alias(f"v{b}_{r}") for b in turn for r in range(rows)])
+        kept = made.select("id", *beside, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), *[F.col(f"v{b}_{r}").alias(f"h{r}") for r in range(rows)]) for b in turn])).alias("b")).select("id", *beside, "b.*")
+        kept = kept.withColumn("key", F.xxhash64(*values))
+        hot = hot_values(kept, "key") if often > max(LEAST_HOT, n * len(turn) // HOT_SHARE) else []
+        a, b = (kept.select("key", *[F.col(x).alias(f"{x}{k}") for x in ("id", *beside, *values)]) for k in (1, 2))
+        same = reduce(lambda x, y: x & y, [F.col(f"{x}1") == F.col(f"{x}2") for x in values])
+        yield spread_join(a, b.hint("shuffle_hash"), "key", hot).where((F.col("id1") < F.col("id2")) & same).select("id1", "id2", *[f"{x}{k}" for x in beside for k in (1, 2)])
+
+
 def lsh_candidates(signatures: DataFrame, rows: int = 2) -> DataFrame:
     """(id1, id2), id1 < id2, that agree on ``rows`` neighbouring values of their signatures somewhere. Buckets are joined by one number each, and their values compared."""
-    bands = signatures.select("id", F.posexplode(F.expr(f"transform(sequence(0, size(sig) div {rows} - 1), b -> slice(sig, b * {rows} + 1, {rows}))")).alias("band", "bucket"))
-    bands = cut(bands.select("id", F.xxhash64("band", "bucket").alias("key"), "band", "bucket"))
-    a, b = (bands.select("key", F.col("id").alias(f"id{k}"), F.col("band").alias(f"band{k}"), F.col("bucket").alias(f"bucket{k}")) for k in (1, 2))
-    same = (F.col("band1") == F.col("band2")) & (F.col("bucket1") == F.col("bucket2"))
-    return spread_join(a, b, "key", hot_values(bands, "key")).where((F.col("id1") < F.col("id2")) & same).select("id1", "id2").distinct()
+    signatures = cut_table(signatures)
+    first = signatures.select(F.size("sig")).first()
+    return _candidates(_met(signatures, first[0] if first else rows, rows, [], lambda k: F.col("sig")[k]))
+
+
+def lsh_candidates_of(sets: DataFrame, hashes: int = 100, rows: int = 2) -> DataFrame:
+    """lsh_candidates(minhash(sets, hashes), rows), where signatures are never held: each turn makes its own values of them."""
+    return _candidates(_met(cut_table(sets.groupBy("id").agg(F.collect_list("item").alias("items"))), hashes, rows, []))
+
+
+def _candidates(turns) -> DataFrame:
+    """Distinct pairs of the turns of bands, which have about TURN_ROWS rows each; what several turns find is made distinct group by group of id1. So shuffle files are of one turn or group only."""
+    tables = [cut_table(pairs.distinct().withColumn("g", F.pmod(F.xxhash64("id1"), F.lit(GROUPS)).cast("int")), "g") for pairs in turns]
+    if len(tables) == 1:
+        return tables[0].select("id1", "id2")
+    out = []
+    for g in range(GROUPS):
+        out.append(cut_table(reduce(DataFrame.union, [t.where(F.col("g") == g).select("id1", "id2") for t in tables]).distinct()))
+        for t in tables:
+            drop_part(t, f"g={g}")
+    for t in tables:
+        drop_table(t)
+    return reduce(DataFrame.union, out)
 
 
 def lsh_jaccard(sets: DataFrame, hashes: int = 100, rows: int = 2, least: float = 0.5) -> DataFrame:
-    """Candidates by bands, verified by exact Jaccard of the sets as arrays."""
-    found = lsh_candidates(minhash(sets, hashes), rows)
-    own = cut(sets.groupBy("id").agg(F.collect_list("item").alias("items")))
-    a, b = (own.select(F.col("id").alias(f"id{k}"), F.col("items").alias(f"items{k}")) for k in (1, 2))
-    return found.join(a, "id1").join(b, "id2").select("id1", "id2", _jaccard("items1", "items2").alias("similarity")).where(F.col("similarity") >= least)
+    """Candidates by bands, verified by exact Jaccard of the sets as arrays, which go with the bands: what is not similar enough is never written. Bands are taken in turns, as in lsh_candidates()."""
+    own = cut_table(sets.groupBy("id").agg(F.collect_list("item").alias("items")))
+    near = (F.size("items1") >= least * F.size("items2")) & (F.size("items2") >= least * F.size("items1"))
+    found = [cut_table(pairs.where(near).select("id1", "id2", _jaccard("items1", "items2").alias("similarity")).where(F.col("similarity") >= least)) for pairs in _met(own, hashes, rows, ["items"])]
+    drop_table(own)
+    return reduce(DataFrame.union, found).distinct()

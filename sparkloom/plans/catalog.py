@@ -216,7 +216,7 @@ CANDIDATES = ", p AS (SELECT a.id, a.k // 2 AS band, a.h AS h1, b.h AS h2 FROM h
 
 @register(SIGNATURES + CANDIDATES + " SELECT id1, id2 FROM q")
 def lsh_candidates(spark, d):
-    return similarity.lsh_candidates(similarity.minhash(_sets(spark, d), HASHES))
+    return similarity.lsh_candidates_of(_sets(spark, d), HASHES)
 
 
 @register(SIGNATURES + CANDIDATES + """, n AS (SELECT b, count(*) AS n FROM t GROUP BY 1),

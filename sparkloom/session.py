@@ -67,13 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed table in the shared folder: for large intermediate results. The shuffle files that it took are removed at once."""
+def cut_table(df: DataFrame, *by: str) -> DataFrame:
+    """As cut(), but as a compressed table in the shared folder, with a folder for each value of ``by``: for large intermediate results. The shuffle files that it took are removed at once."""
     spark = df.sparkSession
     path, before = shared_path(spark, "table"), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
@@ -86,3 +86,9 @@ def drop_table(df: DataFrame) -> None:
     for path in [p for p, made in _LEFT.items() if made is df]:
         remove_path(df.sparkSession, path)
         del _LEFT[path]
+
+
+def drop_part(df: DataFrame, folder: str) -> None:
+    """Remove one folder of a DataFrame that cut_table() returned."""
+    for path in [p for p, made in _LEFT.items() if made is df]:
+        remove_path(df.sparkSession, f"{path}/{folder}")

@@ -117,6 +117,24 @@ def test_similarity(spark):
         assert {(r.id1, r.id2): round(r.similarity, 6) for r in f(sets).collect()} == want
 
 
+def test_lsh_in_turns(spark, monkeypatch):
+    """Turns of bands find what all bands at once do, and a pair once."""
+    rng = random.Random(5)
+    sets = spark.createDataFrame([(b, i) for b in range(60) for i in {rng.randrange(25) for _ in range(5)}], "id bigint, item bigint")
+    own = sets.groupBy("id").agg(F.collect_list("item").alias("items"))
+    sig = {r.id: r.sig for r in similarity.minhash(sets, 12).collect()}
+    assert {r.id: list(r[1:]) for r in own.select("id", *[similarity.least_hashes(k) for k in range(12)]).collect()} == sig
+    want = sorted((a, b) for a in sig for b in sig if a < b and any(sig[a][k : k + 2] == sig[b][k : k + 2] for k in range(0, 12, 2)))
+    of = {r.id: set(r["items"]) for r in own.collect()}
+    close = [(a, b) for a, b in want if len(of[a] & of[b]) >= 0.5 * len(of[a] | of[b])]
+    for rows in (1, 150, 10_000):
+        monkeypatch.setattr(similarity, "TURN_ROWS", rows)
+        assert sorted(map(tuple, similarity.lsh_candidates_of(sets, 12).collect())) == want
+        assert sorted((r.id1, r.id2) for r in similarity.lsh_jaccard(sets, 12).collect()) == close
+    assert sorted(map(tuple, similarity.lsh_candidates(similarity.minhash(sets, 12)).collect())) == want
+    assert similarity.lsh_jaccard(sets.limit(0), 12).count() == 0 and similarity.lsh_candidates(similarity.minhash(sets.limit(0), 12)).count() == 0
+
+
 def test_recall_of_registered_lsh(spark, tmp_path):
     """At Jaccard 0.5 the registered query finds the pairs of the exact join: 10 bands of two lost about one in eighteen, 50 lose one in a million."""
     items = random.Random(7).sample(range(10**9), 1200)
