@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import linear_hash, trailing_zeros
@@ -45,13 +45,18 @@ def in_windows(stream: DataFrame, length: int = 3, slide: int = 2) -> DataFrame:
     return rows.join(F.broadcast(last)).where(F.col("w") * slide + length - 1 <= F.col("last")).drop("last")  # one row
 
 
-def fm_estimates(seen: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:
-    """(w, truth, estimate) of distinct (w, id): how many ids, and the estimate, which is the upper median of the groups' means."""
+def fm_columns(hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> tuple[list, Column]:
+    """The aggregates of fm_estimates(), and the estimate of them: thousands of calls to make, so a stream makes them once."""
     zeros = [F.max(trailing_zeros(linear_hash(F.col("id"), k, modulus))).alias(f"r{k}") for k in range(hashes)]
-    agg = seen.groupBy("w").agg(F.count("*").alias("truth"), *zeros)
     power = [F.pow(F.lit(2.0), F.col(f"r{k}")) for k in range(hashes)]
     groups = [sum(power[k : k + rows][1:], power[k]) / rows for k in range(0, hashes, rows)]
-    return agg.select("w", "truth", F.element_at(F.array_sort(F.array(*groups)), len(groups) // 2 + 1).alias("estimate"))
+    return zeros, F.element_at(F.array_sort(F.array(*groups)), len(groups) // 2 + 1).alias("estimate")
+
+
+def fm_estimates(seen: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997, made: tuple[list, Column] | None = None) -> DataFrame:
+    """(w, truth, estimate) of distinct (w, id): how many ids, and the estimate, which is the upper median of the groups' means. made: fm_columns() of the same."""
+    zeros, estimate = made or fm_columns(hashes, rows, modulus)
+    return seen.groupBy("w").agg(F.count("*").alias("truth"), *zeros).select("w", "truth", estimate)
 
 
 def fm_windows(stream: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators import sketches
-from sparkloom.session import cut, shared_path
+from sparkloom.session import shared_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -62,53 +62,95 @@ def reservoirs(events: DataFrame, size: int = 20) -> DataFrame:
 
 
 def batches_of(df: DataFrame, path: str) -> DataFrame:
-    """A stream of one micro-batch for each value 0, 1, ... of df's column batch; its files are written in that order."""
+    """A stream of one micro-batch for each value 0, 1, ... of df's column batch. One job writes a file for each, and their times put them in that order."""
     spark = df.sparkSession
-    for k in sorted(r.batch for r in df.select("batch").distinct().collect()):
-        df.where(F.col("batch") == k).drop("batch").coalesce(1).write.parquet(f"{path}/batch={k}")
+    made = df.withColumn("at_", F.col("batch"))
+    made.repartition("batch").sortWithinPartitions("batch").write.partitionBy("at_").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = [f.getPath() for f in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/at_=*/part-*"))]
+    number = lambda p: int(p.getParent().getName().split("=")[1])
+    files = sorted(((number(p), p) for p in files), key=lambda x: x[0])
+    if [k for k, _ in files] != sorted({k for k, _ in files}):
+        raise ValueError("a batch has several files")
+    now = int(time.time()) * 1000
+    for k, (_, p) in enumerate(files):
+        system.setTimes(p, now - 1000 * (len(files) - k), -1)
     schema = T.StructType([f for f in df.schema.fields if f.name != "batch"] + [T.StructField("batch", T.LongType())])
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
 
-def _before(spark: SparkSession, path: str, schema: str, number: int, since: int = 0) -> DataFrame:
-    """What micro-batches from ``since`` to the one before ``number`` have put down. A batch that is run again does not see itself."""
-    return reduce(DataFrame.union, [spark.read.schema(schema).parquet(f"{path}/{k}") for k in range(since, number)], spark.createDataFrame([], schema))
+def _runs(start: int, stop: int) -> list[tuple[int, int]]:
+    """The numbers from start to stop - 1 as the runs that _merged() makes: at most about twice the logarithm of their number."""
+    out = []
+    while start < stop:
+        size = start & -start or 1 << stop.bit_length()
+        while start + size > stop:
+            size >>= 1
+        out.append((start, start + size))
+        start += size
+    return out
+
+
+def _merged(number: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the run that micro-batch ``number`` closes begins, and the earlier runs that it takes in: after 1, 2, 4, ... micro-batches their rows are put together, so few files are read, and each row is written as often as the logarithm of their number."""
+    begin = number + 1 - ((number + 1) & -(number + 1))
+    return begin, _runs(begin, number)
+
+
+def _before(spark: SparkSession, path: str, schema: str, runs: list[tuple[int, int]]) -> DataFrame:
+    """What the micro-batches of some runs have put down. A batch that is run again does not see itself."""
+    return spark.read.schema(schema).parquet(*[f"{path}/{a}-{b}" for a, b in runs]) if runs else spark.createDataFrame([], schema)
 
 
 def bloom_stream(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
     """As sketches.bloom_fpr(), for a stream (seq, id, batch) whose micro-batches are the batches: one row a batch.
 
-    The filter and the ids seen so far are files in the shared folder, to which a micro-batch adds its own; both are read by joins.
+    The filter and the ids seen so far are files in the shared folder, to which a micro-batch adds its own; both are read by joins. One write puts down all that it finds.
     """
-    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "bloom")
+    path = shared_path(stream.sparkSession, "bloom")
+    schema = "id bigint, bit bigint, set_at bigint, batch bigint, fp bigint, n bigint"
 
     def put(df: DataFrame, number: int) -> None:
-        first = df.groupBy("id").agg(F.min("seq").alias("seq"), F.max("batch").alias("batch")).join(_before(spark, f"{path}/seen", "id bigint", number), "id", "left_anti")
-        first = cut(first.select(F.col("id").cast("bigint").alias("id"), F.col("seq").cast("bigint").alias("seq")))
-        known = _before(spark, f"{path}/bits", "bit bigint, set_at bigint", number)
-        hit, set_at = sketches.bloom_hits(first, bits, hashes, known)
-        set_at.join(known, "bit", "left_anti").select(F.col("bit").cast("bigint").alias("bit"), "set_at").write.mode("overwrite").parquet(f"{path}/bits/{number}")
-        first.select("id").write.mode("overwrite").parquet(f"{path}/seen/{number}")
-        each = hit.agg(F.count_if("fp").alias("fp"), F.count("*").alias("n"))
-        each.join(F.broadcast(df.agg(F.max("batch").alias("batch")))).select("batch", "fp", "n").write.mode("overwrite").parquet(f"{path}/rows/{number}")  # one row
+        spark = df.sparkSession
+        begin, taken = _merged(number)
+        known = _before(spark, path, schema, _runs(0, number))
+        ids, set_before = known.where("id IS NOT NULL").select("id"), known.where("bit IS NOT NULL").select("bit", "set_at")
+        first = df.groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("seq").cast("bigint").alias("seq")).join(ids, "id", "left_anti")
+        hit, set_at = sketches.bloom_hits(first, bits, hashes, set_before)
+        none = lambda *names: [F.lit(None).cast("bigint").alias(x) for x in names]
+        each = hit.agg(F.count_if("fp").alias("fp"), F.count("*").alias("n")).join(F.broadcast(df.agg(F.max("batch").cast("bigint").alias("batch"))))  # one row
+        new = first.select("id", *none("bit", "set_at", "batch", "fp", "n"))
+        new = new.union(set_at.join(set_before, "bit", "left_anti").select(*none("id"), F.col("bit").cast("bigint"), "set_at", *none("batch", "fp", "n")))
+        new = new.union(each.select(*none("id", "bit", "set_at"), "batch", "fp", "n"))
+        new.union(_before(spark, path, schema, taken)).write.mode("overwrite").parquet(f"{path}/{begin}-{number + 1}")
 
     _run(stream, put, path)
-    return sketches.bloom_rows(spark.read.schema("batch bigint, fp bigint, n bigint").parquet(f"{path}/rows/*"))
+    last = _last(stream.sparkSession, path)
+    return sketches.bloom_rows(_before(stream.sparkSession, path, schema, _runs(0, last)).where("batch IS NOT NULL").select("batch", "fp", "n"))
 
 
 def fm_stream(stream: DataFrame, hashes: int = 100, length: int = 3, slide: int = 2) -> DataFrame:
     """As sketches.fm_windows(), for a stream (id, batch) whose micro-batches are the batches: a row when a window's last batch is there. A window's batches are kept as distinct ids."""
-    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "fm")
+    path, made = shared_path(stream.sparkSession, "fm"), sketches.fm_columns(hashes)
 
     def put(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
         df.select(F.col("id").cast("bigint").alias("id")).distinct().write.mode("overwrite").parquet(f"{path}/ids/{number}")
         w, rest = divmod(number - length + 1, slide)
         if number >= length - 1 and not rest:
-            seen = _before(spark, f"{path}/ids", "id bigint", number + 1, number - length + 1).distinct().withColumn("w", F.lit(w).cast("bigint"))
-            sketches.fm_estimates(seen, hashes).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+            seen = spark.read.schema("id bigint").parquet(*[f"{path}/ids/{k}" for k in range(number - length + 1, number + 1)]).distinct().withColumn("w", F.lit(w).cast("bigint"))
+            sketches.fm_estimates(seen, made=made).write.mode("overwrite").parquet(f"{path}/rows/{number}")
 
     _run(stream, put, path)
-    return spark.read.schema("w bigint, truth bigint, estimate double").parquet(f"{path}/rows/*")
+    return stream.sparkSession.read.schema("w bigint, truth bigint, estimate double").parquet(f"{path}/rows/*")
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    """How many micro-batches have put down their rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*-*")
+    found = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where)
+    return max((int(f.getPath().getName().split("-")[1]) for f in found), default=0)
 
 
 def _run(stream: DataFrame, put: Callable, path: str) -> None:

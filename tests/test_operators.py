@@ -301,6 +301,24 @@ def test_readers_and_sinks(spark, tmp_path, capsys):
     assert (tmp_path / "k.txt").read_text().endswith("Round 1: 1,2,3,4\n\nThe clustering results:\n0,5\n")
 
 
+def test_runs_of_micro_batches(spark, tmp_path):
+    """Runs hold every earlier micro-batch once, were made before, and are few; one job writes all batches, and they come in order."""
+    made = set()
+    for n in range(300):
+        runs = streams._runs(0, n)
+        assert [k for a, b in runs for k in range(a, b)] == list(range(n)) and set(runs) <= made and len(runs) <= 9
+        begin, taken = streams._merged(n)
+        assert set(taken) <= made and [k for a, b in taken for k in range(a, b)] == list(range(begin, n))
+        made.add((begin, n + 1))
+    df = spark.range(120).select("id", (F.col("id") * 7 % 12).alias("batch"))
+    seen, came = streams.batches_of(df, f"{tmp_path}/in"), []
+    streams._run(seen, lambda b, k: came.append(sorted({r.batch for r in b.collect()})), f"{tmp_path}/out")
+    assert came == [[k] for k in range(12)]
+    got = streams.bloom_stream(streams.batches_of(df.withColumn("seq", F.col("batch") * 1000 + F.col("id")).withColumn("id", F.col("id") % 50), f"{tmp_path}/in2"), 53, 3)
+    want = sketches.bloom_fpr(df.withColumn("seq", F.col("batch") * 1000 + F.col("id")).withColumn("id", F.col("id") % 50), 53, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_streams_equal_batch(spark):
     d = "/root/testdata/sf0.001"
     batch = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
