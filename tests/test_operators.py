@@ -214,6 +214,34 @@ def test_item_similarity_in_turns(spark, monkeypatch, long_list):
             assert {(s.i, s.j): s.w for s in found.collect() if s.w > 1e-9} == {k: w for k, w in want.items() if only is None or k[0] in only}
 
 
+@pytest.mark.parametrize("pairs", [40, 100_000_000])
+def test_item_cf_keeps_sums_of_similarities_only(spark, monkeypatch, pairs):
+    rows = [(u, i, float((u * 7 + i * i + u * i) % 5 + 1)) for u in range(12) for i in range(9) if (u + i) % 4]
+    r = spark.createDataFrame(rows, "u bigint, i bigint, x double").cache()
+    wanted = [(u, i) for u in range(12) for i in range(10) if (u + 2 * i) % 5 == 0] + [(-1, 3), (-1, -1)]
+    tests = spark.createDataFrame(wanted, "u bigint, i int")
+    means = recommend.item_means(r)
+    w = {(s.i, s.j): s.w for s in recommend.item_similarity(r, means).collect()}
+    n = {m.i: m.n for m in means.collect()}
+    put, kept = recommend.cut_table, []
+    monkeypatch.setattr(recommend, "cut_table", lambda df, *by: kept.append(df.columns) or put(df, *by))
+    monkeypatch.setattr(recommend, "TURN_PAIRS", pairs)
+    base = {m.i: m.base for m in means.collect()}
+    found = {(c.u, c.i): c.cf for c in recommend.item_cf(r, tests).collect()}
+    assert set(found) == set(wanted) and not [c for c in kept if "w" in c]
+    some = 0
+    for u, i in wanted:
+        near = [(w[i, j], x / (1 + math.log(n[j]))) for v, j, x in rows if v == u and j != i and (i, j) in w]
+        weights = [w[i, j] / (1 + math.log(n[j])) for v, j, x in rows if v == u and j != i and (i, j) in w]
+        if not any(a >= 0.3 for a, _ in near):
+            assert found[u, i] is None
+            continue
+        share = 0.4 if any(a >= 0.5 for a, _ in near) else 0.2
+        some += 1
+        assert found[u, i] == pytest.approx(share * sum(a * b for a, b in near) / sum(weights) + (1 - share) * base[i])
+    assert some > 5
+
+
 def test_columns(spark):
     one = lambda *c: tuple(spark.range(1).select(*c).first())
     assert one(*[columns.trailing_zeros(F.lit(x)) for x in (0, 1, 8, 12, 65536)]) == (16, 0, 3, 2, 16)
