@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import cut_table, drop_table
+
+#: Occurrences that all_frequent() counts in a turn.
+TURN_ROWS = 25_000_000
+
 
 def build_baskets(df: DataFrame, basket: str, item: str, more_than: int = 0) -> DataFrame:
     """Distinct (basket, item) of the baskets with more than ``more_than`` distinct items."""
@@ -35,14 +40,38 @@ def frequent_itemsets(baskets: DataFrame, support: int, k: int) -> DataFrame:
 
 
 def all_frequent(baskets: DataFrame, support: int) -> DataFrame:
-    """(items, freq) of every size, by FP-growth."""
-    from pyspark.ml.fpm import FPGrowth
-
-    lists = baskets.groupBy("basket").agg(F.collect_set("item").alias("items"))
-    n = lists.count()
-    if not n:
-        return lists.select("items", F.lit(0).cast("bigint").alias("freq"))
-    return FPGrowth(itemsCol="items", minSupport=max(0.0, support / n - 1e-12)).fit(lists).freqItemsets.where(F.col("freq") >= support)
+    """(items, freq) of every size, by pattern growth: FP-growth's conditional bases as rows, so that no tree has to fit a task's memory. Items are in order.
+
+    A row is a frequent set, what follows it in a basket, and how many baskets have just that. Sets grow by one of the items that follow, and only occurrences of frequent sets go on. Each level is
+    counted in turns of about TURN_ROWS occurrences by a hash of the set; a turn's shuffle files are removed before the next one's.
+    """
+    plain = cut_table(baskets.where("item IS NOT NULL").select("basket", "item").distinct())
+    single = cut_table(plain.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= support))
+    rest = plain.join(single.select("item"), "item", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("rest"))
+    held = cut_table(rest.where("size(rest) > 1").groupBy("rest").agg(F.count("*").alias("n")))
+    drop_table(plain)
+    out, names = [single.select(F.array("item").alias("items"), "freq")], ["item1"]
+    follow = lambda rows, *own: rows.select(*own, "n", F.posexplode("rest").alias("k", "next"), "rest")
+    less = F.slice("rest", F.col("k") + 2, F.size("rest")).alias("rest")
+    rows = follow(held).select(F.col("next").alias("item1"), "n", less).where("size(rest) > 0")
+    while True:
+        turns = max(1, -(-(rows.agg(F.sum(F.size("rest"))).first()[0] or 0) // TURN_ROWS))
+        parts = []
+        for turn in range(turns):
+            mine = rows.where(F.pmod(F.xxhash64(*names), F.lit(turns)) == turn).select(*names, "n", F.explode("rest").alias("next"))
+            parts.append(cut_table(mine.groupBy(*names, "next").agg(F.sum("n").alias("freq")).where(F.col("freq") >= support)))
+        found = cut_table(reduce(DataFrame.union, parts))
+        for part in parts:
+            drop_table(part)
+        if found.isEmpty():
+            return reduce(DataFrame.union, out)
+        out.append(found.select(F.array(*names, "next").alias("items"), "freq"))
+        on = follow(rows, *names).join(found.select(*names, "next"), [*names, "next"])
+        names.append(f"item{len(names) + 1}")
+        on = on.select(*names[:-1], F.col("next").alias(names[-1]), "n", less).where("size(rest) > 0")
+        last, held = held, cut_table(on.groupBy(*names, "rest").agg(F.sum("n").alias("n")))
+        drop_table(last)
+        rows = held
 
 
 def son_candidates(parted: DataFrame, support: int, k: int = 2) -> DataFrame:

@@ -180,7 +180,7 @@ def son_frequent(spark, d):
 
 @register(SETS + " SELECT k, items, n FROM a WHERE n >= 4")
 def all_frequent(spark, d):
-    """By FP-growth."""
+    """By pattern growth."""
     found = baskets.all_frequent(_baskets(spark, d), 4)
     return found.select(F.size("items").alias("k"), F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("n"))
 

@@ -7,6 +7,7 @@ import math
 import random
 import time
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,23 @@ def test_itemsets(spark):
     assert {"a", "b", "c", "a,b", "a,c", "b,c"} <= some
 
 
+@pytest.mark.parametrize("turn_rows", [20, 1_000_000])
+def test_all_frequent_grows_patterns(spark, monkeypatch, turn_rows):
+    """As a plain count of all subsets has it, with groups of equal baskets, in one turn or many; no FP-tree, which has to fit a task's memory."""
+    import pyspark.ml.fpm
+
+    rng = random.Random(5)
+    some = [tuple(sorted(rng.sample(range(14), rng.randrange(7)))) for _ in range(60)] + [tuple(range(3, 10))] * 25
+    want = Counter(s for b in some for k in range(1, len(b) + 1) for s in combinations(b, k))
+    b = spark.createDataFrame([(k, i) for k, items in enumerate(some) for i in items] + [(0, None)] + [(70, 4)], "basket int, item bigint")
+    monkeypatch.setattr(pyspark.ml.fpm, "FPGrowth", None)
+    monkeypatch.setattr(baskets, "TURN_ROWS", turn_rows, raising=False)
+    for support in (3, 26, 1000):
+        found = [(tuple(r["items"]), r.freq) for r in baskets.all_frequent(b, support).collect()]
+        assert len(found) == len(set(found)) and dict(found) == {s: n for s, n in want.items() if n >= support}
+    assert baskets.all_frequent(b.limit(0), 2).count() == 0
+
+
 def test_similarity(spark):
     sets = spark.createDataFrame([(i, ord(x)) for i, s in enumerate(["abc", "bcd", "ab", "xyz"]) for x in s], "id int, item bigint")
     want = {(0, 1): 0.5, (0, 2): 0.666667}
