@@ -115,13 +115,10 @@ def hybrid(cf: DataFrame, model: DataFrame, share: float = 0.2) -> DataFrame:
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 500, depth: int = 5, rate: float = 0.1, seed: int = 1) -> DataFrame:
-    """test with a column m, by gradient boosted trees. The trees come one after another, and each takes a few passes over train, which is cut first."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    """test with a column m, by gradient boosted trees. The trees come one after another, and each takes ``depth`` passes over what the tasks hold of train, which is read three times."""
+    from sparkloom.operators.trees import learn, predict
 
-    pack = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="keep")
-    model = GBTRegressor(featuresCol="features_", labelCol=target, predictionCol="m", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxMemoryInMB=512, cacheNodeIds=True).fit(cut(pack.transform(train).select(target, "features_")))
-    return model.transform(pack.transform(test)).drop("features_")
+    return predict(test, learn(train, features, target, trees, depth, rate, seed), features)
 
 
 def evaluate(df: DataFrame, truth: str, prediction: str) -> DataFrame:

@@ -324,7 +324,7 @@ TREES = 50
 
 def _split(spark, d):
     """Features of known pairs, for training and for tests."""
-    rows = cut(_features(spark, d))
+    rows = cut_table(_features(spark, d))
     test = F.pmod(F.col("u") * 31 + F.col("i"), F.lit(10)) == 0
     return rows.where(~test), rows.where(test)
 
@@ -333,7 +333,7 @@ def _split(spark, d):
 def gbt_predict(spark, d):
     """(u, i, x, prediction, rmse): the model on the tests, beside its root mean square error over all of them."""
     train, test = _split(spark, d)
-    found = cut(recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "x", "m"))
+    found = cut_table(recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "x", "m"))
     return found.join(F.broadcast(recommend.evaluate(found, "x", "m").select("rmse").distinct())).select("u", "i", "x", F.round("m", 6).alias("prediction"), F.round("rmse", 6).alias("rmse"))  # one row
 
 
@@ -344,7 +344,7 @@ def hybrid_model(spark, d):
     known = train.select("u", "i", "x")
     model = recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "m")
     cf = recommend.item_cf(known, test.select("u", "i"), discount=False, least_neighbours=7)
-    found = cut(recommend.hybrid(cf, model).join(test.select("u", "i", "x"), ["u", "i"]))
+    found = cut_table(recommend.hybrid(cf, model).join(test.select("u", "i", "x"), ["u", "i"]))
     return found.join(F.broadcast(recommend.evaluate(found, "x", "prediction").select("rmse").distinct())).select("u", "i", "x", F.round("prediction", 6).alias("prediction"), F.round("rmse", 6).alias("rmse"))  # one row
 
 
