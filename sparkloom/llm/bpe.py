@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table, unused
+from sparkloom.llm.common import one_thread, table, unused
 
 #: The characters of the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -43,6 +44,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+        one_thread()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         chars = byte_table()
@@ -63,7 +65,7 @@ class Codec:
             self.bytes_of[rank] = bytes(back[c] for c in name[b])
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids of four bytes each
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of every text."""
@@ -71,24 +73,19 @@ class Codec:
         known = self.known
         if len(known) > CACHE_UNITS:
             known.clear()
-        fresh = list({u for own in units for u in own}.difference(known))
-        once: dict[str, list[int]] = {}
+        fresh = list(set().union(*units).difference(known))
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(unit) <= CACHE_CHARS else once)[unit] = found.ids
-        out = []
-        for own in units:
-            ids: list[int] = []
-            for u in own:
-                ids += known[u] if u in known else once[u]
-            out.append(ids)
+            known.update(zip(part, [array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), dtype=np.int32).tolist() for own in units]
+        for u in fresh:
+            if len(u) > CACHE_CHARS:
+                del known[u]
         return out
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; a character split over ids becomes whole again, as only bytes are joined."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids])
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def offsets(self, text: str, ids) -> tuple[np.ndarray, np.ndarray]:
         """Start and end in code points of every id; the ids that share one split character all span it."""
@@ -131,7 +128,7 @@ def _encoder(path: str, pattern: str, outputs: tuple[str, ...]):
                         elif name == "n_tokens":
                             column.append(len(ids))
                         elif name == "ids_sha256":
-                            column.append(hashlib.sha256(",".join([own.text_of[i] for i in ids]).encode()).hexdigest())
+                            column.append(hashlib.sha256(",".join(map(own.text_of.__getitem__, ids)).encode()).hexdigest())
                         elif name == "decoded":
                             column.append(raw)
                         elif name == "decoded_sha256":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_thread() -> None:
+    """The tokenizers library keeps to the worker's own thread, unless the environment says otherwise: with as many workers as cores, its threads mostly wait for work and use up time."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z become a-z; all other characters stay."""
     return F.translate(text, UPPER, LOWER)
