@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import WHITE
-from sparkloom.llm.common import table, unused
+from sparkloom.llm.common import one_thread, table, unused
 
 UNIT = re.compile(f"[^{WHITE}]+")
 CACHE_UNITS, CACHE_CHARS, SLICE = 400_000, 48, 64
@@ -39,6 +39,7 @@ def tokenizer(path: str):
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
+        one_thread()
         made = Tokenizer.from_file(path)
         made.no_truncation()
         made.no_padding()
@@ -116,12 +117,14 @@ def _counter(path: str, chunk: int, overlap: int):
                 units = [UNIT.findall(t) if len(t) <= chunk else [] for t in texts]
                 if len(known) > CACHE_UNITS:
                     known.clear()
-                fresh, once = list({u for x in units for u in x}.difference(known)), {}
+                fresh = list(set().union(*units).difference(known))
                 for j in range(0, len(fresh), 4096):
                     some = fresh[j : j + 4096]
-                    for unit, found in zip(some, own.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                        (known if len(unit) <= CACHE_CHARS else once)[unit] = len(found)
-                counts = [sum([known[u] if u in known else once[u] for u in x]) if len(t) <= chunk else count_long(t, spans, chunk, overlap, margin) for t, x in zip(texts, units, strict=True)]
+                    known.update(zip(some, map(len, own.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+                counts = [sum(map(known.__getitem__, x)) if len(t) <= chunk else count_long(t, spans, chunk, overlap, margin) for t, x in zip(texts, units, strict=True)]
+                for u in fresh:
+                    if len(u) > CACHE_CHARS:
+                        del known[u]
                 keep = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(counts, type=pa.int64())], names=[*part.schema.names[:-1], "n_tokens"])
 

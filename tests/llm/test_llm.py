@@ -289,6 +289,26 @@ def test_bpe_periodic_runs():
         assert mine.encode_batch([t]) == [own.encode_ordinary(t)]
 
 
+def test_tokenizers_keep_to_the_workers_thread():
+    """Threads of the library's own wait and use up time beside as many workers as cores."""
+    import os
+    import subprocess
+    import sys
+
+    code = """if True:
+        import os, public_tokenizers, pyarrow as pa
+        from sparkloom.llm import bpe, token_counts
+        bpe_path, count_path = (public_tokenizers.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"))
+        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}x{k}" for i in range(2000)) for k in range(4)])], names=["t"])
+        for run in (bpe._encoder(bpe_path, public_tokenizers.PATTERN, ("n_tokens",)), token_counts._counter(count_path, 32_768, 256)):
+            before = len(os.listdir("/proc/self/task"))
+            assert sum(x.num_rows for x in run([batch])) == 4
+            print(len(os.listdir("/proc/self/task")) - before)
+    """
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True, timeout=300).stdout.split() == ["0", "0"]
+
+
 def test_token_counts(spark, docs, small):
     from tokenizers import Tokenizer
 
