@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import tiered_mean
 from sparkloom.operators.graph import spread_join
-from sparkloom.session import cut, cut_table, drop_table
+from sparkloom.session import cut_table, drop_table
 
 #: Pairs of items that similarity_turns() adds up in a turn, and the items that a user has in a list; users with more are joined with themselves.
 TURN_PAIRS, LONG_LIST = 50_000_000, 2_048
+#: Ratings whose users' lists are made at a time, and items of which the means are broadcast: with more, they are joined by a shuffle.
+LIST_ROWS, FEW_ITEMS = 12_000_000, 200_000
 
 
 def rounded_mean(x: str) -> F.Column:
@@ -31,6 +33,11 @@ def item_means(r: DataFrame) -> DataFrame:
     return r.groupBy("i").agg(rounded_mean("x").alias("mu"), F.count("*").alias("n"), tiered_mean("x").alias("base"))
 
 
+def few(items: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Marks what has a row for each of these items for a broadcast, if there are few."""
+    return F.broadcast if items.count() <= FEW_ITEMS else lambda df: df
+
+
 def similarity_turns(r: DataFrame, means: DataFrame, targets: DataFrame | None = None) -> Iterator[tuple[Callable[[str], Column], DataFrame]]:
     """(mine, rows) of each turn; rows: (i, j, ti, tj, w), each pair of positive correlation once, i being the item with the fewer raters, or else the lesser; ti and tj: whether it is a target. mine(x): whether column x, as i, is of this turn.
 
@@ -40,14 +47,20 @@ def similarity_turns(r: DataFrame, means: DataFrame, targets: DataFrame | None =
     held = means.select("i", "mu", "n", F.lit(True).alias("t"))
     if targets is not None:
         held = held.drop("t").join(targets.select("i", F.lit(True).alias("t")), "i", "left").fillna(False, ["t"])
-    d = cut_table(r.where("u IS NOT NULL").join(held, "i").select("u", "i", "n", "t", (F.col("x") - F.col("mu")).alias("d")))
-    long = cut(d.groupBy("u").agg(F.count("*").alias("items")).where(F.col("items") > LONG_LIST).select("u"))
+    d = cut_table(r.where("u IS NOT NULL").join(few(means)(held), "i").select("u", "i", "n", "t", (F.col("x") - F.col("mu")).alias("d")))
+    long = cut_table(d.groupBy("u").agg(F.count("*").alias("items")).where(F.col("items") > LONG_LIST).select("u"))
     some = not long.isEmpty()
-    listed = (d.join(long, "u", "left_anti") if some else d).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("n", "i", "d", "t"))).alias("v"))
-    lists = cut_table(listed.where("size(v) > 1 AND exists(v, e -> e.t)").select(F.col("v.i").alias("js"), F.col("v.d").alias("ds"), F.col("v.t").alias("ts")))
+    of = max(1, -(-d.count() // LIST_ROWS))
+    made = []
+    for part in range(of):  # the shuffle files of one part of the users at a time
+        own = d.where(F.pmod(F.xxhash64("u"), F.lit(of)) == part)
+        listed = (own.join(long, "u", "left_anti") if some else own).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("n", "i", "d", "t"))).alias("v"))
+        made.append(cut_table(listed.where("size(v) > 1 AND exists(v, e -> e.t)").select(F.col("v.i").alias("js"), F.col("v.d").alias("ds"), F.col("v.t").alias("ts"))))
+    lists = reduce(DataFrame.union, made)
     # where there are none, d must not be read here: what is left of an empty join's other side would still run when d's files go
     wide = cut_table(d.join(long, "u", "left_semi") if some else d.where(F.lit(False)))
     drop_table(d)
+    drop_table(long)
     a, b = (wide.select("u", *[F.col(x).alias(f"{x}{k}") for x in ("i", "n", "t", "d")]) for k in (1, 2))
     pairs = sum(x.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0 for x in (lists.select(F.size("js").alias("n")), wide.groupBy("u").agg(F.count("*").alias("n"))))
     turns = max(1, int(-(-pairs // TURN_PAIRS)))
@@ -62,8 +75,8 @@ def similarity_turns(r: DataFrame, means: DataFrame, targets: DataFrame | None =
             met = met.union(both.select(F.col("i1").alias("i"), F.col("i2").alias("j"), F.col("d1").alias("di"), F.col("d2").alias("dj"), F.col("t1").alias("ti"), F.col("t2").alias("tj")))
         sums = met.where("i <> j AND (ti OR tj)").groupBy("i", "j", "ti", "tj").agg(F.sum(F.col("di") * F.col("dj")).alias("p"), F.sum(F.col("di") * F.col("di")).alias("a"), F.sum(F.col("dj") * F.col("dj")).alias("b"))
         yield mine, sums.where("a > 0 AND b > 0 AND p > 0").select("i", "j", "ti", "tj", (F.col("p") / F.sqrt(F.col("a") * F.col("b"))).alias("w"))
-    drop_table(lists)
-    drop_table(wide)
+    for x in (*made, wide):
+        drop_table(x)
 
 
 def item_similarity(r: DataFrame, means: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -81,19 +94,21 @@ def item_cf(r: DataFrame, tests: DataFrame, discount: bool = True, least_neighbo
     A turn's similarities meet the tests' pairs at once and only sums of them are kept, so that they are never all there.
     fallback: the item's tiered mean; without one the user's mean; without both ``cold``.
     """
-    means, tests = cut(item_means(r)), cut_table(tests)
+    means, tests = cut_table(item_means(r)), cut_table(tests)
     users = cut_table(r.groupBy("u").agg(rounded_mean("x").alias("user_mean")))
     raters = lambda k: means.select(F.col("i").alias(k), F.col("n").alias(f"n{k}"))
-    near = tests.join(raters("i"), "i").join(r.select("u", F.col("i").alias("j"), "x"), "u").where("i <> j").join(raters("j"), "j")
+    beside = few(means)
+    near = tests.join(beside(raters("i")), "i").join(r.select("u", F.col("i").alias("j"), "x"), "u").where("i <> j").join(beside(raters("j")), "j")
+    held = cut_table(near.select("u", "i", "ni", "j", "nj", "x"))
     kind, first = r.schema["i"].dataType, (F.col("ni") < F.col("nj")) | ((F.col("ni") == F.col("nj")) & (F.col("i") < F.col("j")))
     low, high = F.when(first, F.col("i")).otherwise(F.col("j")).cast(kind).alias("low"), F.when(first, F.col("j")).otherwise(F.col("i")).cast(kind).alias("high")
-    near = cut_table(near.select("u", "i", "x", F.col("nj").alias("n"), low, high))
+    near = held.select("u", "i", "x", F.col("nj").alias("n"), low, high)
     weight, parts = F.col("w") / (1 + F.log("n")) if discount else F.col("w"), []
     for mine, rows in similarity_turns(r, means, tests.select("i").distinct()):
         pairs = rows.select(F.col("i").alias("low"), F.col("j").alias("high"), "w")
         met = near.where(mine("low")).join(pairs, ["low", "high"]).groupBy("u", "i")
         parts.append(cut_table(met.agg(F.count("*").alias("neighbours"), F.count_if(F.col("w") >= 0.3).alias("strong"), F.count_if(F.col("w") >= 0.5).alias("strongest"), F.sum(F.col("x") * weight).alias("above"), F.sum(weight).alias("below"))))
-    drop_table(near)
+    drop_table(held)
     told = reduce(DataFrame.union, parts).groupBy("u", "i").agg(*[F.sum(c).alias(c) for c in ("neighbours", "strong", "strongest")], (F.sum("above") / F.sum("below")).alias("res"))
     rows = tests.join(told, ["u", "i"], "left").join(means.select("i", "base"), "i", "left").join(users, "u", "left")
     both = F.col("base").isNotNull() & F.col("user_mean").isNotNull()

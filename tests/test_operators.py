@@ -232,6 +232,29 @@ def test_item_similarity_in_turns(spark, monkeypatch, long_list):
             assert {(s.i, s.j): s.w for s in found.collect() if s.w > 1e-9} == {k: w for k, w in want.items() if only is None or k[0] in only}
 
 
+@pytest.mark.parametrize("few_items", [0, 1_000])
+def test_item_cf_makes_lists_in_parts(spark, monkeypatch, few_items):
+    """The lists of a part of the users at a time, each user once, and the same predictions; nothing but tables, whose shuffle files go, is put down."""
+    rows = [(u, i, float((u * 7 + i * i + u * i) % 5 + 1)) for u in range(20) for i in range(9) if (u + i) % 4]
+    r = spark.createDataFrame(rows, "u bigint, i bigint, x double").cache()
+    tests = spark.createDataFrame([(u, i) for u in range(20) for i in range(9) if (u + 2 * i) % 5 == 0] + [(-1, 3), (-1, -1)], "u bigint, i bigint")
+    want = {(p.u, p.i): pytest.approx(p.prediction) for p in recommend.predict(r, tests).collect()}
+    put, lists = recommend.cut_table, []
+
+    def counted(df, *by):
+        made = put(df, *by)
+        if made.columns == ["js", "ds", "ts"]:
+            lists.append(made.count())
+        return made
+
+    monkeypatch.setattr(recommend, "cut_table", counted)
+    monkeypatch.setattr(recommend, "cut", None, raising=False)  # a checkpoint's shuffle files would stay
+    monkeypatch.setattr(recommend, "LIST_ROWS", 40)
+    monkeypatch.setattr(recommend, "FEW_ITEMS", few_items)
+    assert {(p.u, p.i): p.prediction for p in recommend.predict(r, tests).collect()} == want
+    assert len(lists) == -(-len(rows) // 40) > 2 and max(lists) < sum(lists) == 20
+
+
 @pytest.mark.parametrize("pairs", [40, 100_000_000])
 def test_item_cf_keeps_sums_of_similarities_only(spark, monkeypatch, pairs):
     rows = [(u, i, float((u * 7 + i * i + u * i) % 5 + 1)) for u in range(12) for i in range(9) if (u + i) % 4]
