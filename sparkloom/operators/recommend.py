@@ -125,8 +125,9 @@ def predict(r: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def hybrid(cf: DataFrame, model: DataFrame, share: float = 0.2) -> DataFrame:
-    """(u, i, prediction): the model's where cf is null, else ``share`` of cf and the rest of the model. model: (u, i, m)."""
-    return model.join(cf.select("u", "i", "cf"), ["u", "i"], "left").select("u", "i", F.when(F.col("cf").isNull(), F.col("m")).otherwise(share * F.col("cf") + (1 - share) * F.col("m")).alias("prediction"))
+    """(u, i, prediction), with what else model has between them: the model's where cf is null, else ``share`` of cf and the rest of the model. model: (u, i, m)."""
+    mixed = F.when(F.col("cf").isNull(), F.col("m")).otherwise(share * F.col("cf") + (1 - share) * F.col("m")).alias("prediction")
+    return model.join(cf.select("u", "i", "cf"), ["u", "i"], "left").select("u", "i", *[F.col(f"`{c}`") for c in model.columns if c not in ("u", "i", "m")], mixed)
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 500, depth: int = 5, rate: float = 0.1, seed: int = 1) -> DataFrame:

@@ -295,7 +295,7 @@ def _features(spark, d):
     sold = l.groupBy(F.col("l_suppkey").alias("i")).agg(F.count("*").alias("n_lines"), F.count_distinct("l_partkey").alias("n_parts"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
     users = c.select(F.col("c_custkey").alias("u"), F.col("c_acctbal").alias("u_balance")).join(spent, "u", "left")
     items = s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("i_balance")).join(sold, "i", "left")
-    return _ratings(spark, d).join(users, "u").join(items, "i").fillna(0)
+    return _ratings(spark, d).join(users, "u").join(recommend.few(s)(items), "i").fillna(0)
 
 
 FEATURES = ["n_orders", "spent", "since", "years", "n_urgent", "n_lines", "n_parts", "n_returned", "u_balance", "i_balance"]
@@ -342,9 +342,9 @@ def hybrid_model(spark, d):
     """(u, i, x, prediction, rmse): item CF where it has enough neighbours, blended with the boosted trees; the trees alone elsewhere."""
     train, test = _split(spark, d)
     known = train.select("u", "i", "x")
-    model = recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "m")
+    model = recommend.boosted_trees(train, test, FEATURES, "x", trees=TREES).select("u", "i", "x", "m")
     cf = recommend.item_cf(known, test.select("u", "i"), discount=False, least_neighbours=7)
-    found = cut_table(recommend.hybrid(cf, model).join(test.select("u", "i", "x"), ["u", "i"]))
+    found = cut_table(recommend.hybrid(cf, model))
     return found.join(F.broadcast(recommend.evaluate(found, "x", "prediction").select("rmse").distinct())).select("u", "i", "x", F.round("prediction", 6).alias("prediction"), F.round("rmse", 6).alias("rmse"))  # one row
 
 

@@ -255,6 +255,27 @@ def test_item_cf_makes_lists_in_parts(spark, monkeypatch, few_items):
     assert len(lists) == -(-len(rows) // 40) > 2 and max(lists) < sum(lists) == 20
 
 
+def test_hybrid_keeps_the_models_columns(spark):
+    """So that the truth needs no join of its own."""
+    cf = spark.createDataFrame([(1, 1, 5.0, 3.0), (1, 2, None, 3.0)], "u bigint, i bigint, cf double, fallback double")
+    model = spark.createDataFrame([(1, 1, 2.5, 1.0), (1, 2, 3.5, 2.0)], "u bigint, i bigint, x double, m double")
+    assert recommend.hybrid(cf, model.drop("x")).columns == ["u", "i", "prediction"]
+    assert {(p.u, p.i, p.x): p.prediction for p in recommend.hybrid(cf, model).collect()} == {(1, 1, 2.5): pytest.approx(1.8), (1, 2, 3.5): 2.0}
+
+
+def test_features_of_few_items_are_broadcast(spark, monkeypatch):
+    """The rows of all ratings are not dealt out again, with all their features, to meet some items."""
+    from sparkloom.plans import catalog
+
+    plans, rows = [], []
+    for few_items in (0, 1_000):
+        monkeypatch.setattr(recommend, "FEW_ITEMS", few_items)
+        df = catalog._features(spark, "/root/testdata/sf0.001")
+        rows.append(sorted(map(tuple, df.collect())))
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert rows[0] == rows[1] and "strategy=broadcast" not in plans[0] and "strategy=broadcast" in plans[1]
+
+
 @pytest.mark.parametrize("pairs", [40, 100_000_000])
 def test_item_cf_keeps_sums_of_similarities_only(spark, monkeypatch, pairs):
     rows = [(u, i, float((u * 7 + i * i + u * i) % 5 + 1)) for u in range(12) for i in range(9) if (u + i) % 4]
