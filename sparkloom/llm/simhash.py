@@ -147,10 +147,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     at = distinct.repartition(spread).select("fp", F.explode(_anchor_keys(F.col("fp"), NARROW if many <= WIDE else BROAD, distance)).alias("k")).select("fp", F.shiftright("k", 1).alias("key"), (F.col("k") % 2 == 1).alias("home"))
     sizes = at.groupBy("key").agg(F.count_if("home").alias("h"), F.count("*").alias("p")).where("h > 0 and p > 1")
     hot = sizes.where(F.col("h") * F.col("p") > PAIRS).select("key", F.ceil(F.col("h") / CELL).alias("nh"), F.ceil(F.col("p") / CELL).alias("np"))
-    hot = cut(hot)
+    # Spark sizes what an explode makes as its input, so a join by size would broadcast all anchors; these joins are merged, whatever their sizes are taken to be
+    hot = cut(hot).hint("merge")
     x = at.where("home").join(hot, "key", "left_anti").select("key", F.col("fp").alias("u"))
     y = at.join(hot, "key", "left_anti").select(F.col("key").alias("key2"), F.col("fp").alias("v"))
-    plain = x.join(y, (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
+    plain = x.join(y.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
     there = at.join(hot, "key")
     part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
     some = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))

@@ -640,6 +640,21 @@ def test_links_of_fingerprints(spark, monkeypatch, pairs_, wide):
     assert same_groups([got[p] for p in prints], brute_components(prints))
 
 
+def test_anchors_are_never_broadcast(spark):
+    found = simhash.links(spark.range(500).select((F.col("id") * 7).alias("fp")))
+    found.collect()
+    at, seen = None, 0
+    for line in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines():
+        depth = re.search(r"[^\s:+|-]", line + "x").start()
+        if at is not None and depth <= at:
+            at = None
+        if "BroadcastExchange" in line:
+            at = depth
+        seen += "SortMergeJoin" in line
+        assert at is None or "Generate explode" not in line
+    assert seen >= 4
+
+
 def test_simhash_of_hot_copies(spark):
     word = lambda k: f"w{k}"
     text = " ".join(map(word, range(400)))
