@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def trailing_zeros(value: Column, zero: int = 16) -> Column:
-    """Trailing zeros of the binary form; the value 0 counts as ``zero``."""
-    bits = F.bin(value)
-    return F.when(value == 0, zero).otherwise(F.length(bits) - F.length(F.regexp_replace(bits, "0+$", "")))
+    """Trailing zeros of the binary form of a value from 0 on; the value 0 counts as ``zero``."""
+    return F.when(value == 0, zero).otherwise(F.bit_count(F.bitwise_not(value).bitwiseAND(value - 1)))
 
 
 def text_hash(text: Column, modulus: int) -> Column:
@@ -21,8 +20,12 @@ def text_hash(text: Column, modulus: int) -> Column:
 
 def linear_hash(value: Column, k: int, modulus: int) -> Column:
     """The k-th hash of a family of linear ones; see hash_terms()."""
-    a, b = hash_terms(k)
-    return F.pmod(F.lit(a) * F.pmod(value.cast("bigint"), F.lit(modulus)) + F.lit(b), F.lit(modulus))
+    return hash_by(value, *map(F.lit, hash_terms(k)), modulus)
+
+
+def hash_by(value: Column, a: Column, b: Column, modulus: int) -> Column:
+    """The linear hash of slope a and offset b."""
+    return F.pmod(a * F.pmod(value.cast("bigint"), F.lit(modulus)) + b, F.lit(modulus))
 
 
 def hash_terms(k: int) -> tuple[int, int]:

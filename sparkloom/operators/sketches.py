@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.columns import linear_hash, trailing_zeros
+from sparkloom.functions.columns import hash_by, hash_terms, linear_hash, trailing_zeros
 from sparkloom.session import cut
 
 
@@ -31,37 +31,55 @@ def bloom_fpr(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
 
     An id is a query once, at its first place. It is a false positive if each of its bits was set at an earlier first place of another id.
     """
-    first = stream.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("batch", "seq").alias("batch"))
+    first = bloom_first(stream)
     hit, _ = bloom_hits(first, bits, hashes)
+    return bloom_rows(bloom_each(stream, first, hit))
+
+
+def bloom_first(stream: DataFrame) -> DataFrame:
+    """(id, seq, batch): the first place of each id."""
+    return stream.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("batch", "seq").alias("batch"))
+
+
+def bloom_each(stream: DataFrame, first: DataFrame, hit: DataFrame) -> DataFrame:
+    """(batch, fp, n) of every batch of the stream: false positives and queries among its first places."""
     each = hit.join(first, "id").groupBy("batch").agg(F.count_if("fp").alias("fp"), F.count("*").alias("n"))
-    return bloom_rows(stream.select("batch").distinct().join(each, "batch", "left").fillna(0))
+    return stream.select("batch").distinct().join(each, "batch", "left").fillna(0)
+
+
+def begun_windows(stream: DataFrame, length: int = 3, slide: int = 2) -> DataFrame:
+    """stream with a column w for each window of ``length`` batches that a row is in, complete or not; windows begin every ``slide`` batches."""
+    first = F.greatest(F.ceil((F.col("batch") - (length - 1)) / slide), F.lit(0)).cast("bigint")
+    return stream.withColumn("w", F.explode(F.sequence(first, F.floor(F.col("batch") / slide).cast("bigint"))))
 
 
 def in_windows(stream: DataFrame, length: int = 3, slide: int = 2) -> DataFrame:
     """stream with a column w for each complete window of ``length`` batches that a row is in; windows begin every ``slide`` batches."""
     last = stream.agg(F.max("batch").alias("last"))
-    first = F.greatest(F.ceil((F.col("batch") - (length - 1)) / slide), F.lit(0)).cast("bigint")
-    rows = stream.withColumn("w", F.explode(F.sequence(first, F.floor(F.col("batch") / slide).cast("bigint"))))
-    return rows.join(F.broadcast(last)).where(F.col("w") * slide + length - 1 <= F.col("last")).drop("last")  # one row
+    return begun_windows(stream, length, slide).join(F.broadcast(last)).where(F.col("w") * slide + length - 1 <= F.col("last")).drop("last")  # one row
 
 
-def fm_columns(hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> tuple[list, Column]:
-    """The aggregates of fm_estimates(), and the estimate of them: thousands of calls to make, so a stream makes them once."""
-    zeros = [F.max(trailing_zeros(linear_hash(F.col("id"), k, modulus))).alias(f"r{k}") for k in range(hashes)]
-    power = [F.pow(F.lit(2.0), F.col(f"r{k}")) for k in range(hashes)]
-    groups = [sum(power[k : k + rows][1:], power[k]) / rows for k in range(0, hashes, rows)]
-    return zeros, F.element_at(F.array_sort(F.array(*groups)), len(groups) // 2 + 1).alias("estimate")
+def fm_estimates(seen: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:
+    """(w, truth, estimate) of distinct (w, id): how many ids, and the estimate, which is the upper median of the groups' means.
+
+    An id becomes a row for each hash, of which a task keeps one for each window and hash; aggregates of their own for all hashes would be more code than a JVM compiles.
+    """
+    terms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for k, (a, b) in enumerate(map(hash_terms, range(hashes)))])
+    each = seen.select("w", "id", F.explode(terms).alias("h")).select("w", F.col("h.k").alias("k"), trailing_zeros(hash_by(F.col("id"), F.col("h.a"), F.col("h.b"), modulus)).alias("z"))
+    most = each.groupBy("w", "k").agg(F.max("z").alias("r"), F.count("*").alias("truth"))
+    power = most.groupBy("w").agg(F.max("truth").alias("truth"), F.array_sort(F.collect_list(F.struct("k", F.pow(F.lit(2.0), F.col("r")).alias("p")))).alias("p"))
+    means = F.transform(F.sequence(F.lit(1), F.lit(hashes), F.lit(rows)), lambda k: F.aggregate(F.slice("p", k, rows), F.lit(0.0), lambda x, y: x + y.p) / rows)
+    return power.select("w", "truth", F.element_at(F.array_sort(means), -(-hashes // rows) // 2 + 1).alias("estimate"))
 
 
-def fm_estimates(seen: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997, made: tuple[list, Column] | None = None) -> DataFrame:
-    """(w, truth, estimate) of distinct (w, id): how many ids, and the estimate, which is the upper median of the groups' means. made: fm_columns() of the same."""
-    zeros, estimate = made or fm_columns(hashes, rows, modulus)
-    return seen.groupBy("w").agg(F.count("*").alias("truth"), *zeros).select("w", "truth", estimate)
+def window_ids(rows: DataFrame) -> DataFrame:
+    """The distinct (w, id) of rows, dealt over all cores, as each becomes many rows: by their own size, they would go to few tasks."""
+    return rows.select("w", "id").repartition(rows.sparkSession.sparkContext.defaultParallelism, "w", "id").distinct()
 
 
 def fm_windows(stream: DataFrame, hashes: int = 100, rows: int = 2, modulus: int = 69_997) -> DataFrame:
     """(w, truth, estimate): exact distinct ids and the estimate of each complete window. stream: (batch, id)."""
-    return fm_estimates(in_windows(stream).select("w", "id").distinct(), hashes, rows, modulus)
+    return fm_estimates(window_ids(in_windows(stream)), hashes, rows, modulus)
 
 
 def reservoir(stream: DataFrame, size: int, seed: int = 1) -> DataFrame:

@@ -660,13 +660,13 @@ def stream_reservoir(spark, d) -> DataFrame:
 
 @register(bloom_sql(4000))
 def stream_bloom(spark, d) -> DataFrame:
-    """Orders in micro-batches of 4,000 keys."""
+    """Orders in batches of 4,000 keys, of which a micro-batch takes up to ``AT_ONCE``."""
     s = table(spark, d, "orders").select(F.expr("o_orderkey div 4000").alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"))
-    return streams.bloom_stream(streams.batches_of(s, shared_path(spark, "input")), BITS, BLOOM).withColumn("fpr", F.round("fpr", 6))
+    return streams.bloom_stream(streams.batches_of(s, shared_path(spark, "input"), streams.AT_ONCE), BITS, BLOOM).withColumn("fpr", F.round("fpr", 6))
 
 
 @register(fm_sql(2000))
 def stream_fm(spark, d) -> DataFrame:
-    """Events in micro-batches of 2,000."""
+    """Events in batches of 2,000, of which a micro-batch takes up to ``AT_ONCE``."""
     s = table(spark, d, "events").select(F.expr("event_id div 2000").alias("batch"), F.col("user_id").alias("id"))
-    return streams.fm_stream(streams.batches_of(s, shared_path(spark, "input")), FM)
+    return streams.fm_stream(streams.batches_of(s, shared_path(spark, "input"), streams.AT_ONCE), FM)

@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from sparkloom.operators import sketches
 from sparkloom.session import shared_path
 
+#: Batches that a micro-batch takes from a backlog: what a micro-batch costs beside its rows (logs, planning, jobs) is then shared by so many.
+AT_ONCE = 128
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -61,11 +64,11 @@ def reservoirs(events: DataFrame, size: int = 20) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(reservoir_state(size), "event_type string, event_id bigint, total bigint", "p array<bigint>, s array<bigint>, n bigint", "update", "NoTimeout")
 
 
-def batches_of(df: DataFrame, path: str) -> DataFrame:
-    """A stream of one micro-batch for each value 0, 1, ... of df's column batch. One job writes a file for each, and their times put them in that order."""
+def batches_of(df: DataFrame, path: str, at_once: int = 1) -> DataFrame:
+    """A stream of one micro-batch for every ``at_once`` values (0, 1, ...) of df's column batch. One job writes a file for each, and their times put them in that order."""
     spark = df.sparkSession
-    made = df.withColumn("at_", F.col("batch"))
-    made.repartition("batch").sortWithinPartitions("batch").write.partitionBy("at_").parquet(path)
+    made = df.withColumn("at_", F.expr(f"batch div {at_once}"))
+    made.repartition("at_").sortWithinPartitions("batch").write.partitionBy("at_").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files = [f.getPath() for f in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/at_=*/part-*"))]
@@ -104,7 +107,7 @@ def _before(spark: SparkSession, path: str, schema: str, runs: list[tuple[int, i
 
 
 def bloom_stream(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """As sketches.bloom_fpr(), for a stream (seq, id, batch) whose micro-batches are the batches: one row a batch.
+    """As sketches.bloom_fpr(), for a stream (seq, id, batch) whose micro-batches are one or more whole batches each: one row a batch.
 
     The filter and the ids seen so far are files in the shared folder, to which a micro-batch adds its own; both are read by joins. One write puts down all that it finds.
     """
@@ -114,15 +117,15 @@ def bloom_stream(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
     def put(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         begin, taken = _merged(number)
+        df = df.select(*[F.col(c).cast("bigint").alias(c) for c in ("seq", "id", "batch")])
         known = _before(spark, path, schema, _runs(0, number))
         ids, set_before = known.where("id IS NOT NULL").select("id"), known.where("bit IS NOT NULL").select("bit", "set_at")
-        first = df.groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("seq").cast("bigint").alias("seq")).join(ids, "id", "left_anti")
+        first = sketches.bloom_first(df).join(ids, "id", "left_anti")
         hit, set_at = sketches.bloom_hits(first, bits, hashes, set_before)
         none = lambda *names: [F.lit(None).cast("bigint").alias(x) for x in names]
-        each = hit.agg(F.count_if("fp").alias("fp"), F.count("*").alias("n")).join(F.broadcast(df.agg(F.max("batch").cast("bigint").alias("batch"))))  # one row
         new = first.select("id", *none("bit", "set_at", "batch", "fp", "n"))
         new = new.union(set_at.join(set_before, "bit", "left_anti").select(*none("id"), F.col("bit").cast("bigint"), "set_at", *none("batch", "fp", "n")))
-        new = new.union(each.select(*none("id", "bit", "set_at"), "batch", "fp", "n"))
+        new = new.union(sketches.bloom_each(df, first, hit).select(*none("id", "bit", "set_at"), "batch", "fp", "n"))
         new.union(_before(spark, path, schema, taken)).write.mode("overwrite").parquet(f"{path}/{begin}-{number + 1}")
 
     _run(stream, put, path)
@@ -131,16 +134,25 @@ def bloom_stream(stream: DataFrame, bits: int, hashes: int) -> DataFrame:
 
 
 def fm_stream(stream: DataFrame, hashes: int = 100, length: int = 3, slide: int = 2) -> DataFrame:
-    """As sketches.fm_windows(), for a stream (id, batch) whose micro-batches are the batches: a row when a window's last batch is there. A window's batches are kept as distinct ids."""
-    path, made = shared_path(stream.sparkSession, "fm"), sketches.fm_columns(hashes)
+    """As sketches.fm_windows(), for a stream (id, batch) whose micro-batches are one or more whole batches each: a window's row when its last batch, or a later one, is there.
+
+    Between micro-batches, the distinct ids of the batches whose windows are still open are kept, and the last batch.
+    """
+    path = shared_path(stream.sparkSession, "fm")
+    after = lambda last: max(0, (last - length + 1) // slide + 1)  # the first window that ends after batch ``last``
 
     def put(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        df.select(F.col("id").cast("bigint").alias("id")).distinct().write.mode("overwrite").parquet(f"{path}/ids/{number}")
-        w, rest = divmod(number - length + 1, slide)
-        if number >= length - 1 and not rest:
-            seen = spark.read.schema("id bigint").parquet(*[f"{path}/ids/{k}" for k in range(number - length + 1, number + 1)]).distinct().withColumn("w", F.lit(w).cast("bigint"))
-            sketches.fm_estimates(seen, made=made).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        rows, opened = df.select(F.col("batch").cast("bigint").alias("batch"), F.col("id").cast("bigint").alias("id")), 0
+        last = rows.agg(F.max("batch")).first()[0]
+        if number:
+            kept = spark.read.schema("batch bigint, id bigint").parquet(f"{path}/open/{number - 1}")
+            before = kept.agg(F.max("batch")).first()[0]
+            rows, opened, last = rows.union(kept), after(before), max(before, last)
+        still = after(last)
+        rows.where(F.col("batch") >= min(still * slide, last)).distinct().write.mode("overwrite").parquet(f"{path}/open/{number}")
+        seen = sketches.begun_windows(rows, length, slide).where(F.col("w").between(opened, still - 1))
+        sketches.fm_estimates(sketches.window_ids(seen), hashes).write.mode("overwrite").parquet(f"{path}/rows/{number}")
 
     _run(stream, put, path)
     return stream.sparkSession.read.schema("w bigint, truth bigint, estimate double").parquet(f"{path}/rows/*")

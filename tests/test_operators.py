@@ -429,6 +429,21 @@ def test_runs_of_micro_batches(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize(("at_once", "batches"), [(1, 6), (4, 11), (5, 12), (64, 3)])
+def test_micro_batches_of_several_batches(spark, tmp_path, at_once, batches):
+    """A micro-batch takes as many batches as it is told; rows are the same, also where batches are missing or bring nothing new."""
+    df = spark.range(240).select((F.col("id") * 31 % 53).alias("id"), (F.col("id") * 7 % batches).alias("batch"), F.col("id").alias("n")).where("batch <> 3 AND batch <> 4")
+    df = df.select("id", "batch", (F.col("batch") * 1000 + F.col("n")).alias("seq"))
+    came = []
+    streams._run(streams.batches_of(df, f"{tmp_path}/in", at_once), lambda b, k: came.append(sorted({r.batch for r in b.collect()})), f"{tmp_path}/out")
+    there = [k for k in range(batches) if k not in (3, 4)]
+    assert came == [own for n in range(batches) if (own := [k for k in there if k // at_once == n])]
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(streams.bloom_stream(streams.batches_of(df, f"{tmp_path}/in2", at_once), 53, 3)) == rows(sketches.bloom_fpr(df, 53, 3))
+    got = rows(streams.fm_stream(streams.batches_of(df.select("id", "batch"), f"{tmp_path}/in3", at_once)))
+    assert got == rows(sketches.fm_windows(df.select("batch", "id"))) and got
+
+
 def test_streams_equal_batch(spark):
     d = "/root/testdata/sf0.001"
     batch = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
